@@ -13,5 +13,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pieces import piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}

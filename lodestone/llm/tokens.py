@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import ship, tokenizer_bytes
+from lodestone.llm.merging import NONE, PairTable
 
 #: How byte-level tokenizers cut text before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_TOKENS, CACHE_CHARS, CHUNK_CHARS = 400_000, 48, 2_000_000
-NONE = np.int64(1) << 40
 #: Characters that PLAIN classes as the pattern above does, and the same pattern for them in the faster re module.
 BEYOND = re.compile("[^\0-\u024f\u200b-\u2027\u2030-\u205e\u20a0-\u20bf]")
 _SPACE, _LETTER, _NUMBER = " \t-\r\x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -56,7 +56,7 @@ class Merger:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocab[a] * int(self.base) + vocab[b] for a, b in pairs], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        self._fill(keys, made)
+        self.table = PairTable(int(self.base), keys, np.arange(keys.size), made)
         self.specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.split_special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.pattern = regex.compile(PRETOKEN)
@@ -64,34 +64,6 @@ class Merger:
         self.library = None
         self.cache: dict[str, int] = {}
 
-    def _fill(self, keys: np.ndarray, made: np.ndarray) -> None:
-        """An open-addressing table of the pairs, to look up whole arrays at once."""
-        size = 1 << 18
-        while size < 4 * keys.size:
-            size *= 2
-        self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.slot_key = np.full(size + 64, -1, dtype=np.int64)
-        self.slot_rank = np.full(size + 64, NONE, dtype=np.int64)
-        self.slot_made = np.zeros(size + 64, dtype=np.int64)
-        for rank, (key, at, new) in enumerate(zip(keys.tolist(), self._home(keys).tolist(), made.tolist(), strict=True)):
-            while self.slot_key[at] != -1:
-                at += 1
-            self.slot_key[at], self.slot_rank[at], self.slot_made[at] = key, rank, new
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or the empty slot that ends its search."""
-        at = self._home(keys)
-        held = self.slot_key[at]
-        left = np.flatnonzero((held != keys) & (held != -1))
-        while left.size:
-            at[left] += 1
-            held = self.slot_key[at[left]]
-            left = left[(held != keys[left]) & (held != -1)]
-        return at
-
     def counts(self, words: list[bytes]) -> np.ndarray:
         """How many tokens each byte string merges to."""
         out = np.zeros(len(words), dtype=np.int64)
@@ -99,9 +71,8 @@ class Merger:
         ids = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
         who = np.repeat(np.arange(len(words)), sizes)
         while ids.size:
-            pair = ids[:-1] * self.base + ids[1:]
-            at = self.find(pair)
-            rank = np.where(who[:-1] == who[1:], self.slot_rank[at], NONE)
+            at = self.table.find(ids[:-1], ids[1:])
+            rank = np.where(who[:-1] == who[1:], self.table.rank[at], NONE)
             rank = np.append(rank, NONE)  # the last symbol starts no pair
             starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
             lengths = np.diff(np.r_[starts, who.size])
@@ -115,7 +86,7 @@ class Merger:
             run = np.cumsum(np.r_[True, np.diff(hit) != 1]) - 1
             begin = np.flatnonzero(np.r_[True, np.diff(hit) != 1])
             hit = hit[(np.arange(hit.size) - begin[run]) % 2 == 0]
-            ids[hit] = self.slot_made[at[hit]]
+            ids[hit] = self.table.made[at[hit]]
             keep = np.repeat(~ended, lengths)
             keep[hit + 1] = False
             ids, who = ids[keep], who[keep]
