@@ -19,5 +19,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op10_sentencepiece": op10_sentencepiece}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
