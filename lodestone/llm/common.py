@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space that separates words: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -47,6 +48,9 @@ def ship(spark: SparkSession) -> SparkSession:
         with open(path, "wb") as out:
             out.write(data.getvalue())
         sc.addPyFile(path)
+    # Very long texts come a few at a time; a bound that the user has set stays.
+    if not sc.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(32 << 20))
     setattr(sc, mark, True)
     return spark
 

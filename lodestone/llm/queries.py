@@ -25,5 +25,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.gridorder import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op6_embedding_dedup": op6_embedding_dedup, "op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
