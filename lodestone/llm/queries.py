@@ -31,5 +31,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op6_embedding_dedup": op6_embedding_dedup, "op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+QUERIES = {"op8_language_id": op8_language_id, "op6_embedding_dedup": op6_embedding_dedup, "op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
