@@ -37,5 +37,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
-QUERIES = {"op8_language_id": op8_language_id, "op6_embedding_dedup": op6_embedding_dedup, "op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op6_embedding_dedup": op6_embedding_dedup, "op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
 ORACLES: dict[str, str] = {}
