@@ -43,5 +43,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_language_id": op8_language_id, "op6_embedding_dedup": op6_embedding_dedup, "op1_token_counts": op1_token_counts, "op4_simhash": op4_simhash, "op10_sentencepiece": op10_sentencepiece}
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.chat import chat_digests
+
+    odd = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat_digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(added))
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op4_simhash": op4_simhash,
+    "op5_chat_format": op5_chat_format,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op10_sentencepiece": op10_sentencepiece,
+}
+#: SQL can express none of these: they learn models, run tokenizers or follow links to a fixed point. Tests hold them against brute force.
 ORACLES: dict[str, str] = {}

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,7 +160,7 @@ def token_counts(text: Column, spark, tokenizer_path: str | None = None) -> Colu
         for batch in batches:
             texts = (x.as_py() or "" for x in batch)
             n = [v for part in chunks(texts) for v in merger.count_texts(part)]
-            size = pa.compute.fill_null(pa.compute.binary_length(batch), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(batch), 0).cast(pa.int64())
             yield pa.StructArray.from_arrays([size, pa.array(n, pa.int64())], ["n_bytes", "n_tokens"])
 
     return count(text)
