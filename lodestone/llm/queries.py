@@ -43,6 +43,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.chat import chat_digests
 
@@ -53,6 +59,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_html_extraction": op2_html_extraction,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
     "op6_embedding_dedup": op6_embedding_dedup,
