@@ -55,15 +55,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: the session's ``spark.checkpoint.dir``; a local one only where none is named, as in tests."""
+    sc = spark.sparkContext
+    own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if own:
+        return own.rstrip("/")
+    mark = f"_lodestone_cp_{sc.applicationId}"
+    if not hasattr(sc, mark):
+        setattr(sc, mark, tempfile.mkdtemp(prefix="lodestone-cp-"))
+    return getattr(sc, mark)
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is set
-    only where the session names none, as in tests.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-cp-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

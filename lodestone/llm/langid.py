@@ -279,3 +279,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = learn(docs.where(fold(id_col, parts) != held), id_col, text_col, lang_col, sample, tokenizer_path)
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col, parts) == held, F.lit(False)).alias("held_out"), language(F.col(text_col), model, docs.sparkSession).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` whose text is in a known language with a posterior of ``least`` or more; their own columns."""
+    parts, held = options.pop("parts", 4), options.pop("held", 2)
+    model = learn(docs.where(fold(id_col, parts) != held), id_col, text_col, lang_col, **options)
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    got = docs.toDF(*inner.values()).withColumn("_p", language(F.col(inner[text_col]), model, docs.sparkSession))
+    return got.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least)).select(*(F.col(n).alias(c) for c, n in inner.items()))

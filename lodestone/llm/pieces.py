@@ -310,42 +310,33 @@ def batches_of(batch: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list[str]]:
         yield texts
 
 
-def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool = True) -> Column:
-    """A struct (ids array<int>, decoded string) for each text."""
+def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool = True, ids: bool = True, decoded: bool = True) -> Column:
+    """A struct for each text: n_tokens, ids_sha256 and decoded_sha256, made where the ids are; and the ids and decoded text where wanted."""
     data = ship(spark).sparkContext.broadcast(tokenizer_bytes("piece_bpe_32k.model", tokenizer_path))
+    fields = {"n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    if ids:
+        fields["ids"] = "array<int>", pa.list_(pa.int32())
+    if decoded:
+        fields["decoded"] = "string", pa.string()
 
-    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    @F.arrow_udf(f"struct<{','.join(f'{n}:{t}' for n, (t, _) in fields.items())}>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = held(data.value, check)
-        for batch in batches:
-            ids, back = [], []
-            for part in batches_of(batch):
-                for joined, decoded in pieces.encode_batch(part):
-                    ids.append([int(i) for i in joined.split(",")] if joined else [])
-                    back.append(decoded)
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["ids", "decoded"])
-
-    return encode(text)
-
-
-def digests(text: Column, spark, tokenizer_path: str | None = None, check: bool = True) -> Column:
-    """A struct (n_tokens, ids_sha256, decoded_sha256), made where the ids are, so that they needn't travel."""
-    data = ship(spark).sparkContext.broadcast(tokenizer_bytes("piece_bpe_32k.model", tokenizer_path))
-
-    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = held(data.value, check)
         sha = hashlib.sha256
         for batch in batches:
-            n, ids, back = [], [], []
+            got: dict[str, list] = {n: [] for n in fields}
             for part in batches_of(batch):
-                for joined, decoded in pieces.encode_batch(part):
-                    n.append(joined.count(",") + 1 if joined else 0)
-                    ids.append(sha(joined.encode()).hexdigest())
-                    back.append(sha(decoded.encode()).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+                for joined, back in pieces.encode_batch(part):
+                    got["n_tokens"].append(joined.count(",") + 1 if joined else 0)
+                    got["ids_sha256"].append(sha(joined.encode()).hexdigest())
+                    got["decoded_sha256"].append(sha(back.encode()).hexdigest())
+                    if ids:
+                        got["ids"].append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
+                    if decoded:
+                        got["decoded"].append(back)
+            yield pa.StructArray.from_arrays([pa.array(got[n], t) for n, (_, t) in fields.items()], list(fields))
 
-    return digest(text)
+    return encode(text)
 
 
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
@@ -354,7 +345,13 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return e.select("doc_id", "e.ids", "e.decoded")
 
 
+def encode_with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: one row for each row of ``docs``."""
+    e = docs.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col), docs.sparkSession, tokenizer_path, decoded=False).alias("e"))
+    return e.select("doc_id", "e.n_tokens", "e.ids", "e.ids_sha256", "e.decoded_sha256")
+
+
 def piece_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row for each row of ``docs``."""
-    e = docs.select(F.col(id_col).alias("doc_id"), digests(F.col(text_col), docs.sparkSession, tokenizer_path).alias("e"))
+    e = docs.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col), docs.sparkSession, tokenizer_path, ids=False, decoded=False).alias("e"))
     return e.select("doc_id", "e.*")

@@ -68,7 +68,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_marks": without(t, "!?"),
         "n_symbol_runs": F.regexp_count(t, F.lit(r"[#*$%&|<>]+")),
     }
-    m = F.struct(*(v.cast("long").alias(k) for k, v in values.items()))
+    # A partition's number keeps the optimiser from copying these expressions to every place that reads a measure.
+    m = F.struct(*(v.cast("long").alias(k) for k, v in values.items()), F.spark_partition_id().alias("part"))
     return step.withColumn("_m", m).drop("_t", "_w", "_g", "_s", "_l")
 
 
@@ -158,6 +159,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns; texts are measured twice rather than moved."""
-    m = measured(docs, text_col)
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    m = measured(docs.toDF(*inner.values()), inner[text_col])
     p = posterior(estimate(pattern_counts(m)))
-    return m.where(~base_failed() & (p >= threshold)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return m.where(~base_failed() & (p >= threshold)).select(*(F.col(n).alias(c) for c, n in inner.items()))

@@ -63,6 +63,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(added))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_extraction": op2_html_extraction,
@@ -72,6 +78,7 @@ QUERIES = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_source_mixing": op9_source_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 #: SQL can express none of these: they learn models, run tokenizers or follow links to a fixed point. Tests hold them against brute force.

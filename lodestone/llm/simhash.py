@@ -38,6 +38,8 @@ HOT_KEY = 4096
 #: Pairs to a block: a plane of the block has as many bits.
 BLOCK = 1 << 16
 CHUNK = 200_000
+#: Ids up to so many are broadcast (8 bytes each, some MB in all).
+FEW = 500_000
 
 
 def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -226,3 +228,28 @@ def simhash_components(docs: DataFrame, **options) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     found = simhash_groups(docs, **options)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
+    """One row of each group of near copies, that of least id, with its own columns.
+
+    Rows without an id stay only where no row with one has their fingerprint, and then one of each fingerprint.
+    """
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    bare, own, text = docs.toDF(*inner.values()), inner[id_col], inner[text_col]
+    groups = durable(simhash_groups(docs, id_col, text_col, width, radius, hot))
+    named = groups.where("doc_id is not null")
+    # Of a row without an id and of repeated ids the texts meet; of all others none moves while the losers are few.
+    lost = durable(named.where("doc_id <> component_id").select("doc_id").distinct())
+    twice = durable(named.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    few = lambda df: F.broadcast(df) if df.count() <= FEW else df
+    gone = lost.unionByName(twice)
+    kept = bare.where(F.col(own).isNotNull()).join(few(gone).withColumnRenamed("doc_id", own), own, "left_anti")
+    again = bare.join(few(twice).withColumnRenamed("doc_id", own), own, "left_semi")
+    again = again.join(few(lost).withColumnRenamed("doc_id", own), own, "left_anti").dropDuplicates([own])
+    out = kept.select(*inner.values()).unionByName(again.select(*inner.values()))
+    if groups.where("doc_id is null").limit(1).count():
+        bare_ids = bare.where(F.col(own).isNull()).withColumn("_fp", fingerprint(F.col(text), docs.sparkSession, width))
+        free = bare_ids.join(groups.where("component_id is not null").select(F.col("fp").alias("_fp")).distinct(), "_fp", "left_anti")
+        out = out.unionByName(free.dropDuplicates(["_fp"]).select(*inner.values()))
+    return out.select(*(F.col(n).alias(c) for c, n in inner.items()))
