@@ -1,8 +1,70 @@
-"""A corpus pipeline of five of the operators, and the registry of all their queries."""
+"""A corpus pipeline of five of the operators, and the registry of all their queries.
+
+Every stage takes what the one before has kept and returns the columns of
+``documents``; the last returns the encoded texts. ``run`` writes what each
+stage keeps to the folder the cluster shares, and reads it again.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm.common import shared_folder, table
+from lodestone.llm.langid import keep_identified
+from lodestone.llm.mixing import mix
+from lodestone.llm.pieces import encode_with_digests
+from lodestone.llm.quality import keep_good
 from lodestone.llm.queries import ORACLES, QUERIES as OPERATOR_QUERIES
+from lodestone.llm.simhash import keep_one
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go."""
+    return keep_identified(docs)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality is low go, and those that fail the base limits."""
+    return keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return keep_one(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are drawn to temperature weights, some documents more than once."""
+    return mix(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them."""
+    return encode_with_digests(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
+#: SQL can express no stage but parts of one; tests hold the pipeline against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
+    return docs
+
 
-QUERIES = {**OPERATOR_QUERIES}
+QUERIES = {**OPERATOR_QUERIES, "pipeline": run}
 SQL = {**ORACLES}
