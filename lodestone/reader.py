@@ -16,6 +16,8 @@ from lodestone.schema import IndexSchema
 from lodestone.sources.storage import Storage
 
 COMMITS = "commits"
+#: Terms whose statistics a reader remembers, which never change in a snapshot.
+KNOWN_TERMS = 100_000
 
 
 @dataclass
@@ -111,7 +113,7 @@ class SegmentReader:
 
     def __init__(self, storage: Storage, segment: Segment, schema: IndexSchema):
         self.storage, self.segment, self.schema = storage, segment, schema
-        self._docs: DataFrame | None = None
+        self._frames: dict[str, DataFrame] = {}
 
     name = property(lambda self: self.segment.name)
     max_doc = property(lambda self: self.segment.max_doc)
@@ -119,13 +121,14 @@ class SegmentReader:
     field_infos = property(lambda self: self.schema)
 
     def _read(self, folder: str) -> DataFrame:
-        return self.storage.spark.read.parquet(self.storage.at(folder))
+        """A folder's files, listed once: they never change."""
+        if folder not in self._frames:
+            self._frames[folder] = self.storage.spark.read.parquet(self.storage.at(folder))
+        return self._frames[folder]
 
     def docs(self) -> DataFrame:
         """doc, and the columns of stored fields and doc values; deleted documents too."""
-        if self._docs is None:
-            self._docs = self._read(self.segment.docs_dir)
-        df = self._docs
+        df = self._read(self.segment.docs_dir)
         return df.select(self.segment.doc_column().alias("doc"), *(F.col(f"`{c}`") for c in df.columns if c in self.schema))
 
     def stored(self, docs: list[int]) -> DataFrame:
@@ -197,6 +200,7 @@ class IndexReader:
         for s in commit.segments:
             self.doc_bases.append(self.doc_bases[-1] + s.max_doc)
         self._postings: DataFrame | None = None
+        self._known: dict[tuple[str, str], tuple[int, int] | None] = {}
         for s in self.segments:
             s.check_files()
 
@@ -287,16 +291,20 @@ class IndexReader:
 
     def term_stats(self, keys: set[tuple[str, str]]) -> dict[tuple[str, str], tuple[int, int]]:
         """(doc_freq, total_term_freq) of the terms that occur."""
-        if not keys or not self.segments:
-            return {}
-        wanted = None
-        for f in sorted({f for f, _ in keys}):
-            own = (F.col("field") == f) & F.col("term").isin(sorted(t for g, t in keys if g == f))
-            wanted = own if wanted is None else wanted | own
-        out: dict[tuple[str, str], tuple[int, int]] = {}
-        for r in reduce(DataFrame.unionByName, [s.terms().where(wanted) for s in self.segments]).collect():
-            a, b = out.get((r["field"], r["term"]), (0, 0))
-            out[r["field"], r["term"]] = a + r["doc_freq"], b + r["total_term_freq"]
+        new = keys - self._known.keys()
+        if new and self.segments:
+            wanted = None
+            for f in sorted({f for f, _ in new}):
+                own = (F.col("field") == f) & F.col("term").isin(sorted(t for g, t in new if g == f))
+                wanted = own if wanted is None else wanted | own
+            found: dict[tuple[str, str], tuple[int, int]] = {}
+            for r in reduce(DataFrame.unionByName, [s.terms().where(wanted) for s in self.segments]).collect():
+                a, b = found.get((r["field"], r["term"]), (0, 0))
+                found[r["field"], r["term"]] = a + r["doc_freq"], b + r["total_term_freq"]
+            self._known.update({k: found.get(k) for k in new})
+        out = {k: v for k in keys if (v := self._known.get(k)) is not None}
+        if len(self._known) > KNOWN_TERMS:
+            self._known.clear()
         return out
 
     def check_integrity(self) -> None:
