@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, tokenizer_bytes
+from lodestone.llm.common import only_model, ship, tokenizer_bytes
 
 #: Opening and closing control strings by role; any other role is spelt out between the first two of OTHER.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -136,15 +136,8 @@ class Template:
         return role, text, loss, size + len(shown)
 
 
-_HELD: dict[bytes, Template] = {}
-
-
 def _template(ranks: bytes) -> Template:
-    key = hashlib.sha256(ranks).digest()
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Template(ranks)
-    return _HELD[key]
+    return only_model("chat", ranks, lambda: Template(ranks))
 
 
 def parts_of(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -6,15 +6,19 @@ cluster: what must outlive a task goes to ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space that separates words: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+T = TypeVar("T")
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -75,6 +79,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What a Python worker holds over tasks: one model, whichever operator it belongs to.
+_MODEL: dict[tuple, object] = {}
+
+
+def only_model(kind: str, data: bytes, make: Callable[[], T]) -> T:
+    """The model that ``make`` gives for ``data``; a worker lets go of any other, so that stages don't add up in memory."""
+    key = kind, hashlib.sha256(data).digest()
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
 def tokenizer_bytes(name: str, path: str | None = None) -> bytes:
     """A vocabulary file as bytes, read on the driver; ``path`` overrides the installed place."""
     if path is None:

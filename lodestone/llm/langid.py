@@ -16,7 +16,6 @@ matter.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import re
 from collections import Counter
@@ -27,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, ship, tokenizer_bytes
+from lodestone.llm.common import durable, only_model, ship, tokenizer_bytes
 from lodestone.llm.merging import PairTable
 from lodestone.llm.pieces import SPACE, Pieces, batches_of
 
 SAMPLE, ROUNDS = 300, 4
 #: Words of up to so many characters are scored in arrays, longer ones alone.
-SHORT, FLOOR, CACHE_WORDS, LONGEST = 28, 1e-8, 300_000, 16
+SHORT, FLOOR, CACHE_WORDS, LONGEST = 28, 1e-8, 150_000, 16
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -249,20 +248,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model.langs, model.pieces, model.prob
 
 
-_HELD: dict[bytes, PieceModel] = {}
-
-
 def language(text: Column, model: tuple, spark) -> Column:
     """A struct (lang_pred, score) for each text."""
     data = ship(spark).sparkContext.broadcast(pickle.dumps(model))
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        key = hashlib.sha256(data.value).digest()
-        if key not in _HELD:
-            _HELD.clear()
-            _HELD[key] = PieceModel(*pickle.loads(data.value))
-        held = _HELD[key]
+        held = only_model("langid", data.value, lambda: PieceModel(*pickle.loads(data.value)))
         for batch in batches:
             got = [p for part in batches_of(batch) for p in held.predict(part)]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])

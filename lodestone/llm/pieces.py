@@ -21,20 +21,21 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, tokenizer_bytes
+from lodestone.llm.common import only_model, ship, tokenizer_bytes
 from lodestone.llm.merging import NONE, PairTable
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units of more characters have a heap of their own.
 LONG = 96
-CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 300_000, 48, 2_000_000
+CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 200_000, 48, 1_000_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -101,6 +102,7 @@ class Pieces:
         self.cache: dict[str, str] = {}
         self.back: dict[str, str] = {}
         self.library = None
+        self.checked: set[int] = set()
         if check:
             import sentencepiece
 
@@ -256,7 +258,7 @@ class Pieces:
         for u, got in zip(new, fresh, strict=True):
             ids[u] = ",".join([names[i] for i in got])
             back[u] = ("".join([pieces[i] for i in got]) if plain(got) else self.decode_unit(got)).replace(SPACE, " ")
-        self.compare(new, fresh)
+        self.compare(new, fresh, [back[u] for u in new])
         skip = len(self.prefix)
         out = [(",".join(map(ids.__getitem__, c)), "".join(map(back.__getitem__, c))[skip:]) for c in cut]
         for u in new:
@@ -267,8 +269,8 @@ class Pieces:
             back.clear()
         return out
 
-    def compare(self, units: list[str], ids: list[list[int]]) -> None:
-        """Holds the ids of a batch's units against the library's, in one call a batch."""
+    def compare(self, units: list[str], ids: list[list[int]], decoded: list[str]) -> None:
+        """Holds the ids of a batch's units, and what they decode to, against the library's, in one call a batch."""
         if self.library is None or not units:
             return
         if self.unit is None:
@@ -276,25 +278,31 @@ class Pieces:
             if self.library.encode(texts, num_threads=1) != ids:
                 raise AssertionError("ids differ from the library's")
             return
-        first, line = self.unit_ids(self.prefix + "a"), self.unit_ids("\n")
-        ours = [*first, *(i for got in ids for i in (*line, *got))]
-        theirs = self.library.encode("a\n" + "\n".join(units), num_threads=1)
-        if ours != theirs:
+        first, line = np.array(self.unit_ids(self.prefix + "a")), np.array(self.unit_ids("\n"))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ours = np.empty(first.size + line.size * len(ids) + int(sizes.sum()), np.int64)
+        begins = first.size + line.size * np.arange(len(ids)) + np.cumsum(sizes) - sizes
+        lines = (begins[:, None] + np.arange(line.size)).ravel()
+        own = np.ones(ours.size, bool)
+        own[: first.size] = own[lines] = False
+        ours[: first.size], ours[lines] = first, np.tile(line, len(ids))
+        ours[own] = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+        theirs = np.asarray(self.library.encode("a\n" + "\n".join(units), num_threads=1, return_type="numpy"))
+        if not np.array_equal(ours, theirs):
             raise AssertionError("ids differ from the library's")
-        if self.library.decode(ours) != self.decode(ours):
+        # Decoding plain pieces is joining them: each is held against the library once, units with other pieces as they are.
+        plain = [i for i in np.unique(ours[own]).tolist() if i not in self.special and i not in self.checked]
+        parts = [([i], self.text[i].replace(SPACE, " ")) for i in plain]
+        parts += [(i, t) for i, t in zip(ids, decoded, strict=True) if not self.special.isdisjoint(i)]
+        joined = [*first.tolist(), *(i for got, _ in parts for i in (*line.tolist(), *got))]
+        if self.library.decode(joined) != "\n".join(["a", *(t for _, t in parts)]):
             raise AssertionError("the decoded text differs from the library's")
-
-
-#: One vocabulary a Python worker, with what it has worked out so far.
-_HELD: dict[tuple[bytes, bool], Pieces] = {}
+        self.checked.update(plain)
 
 
 def held(data: bytes, check: bool = True) -> Pieces:
-    key = (hashlib.sha256(data).digest(), check)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Pieces(data, check)
-    return _HELD[key]
+    """A vocabulary with what it has worked out so far."""
+    return only_model(f"pieces {check}", data, lambda: Pieces(data, check))
 
 
 def batches_of(batch: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list[str]]:
