@@ -33,9 +33,10 @@ from lodestone.llm.merging import NONE, PairTable
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units of more characters have a heap of their own.
-LONG = 96
-CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 200_000, 48, 1_000_000
+#: Units of more characters have a heap of their own; units that are checked in one text.
+LONG, GROUP = 96, 256
+#: Distinct units and their characters that a worker remembers; characters encoded at a time.
+CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 300_000, 8_000_000, 1_000_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -67,6 +68,18 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             yield tag >> 3, data[at - size : at]
 
 
+class Numbers(dict):
+    """Numbers for units; those that are asked for the first time gather in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        n = self[unit] = len(self)
+        return n
+
+
 class Pieces:
     """A merge-type vocabulary: encodes and decodes without the library."""
 
@@ -96,11 +109,13 @@ class Pieces:
         line = any("\n" in p and len(p) > 1 for p in self.known)
         self.unit = None if inside else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if line else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
         self.names = [str(i) for i in range(len(self.pieces))]
-        self.text = [p for p, _, _ in self.pieces]
-        self.special = frozenset(i for i, (_, _, kind) in enumerate(self.pieces) if kind != NORMAL)
+        # A byte below 128 is a character, whatever stands around it.
+        self.text = [chr(self.value[i]) if self.value.get(i, 128) < 128 else p for i, (p, _, _) in enumerate(self.pieces)]
+        self.special = frozenset(i for i, (_, _, kind) in enumerate(self.pieces) if kind != NORMAL and self.value.get(i, 128) >= 128)
         self._tables()
-        self.cache: dict[str, str] = {}
-        self.back: dict[str, str] = {}
+        self.odd = np.zeros(len(self.pieces), bool)
+        self.odd[list(self.special)] = True
+        self.forget()
         self.library = None
         self.checked: set[int] = set()
         if check:
@@ -132,8 +147,14 @@ class Pieces:
         made = np.array(made, dtype=np.int64)
         self.table = PairTable(size, np.array(keys, dtype=np.int64), better[made].astype(np.int64), made)
 
-    def merge_many(self, units: list[str]) -> list[list[int]]:
-        """The ids of each unit: of every unit the best pair is joined, the leftmost of equals, again and again."""
+    def forget(self) -> None:
+        """Empties what is remembered of units: their numbers, and by number where their ids begin and how many they are."""
+        self.number = Numbers()
+        self.flat, self.start, self.size = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64))
+        self.chars = 0
+
+    def merge_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, and how many each has: the best pair of every unit is joined, the leftmost of equals, again and again."""
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
         char = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         ids, who = self.of_char[char], np.repeat(np.arange(len(units)), sizes)
@@ -156,24 +177,22 @@ class Pieces:
             keep[hit + 1] = False
             ids, who, char = ids[keep], who[keep], char[keep]
         who, ids, char = (np.concatenate(x) for x in zip(*done, strict=True))
-        odd = np.flatnonzero((ids < 0) | (ids >= len(self.pieces)))
         order = np.argsort(who, kind="stable")
-        ends = np.cumsum(np.bincount(who, minlength=len(units)))
-        if odd.size:
-            out: list[list[int]] = [[] for _ in units]
-            for u, i, c in zip(who[order].tolist(), ids[order].tolist(), char[order].tolist(), strict=True):
-                if 0 <= i < len(self.pieces):
-                    out[u].append(i)
-                elif self.byte is not None:
-                    out[u].extend(self.byte[b] for b in chr(c).encode())
-                else:
-                    out[u].append(self.unknown)
-            return out
-        flat, a, cut = ids[order].tolist(), 0, []
-        for b in ends.tolist():
-            cut.append(flat[a:b])
-            a = b
-        return cut
+        who, ids, char = who[order], ids[order], char[order]
+        lone = np.flatnonzero((ids < 0) | (ids >= len(self.pieces)))  # characters that are no piece
+        if not lone.size:
+            return ids, np.bincount(who, minlength=len(units))
+        spelt = [self.spell(chr(c)) for c in char[lone].tolist()]
+        times = np.ones(ids.size, np.int64)
+        times[lone] = list(map(len, spelt))
+        out = np.repeat(ids, times)
+        at = np.cumsum(times) - times
+        out[np.concatenate([np.arange(at[i], at[i] + len(x)) for i, x in zip(lone.tolist(), spelt, strict=True)])] = list(chain.from_iterable(spelt))
+        return out, np.bincount(who, weights=times, minlength=len(units)).astype(np.int64)
+
+    def spell(self, symbol: str) -> list[int]:
+        """The ids of a symbol that is no piece: its bytes, or the unknown piece."""
+        return [self.unknown] if self.byte is None else [self.byte[b] for b in symbol.encode()]
 
     def merge(self, text: str) -> list[str]:
         """The symbols of a text when no pair is left to join."""
@@ -208,12 +227,7 @@ class Pieces:
         ids: list[int] = []
         for s in (unit,) if unit in self.known else self.merge(unit):
             hit = self.known.get(s)
-            if hit is not None:
-                ids.append(hit[0])
-            elif self.byte is not None:
-                ids.extend(self.byte[b] for b in s.encode())
-            else:
-                ids.append(self.unknown)
+            ids += [hit[0]] if hit is not None else self.spell(s)
         return ids
 
     def decode_unit(self, ids: list[int]) -> str:
@@ -247,53 +261,80 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         return [i for u in self.units(text) for i in self.unit_ids(u)]
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids joined by commas, text decoded from them) of each text."""
-        cut = [self.units(t) for t in texts]
-        ids, back, names, pieces, plain = self.cache, self.back, self.names, self.text, self.special.isdisjoint
-        new = sorted(set().union(*cut).difference(ids), key=len) if cut else []
-        short = bisect.bisect_right(new, LONG, key=len)
-        fresh = self.merge_many(new[:short]) if short else []
-        fresh += map(self.unit_ids, new[short:])
-        for u, got in zip(new, fresh, strict=True):
-            ids[u] = ",".join([names[i] for i in got])
-            back[u] = ("".join([pieces[i] for i in got]) if plain(got) else self.decode_unit(got)).replace(SPACE, " ")
-        self.compare(new, fresh, [back[u] for u in new])
-        skip = len(self.prefix)
-        out = [(",".join(map(ids.__getitem__, c)), "".join(map(back.__getitem__, c))[skip:]) for c in cut]
-        for u in new:
-            if len(u) > CACHE_CHARS:
-                del ids[u], back[u]
-        if len(ids) > CACHE_UNITS:
-            ids.clear()
-            back.clear()
-        return out
-
-    def compare(self, units: list[str], ids: list[list[int]], decoded: list[str]) -> None:
+    def learn(self, units: list[str]) -> None:
+        """Works out and remembers new units, numbered as they come."""
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        units = [units[i] for i in order]
+        short = bisect.bisect_right(units, LONG, key=len)
+        flat, size = self.merge_many(units[:short]) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        long = list(map(self.unit_ids, units[short:]))
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(long), np.int64)])
+        size = np.concatenate([size, np.fromiter(map(len, long), np.int64)])
+        self.compare(units, flat, size)
+        start, back = np.empty_like(size), np.empty_like(size)
+        start[order] = self.flat.size + np.cumsum(size) - size
+        back[order] = size
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, back])
+        self.chars += sum(map(len, units))
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.number) > CACHE_UNITS or self.chars > CACHE_CHARS:
+            self.forget()
+        self.number.fresh = []
+        get = self.number.__getitem__
+        cut = [np.fromiter(map(get, u), np.int64, len(u)) for u in map(self.units, texts)]
+        if self.number.fresh:
+            self.learn(self.number.fresh)
+        units = np.concatenate(cut) if cut else np.zeros(0, np.int64)
+        size = self.size[units]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[units] - ends + size, size) + np.arange(int(size.sum()))]
+        last = np.cumsum([len(c) for c in cut])
+        return np.split(ids, np.r_[0, ends][last][:-1])
+
+    def joined(self, ids: np.ndarray) -> str:
+        """Decimal ids with commas between."""
+        return ",".join(map(self.names.__getitem__, ids.tolist()))
+
+    def back(self, ids: np.ndarray) -> str:
+        """The text that ids decode to."""
+        if self.odd[ids].any():
+            return self.decode(ids.tolist())
+        text = "".join(map(self.text.__getitem__, ids.tolist()))
+        return (text[1:] if self.prefix and text.startswith(SPACE) else text).replace(SPACE, " ")
+
+    def compare(self, units: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         """Holds the ids of a batch's units, and what they decode to, against the library's, in one call a batch."""
         if self.library is None or not units:
             return
+        ends = np.cumsum(size)
         if self.unit is None:
             texts = [u[len(self.prefix) :] for u in units]
-            if self.library.encode(texts, num_threads=1) != ids:
+            if self.library.encode(texts, num_threads=1) != [x.tolist() for x in np.split(flat, ends[:-1])]:
                 raise AssertionError("ids differ from the library's")
             return
         first, line = np.array(self.unit_ids(self.prefix + "a")), np.array(self.unit_ids("\n"))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        ours = np.empty(first.size + line.size * len(ids) + int(sizes.sum()), np.int64)
-        begins = first.size + line.size * np.arange(len(ids)) + np.cumsum(sizes) - sizes
-        lines = (begins[:, None] + np.arange(line.size)).ravel()
+        # Some units to a line of text: long texts take the library much longer.
+        before = np.full(len(units), line.size)
+        before[::GROUP] += first.size
+        begins = np.cumsum(before + size) - before - size
+        ours = np.empty(int((before + size).sum()), np.int64)
+        starts = (begins[::GROUP, None] + np.arange(first.size)).ravel()
+        lines = ((begins + before - line.size)[:, None] + np.arange(line.size)).ravel()
         own = np.ones(ours.size, bool)
-        own[: first.size] = own[lines] = False
-        ours[: first.size], ours[lines] = first, np.tile(line, len(ids))
-        ours[own] = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
-        theirs = np.asarray(self.library.encode("a\n" + "\n".join(units), num_threads=1, return_type="numpy"))
+        own[starts] = own[lines] = False
+        ours[starts], ours[lines], ours[own] = np.tile(first, -(-len(units) // GROUP)), np.tile(line, len(units)), flat
+        texts = ["\n".join(["a", *units[i : i + GROUP]]) for i in range(0, len(units), GROUP)]
+        theirs = np.concatenate(self.library.encode(texts, num_threads=1, return_type="numpy"))
         if not np.array_equal(ours, theirs):
             raise AssertionError("ids differ from the library's")
         # Decoding plain pieces is joining them: each is held against the library once, units with other pieces as they are.
-        plain = [i for i in np.unique(ours[own]).tolist() if i not in self.special and i not in self.checked]
+        plain = [i for i in np.unique(flat).tolist() if i not in self.special and i not in self.checked]
         parts = [([i], self.text[i].replace(SPACE, " ")) for i in plain]
-        parts += [(i, t) for i, t in zip(ids, decoded, strict=True) if not self.special.isdisjoint(i)]
+        special = np.unique(np.searchsorted(ends, np.flatnonzero(self.odd[flat]), side="right"))
+        parts += [(x, self.decode_unit(x).replace(SPACE, " ")) for x in (flat[ends[k] - size[k] : ends[k]].tolist() for k in special.tolist())]
         joined = [*first.tolist(), *(i for got, _ in parts for i in (*line.tolist(), *got))]
         if self.library.decode(joined) != "\n".join(["a", *(t for _, t in parts)]):
             raise AssertionError("the decoded text differs from the library's")
@@ -334,12 +375,13 @@ def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool
         for batch in batches:
             got: dict[str, list] = {n: [] for n in fields}
             for part in batches_of(batch):
-                for joined, back in pieces.encode_batch(part):
-                    got["n_tokens"].append(joined.count(",") + 1 if joined else 0)
-                    got["ids_sha256"].append(sha(joined.encode()).hexdigest())
+                for own in pieces.encode_batch(part):
+                    back = pieces.back(own)
+                    got["n_tokens"].append(own.size)
+                    got["ids_sha256"].append(sha(pieces.joined(own).encode()).hexdigest())
                     got["decoded_sha256"].append(sha(back.encode()).hexdigest())
                     if ids:
-                        got["ids"].append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
+                        got["ids"].append(own)
                     if decoded:
                         got["decoded"].append(back)
             yield pa.StructArray.from_arrays([pa.array(got[n], t) for n, (_, t) in fields.items()], list(fields))

@@ -93,7 +93,10 @@ def test_agenda_and_rounds_agree():
 
     p, r = Pieces(tokenizer_bytes("piece_bpe_32k.model"), check=False), random.Random(4)
     units = ["▁" + "".join(r.choice("abeinorst▁日é\x00") for _ in range(r.randrange(1, 60))) for _ in range(300)]
-    for u, ids in zip(units, p.merge_many(units), strict=True):
+    flat, sizes = p.merge_many(units)
+    ends = sizes.cumsum()
+    for u, ids in zip(units, (flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)), strict=True):
+        assert ids == p.unit_ids(u)
         known = [p.known[s][0] if s in p.known else None for s in p.merge(u)]
         assert [i for i in ids if i not in p.value] == [k for k in known if k is not None]
 
