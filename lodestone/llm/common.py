@@ -47,11 +47,13 @@ def ship(spark: SparkSession) -> SparkSession:
                     if f.endswith(".py"):
                         p = os.path.join(here, f)
                         z.write(p, os.path.join("lodestone", os.path.relpath(p, top)))
-        # The driver's own copy; executors fetch it over Spark's file server.
-        path = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
-        with open(path, "wb") as out:
-            out.write(data.getvalue())
-        sc.addPyFile(path)
+        # In the shared folder, from which every executor fetches it.
+        name = f"{shared_folder(spark)}/lodestone-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}.zip"
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        sc.addPyFile(name)
     # Very long texts come a few at a time; a bound that the user has set stays.
     if not sc.getConf().contains(BATCH_BYTES):
         spark.conf.set(BATCH_BYTES, str(32 << 20))
