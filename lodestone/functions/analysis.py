@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -180,16 +181,26 @@ class FunctionAnalyzer(Analyzer):
         return out
 
     def tokens(self, text: Column) -> Column:
-        import pyarrow as pa
+        return self.tokens_of(F.array(text))
 
+    def tokens_of(self, values: Column) -> Column:
+        """The tokens of an array of texts, whose positions go on from value to value."""
         tokenize = self.tokenize
         kind = pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32())]))
 
+        def one(texts: list[str | None] | None) -> list[dict]:
+            out, base = [], 0
+            for t in texts or []:
+                own = tokenize(t or "")
+                out += [{"term": w, "pos": p + base} for w, p in own]
+                base += own[-1][1] + 1 if own else 0
+            return out
+
         @F.arrow_udf(TOKENS)
         def run(batch: pa.Array) -> pa.Array:
-            return pa.array([[{"term": t, "pos": p} for t, p in tokenize(x.as_py() or "")] for x in batch], kind)
+            return pa.array([one(x.as_py()) for x in batch], kind)
 
-        return run(text)
+        return run(values)
 
 
 class PerFieldAnalyzer(Analyzer):
@@ -224,6 +235,8 @@ def field_tokens(analyzer: Analyzer, values: Column, multi: bool) -> Column:
     """
     if not multi:
         return analyzer.tokens(values)
+    if isinstance(analyzer, FunctionAnalyzer):
+        return analyzer.tokens_of(values)
     each = F.transform(F.filter(values, lambda v: v.isNotNull()), analyzer.tokens)
     none = F.array().cast(TOKENS)
     start = F.struct(none.alias("all"), F.lit(0).alias("next"))

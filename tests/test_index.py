@@ -11,6 +11,7 @@ from lodestone import (
     Document,
     Field,
     FieldSpec,
+    FunctionAnalyzer,
     IllegalArgument,
     IndexNotFound,
     IndexReader,
@@ -175,6 +176,37 @@ def test_dataframes_in_and_keys_replaced(spark, tmp_path):
     assert [s2.doc(h.doc).n for s2 in [IndexSearcher(w.reader())] for h in s2.search(TermQuery("tags", "x"), 20).score_docs] == [*range(4, 30, 2), 0, 2]
 
 
+def test_an_analyzer_of_ones_own(spark, tmp_path):
+    def halves(text):
+        """A word, and its first half at the same place."""
+        for w in text.split():
+            yield w, 1
+            yield w[: len(w) // 2], 0
+
+    analyzer = FunctionAnalyzer(halves)
+    schema = IndexSchema({"one": FieldSpec.text(), "many": FieldSpec.text(True)})
+    df = spark.createDataFrame([("lodestone search", ["first value", None, "second"]), (None, None)], "one string, many array<string>")
+    with IndexWriter.open(spark, str(tmp_path), WriterConfig(analyzer=analyzer), schema) as w:
+        w.add_documents(df)
+    s = IndexSearcher(IndexReader.open(spark, str(tmp_path)))
+    assert s.count(TermQuery("one", "lode")) == s.count(TermQuery("many", "sec")) == 1
+    assert s.count(PhraseQuery("one").term("lodestone").term("sea")) == 1 and s.count(PhraseQuery("many").term("value").term("second")) == 1
+    assert s.count(QueryParser("one", analyzer).parse("nothing search")) == 1
+
+
+def test_lines_in_and_hits_out(spark, tmp_path):
+    from lodestone.sources.files import read_lines, write_hits
+
+    (tmp_path / "in.txt").write_text("one fish\ntwo fish\nred hen\n")
+    docs, schema = read_lines(spark, str(tmp_path / "in.txt"))
+    with IndexWriter.open(spark, str(tmp_path / "i"), schema=IndexSchema({"body": schema.get("body").with_stored()})) as w:
+        w.add_documents(docs)
+    s = IndexSearcher(IndexReader.open(spark, str(tmp_path / "i")))
+    write_hits(s.fetch(s.search_df(TermQuery("body", "fish"), 5), "body"), ["body"], str(tmp_path / "out"))
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(h["fields"]["body"] for h in got) == ["one fish", "two fish"] and all(set(h) == {"doc", "score", "fields"} for h in got)
+
+
 def test_streams_fill_an_index(spark, tmp_path):
     from lodestone.streaming.ingest import ingest
 

@@ -120,3 +120,13 @@ def test_lexing_never_hangs(text):
         QueryParser("body", StandardAnalyzer()).parse(text)
     except QueryParse:
         pass
+
+
+def test_the_engine_stands_alone():
+    import pathlib
+
+    import lodestone
+
+    top = pathlib.Path(lodestone.__file__).parent
+    users = [p for p in top.rglob("*.py") if "llm" not in p.parts and "lodestone.llm" in p.read_text()]
+    assert users == []
