@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.analysis import ENGLISH, Analyzer, KeywordAnalyzer, PatternAnalyzer, PerFieldAnalyzer, SimpleAnalyzer, WhitespaceAnalyzer
 from lodestone.operators.batch import search_many
-from lodestone.operators.indexing import field_postings
+from lodestone.operators.indexing import postings
 from lodestone.plans.parser import Operator, QueryParser
 from lodestone.plans.query import UNBOUNDED, BooleanQuery, F64Range, I64Range, MatchAll, MatchNone, PhraseQuery, Query, TermQuery, excluded, included
 from lodestone.reader import IndexReader
@@ -79,8 +79,15 @@ def index_path(spark: SparkSession, sf_dir: str, table: str = "documents", varia
     return _PLACES[key]
 
 
+_OPEN: dict[str, IndexSearcher] = {}
+
+
 def searcher(spark: SparkSession, sf_dir: str, table: str = "documents", variant: str = "") -> IndexSearcher:
-    return IndexSearcher(IndexReader.open(spark, index_path(spark, sf_dir, table, variant)))
+    """An open snapshot of a table's index, as a server would keep it."""
+    path = index_path(spark, sf_dir, table, variant)
+    if path not in _OPEN:
+        _OPEN[path] = IndexSearcher(IndexReader.open(spark, path))
+    return _OPEN[path]
 
 
 def named(s: IndexSearcher, hits: DataFrame, key: str) -> DataFrame:
@@ -136,7 +143,7 @@ def tokenized(analyzer: Analyzer) -> Run:
 
 def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
-    p = field_postings(docs, "text", SCHEMAS["documents"], ANALYZER)
+    p = postings(docs, IndexSchema({"text": FieldSpec.text()}), ANALYZER)
     return p.select("term", F.col("doc").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.col("norm").cast("long").alias("norm"), F.array_join("positions", " ").alias("positions"))
 
 

@@ -80,14 +80,19 @@ class Analyzer:
     def split(self, text: str) -> Iterator[str]:
         raise NotImplementedError
 
-    def tokens(self, text: Column) -> Column:
-        """An array of (term, pos); null texts have none."""
+    def pieces(self, text: Column) -> Column:
+        """The words as an array of strings, long ones cut; an index is a position. Null texts have none."""
         words = F.coalesce(self.words(text), F.array().cast("array<string>"))
         n = self.max_token_length
-        if n is not None:
-            cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= n, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(?s).{{1,{n}}}"), F.lit(0)))))
-            words = F.when(F.exists(words, lambda w: F.length(w) > n), cut).otherwise(words)
-        out = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+        if n is None:
+            return words
+        cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= n, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(?s).{{1,{n}}}"), F.lit(0)))))
+        # No word holds ASCII white space, so most texts show at once that they have no long one.
+        return F.when(text.rlike(rf"[^ \t-\r]{{{n + 1}}}"), cut).otherwise(words)
+
+    def tokens(self, text: Column) -> Column:
+        """An array of (term, pos); null texts have none."""
+        out = F.transform(self.pieces(text), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
         if self.stop_words:
             stop = F.array(*map(F.lit, self.stop_words))
             out = F.filter(out, lambda t: ~F.array_contains(stop, t.term))

@@ -8,7 +8,7 @@ many hits sends no more than a few rows a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.similarity import average_length, factor_array, length_factors
@@ -63,17 +63,22 @@ def search_many(reader: IndexReader, queries: DataFrame, n: int = 10, field: str
         ]
     rows = hit.groupBy("qid", "doc").agg(*aggs).where((F.col("kind") == "OR") | (F.col("slots") == F.col("size")))
     if phrases:
-        # A start that every slot of the phrase shares comes once for each of them.
-        s = F.array_sort("starts")
-        k = F.col("size")
-        freq = F.size(F.filter(F.transform(s, lambda x, i: F.struct(x.alias("x"), (F.get(s, i + k - 1) == x).alias("full"), F.coalesce(F.get(s, i - 1) != x, F.lit(True)).alias("new"))), lambda y: y.full & y.new))
+        # A start that every slot of the phrase shares comes once for each of them: runs of that length, in one pass.
+        none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("found"))
+
+        def step(acc: Column, x: Column) -> Column:
+            run = F.when(acc.at == x, acc.run + 1).otherwise(1)
+            return F.struct(x.alias("at"), run.alias("run"), (acc.found + (run == F.col("size")).cast("int")).alias("found"))
+
+        freq = F.aggregate(F.array_sort("starts"), none, step, lambda acc: acc.found)
         rows = rows.withColumn("freq", F.when(F.col("kind") == "PHRASE", freq))
         phrase = F.col("idfs") - (F.col("idfs") / (one + F.col("freq").cast("float") * F.col("factor"))).cast("float")
         rows = rows.where((F.col("kind") != "PHRASE") | (F.col("freq") > 0)).withColumn("score", F.when(F.col("kind") == "PHRASE", phrase).otherwise(F.col("score")))
     rows = reader.live(rows.select("qid", "doc", "score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc"))
     top = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-    totals = rows.groupBy("qid").agg(F.count("*").alias("total"))
+    # Counting scores keeps this branch like the other, so that both read one exchange.
+    totals = rows.groupBy("qid").agg(F.count("score").alias("total"))
     return top.join(totals, "qid").select("qid", "rank", "doc", "score", "total")
 
 

@@ -1,14 +1,14 @@
 """Documents to postings and statistics.
 
-The tokens of a document are grouped inside its row: they are sorted, and every
-run of one term becomes a posting. So nothing is shuffled before the postings
-are laid out by term, once, with the document in the range key, so that the
+Documents are dealt by number once; then all tokens of one are in one task, and
+are exploded and grouped there without another exchange. The postings are laid
+out by term in a second one, with the document in the range key, so that the
 postings of a very common term spread over many partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,54 +19,55 @@ from lodestone.schema import IndexOptions, IndexSchema
 POSTINGS = "field string, term string, doc bigint, tf int, norm smallint, lead boolean, positions array<int>"
 
 
-def grouped(tokens: DataFrame) -> DataFrame:
-    """doc, n and (term, positions) of each distinct term of the token array t, in byte order of terms.
+def field_postings(docs: DataFrame, name: str, schema: IndexSchema, analyzer: Analyzer) -> DataFrame:
+    """The postings of one field of ``docs`` (doc and the field's column).
 
-    Each step is a column of its own: expressions inside a lambda would be
-    worked out again for every element.
+    ``docs`` should be dealt by doc, as ``postings`` does, or grouping shuffles tokens.
     """
-    s, first = F.col("s"), F.col("first")
-    sorted_ = tokens.select("doc", F.size("t").alias("n"), F.array_sort("t").alias("s"))
-    starts = F.filter(F.transform(s, lambda t, i: i), lambda i: (i == 0) | (F.get(s, i).term != F.get(s, i - 1).term))
-    begun = sorted_.select("doc", "n", "s", starts.alias("first"))
-    ended = begun.select("doc", "n", "s", "first", F.concat(F.slice(first, 2, F.greatest(F.size(first), F.lit(1))), F.array(F.size(s))).alias("ends"))
-    runs = F.transform(first, lambda a, k: F.struct(F.get(s, a).term.alias("term"), F.slice(s, a + 1, F.get(F.col("ends"), k) - a).getField("pos").alias("positions")))
-    # The outer form, as the other would infer a filter on the array and work it out twice.
-    return ended.select("doc", "n", F.posexplode_outer(runs)).where("col is not null")
-
-
-def field_postings(docs: DataFrame, name: str, schema: IndexSchema, analyzer: Analyzer) -> DataFrame:
-    """The postings of one field of ``docs`` (doc and the field's column); no row meets another."""
     spec, kind = schema.get(name), docs.schema[name].dataType
-    multi = isinstance(kind, T.ArrayType)
+    analyzer, multi = analyzer.for_field(name), isinstance(kind, T.ArrayType)
     value = F.col(f"`{name}`")
-    if spec.tokenized:
-        tokens = field_tokens(analyzer.for_field(name), value, multi)
-    else:  # whole values are terms, empty ones too
-        values = F.filter(value, lambda v: v.isNotNull()) if multi else F.when(value.isNotNull(), F.array(value))
-        tokens = F.transform(values, lambda v, i: F.struct(v.alias("term"), i.alias("pos")))
-    tokens = docs.select("doc", F.coalesce(tokens, F.array().cast("array<struct<term:string,pos:int>>")).alias("t"))
-    terms = grouped(tokens)
+    if spec.tokenized and not multi and not analyzer.python and not analyzer.stop_words:
+        # The index of a word is its position, so plain strings are exploded.
+        words = docs.select("doc", analyzer.pieces(value).alias("t"))
+        # The outer form, as the other would infer a filter on the array and work it out twice.
+        tokens = words.select("doc", F.size("t").alias("n"), F.lit(0).alias("first"), F.lit(None).cast("string").alias("head"), F.posexplode_outer("t").alias("pos", "term"))
+    else:
+        if spec.tokenized:
+            each = field_tokens(analyzer, value, multi)
+        else:  # whole values are terms, empty ones too
+            values = F.filter(value, lambda v: v.isNotNull()) if multi else F.when(value.isNotNull(), F.array(value))
+            each = F.transform(values, lambda v, i: F.struct(v.alias("term"), i.alias("pos")))
+        t = docs.select("doc", F.coalesce(each, F.array().cast("array<struct<term:string,pos:int>>")).alias("t"))
+        t = t.select("doc", F.size("t").alias("n"), F.get("t", F.lit(0)).alias("h"), F.explode_outer("t").alias("t"))
+        tokens = t.select("doc", "n", F.col("h.pos").alias("first"), F.col("h.term").alias("head"), F.col("t.pos").alias("pos"), F.col("t.term").alias("term"))
     options = spec.index_options
+    aggs = [F.count("*").alias("tf"), F.min("pos").alias("least")]
+    if options >= IndexOptions.POSITIONS:
+        aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))
+    terms = tokens.where("term is not null").groupBy("doc", "n", "first", "head", "term").agg(*aggs)
     return terms.select(
         F.lit(name).alias("field"),
-        F.col("col.term").alias("term"),
+        "term",
         F.col("doc").cast("long").alias("doc"),
-        (F.size("col.positions") if options >= IndexOptions.FREQS else F.lit(1)).cast("int").alias("tf"),
+        (F.col("tf") if options >= IndexOptions.FREQS else F.lit(1)).cast("int").alias("tf"),
         (encoded_length(F.col("n")) if spec.has_norms else F.lit(1)).cast("smallint").alias("norm"),
-        (F.col("pos") == 0).alias("lead"),
-        (F.col("col.positions") if options >= IndexOptions.POSITIONS else F.lit(None)).cast("array<int>").alias("positions"),
+        ((F.col("least") == F.col("first")) & F.coalesce(F.col("term") == F.col("head"), F.lit(True))).alias("lead"),
+        (F.col("positions") if options >= IndexOptions.POSITIONS else F.lit(None)).cast("array<int>").alias("positions"),
     )
 
 
 def postings(docs: DataFrame, schema: IndexSchema, analyzer: Analyzer) -> DataFrame:
     """The postings of all indexed fields. ``lead`` marks one posting of every document in a field."""
+    spark = docs.sparkSession
+    # A fixed number: small shuffles would be made one task's, which is too few for so much work.
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
     out = None
     for name, spec in schema:
         if spec.indexed and name in docs.columns:
             one = field_postings(docs, name, schema, analyzer)
             out = one if out is None else out.unionByName(one)
-    return docs.sparkSession.createDataFrame([], POSTINGS) if out is None else out
+    return spark.createDataFrame([], POSTINGS) if out is None else out
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
