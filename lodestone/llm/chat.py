@@ -27,6 +27,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ class Template:
             ends.append(len(parts))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.r_[0, np.cumsum(sizes)]
-        flat = np.fromiter((i for p in parts for i in p), np.int32, int(at[-1]))
+        flat = np.fromiter(chain.from_iterable(parts), np.int32, int(at[-1]))
         step = np.zeros(flat.size + 1, np.int32)
         own = np.flatnonzero(weigh)
         np.add.at(step, at[own], 1)
@@ -104,7 +105,7 @@ class Template:
         return np.split(flat, cut), np.split(mask, cut)
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.codec.decode_tokens_bytes(ids)).decode()
+        return self.codec.decode_bytes(ids).decode()
 
     def show(self, ids: list[int]) -> str:
         """The formatted text of ids."""
@@ -117,22 +118,27 @@ class Template:
                 plain.append(i)
         return "".join([*out, self.decode(plain)])
 
-    def turn(self, ids: list[int], mask: list[int]) -> tuple[str, str, str, int]:
+    def turn(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
         """(role, text, text under the mask, formatted length) of the ids of a turn."""
-        close = {self.id[OTHER[2]]} if ids[0] == self.id[OTHER[0]] else {self.opens[ids[0]][1]}
-        if ids[-1] not in close:
+        opened, closed = int(ids[0]), int(ids[-1])
+        if closed != (self.opens[opened][1] if opened in self.opens else self.id[OTHER[2]]):
             raise ValueError("a turn doesn't end as it began")
-        if ids[0] in self.opens:
-            role, begin = self.opens[ids[0]][0], 1
+        if opened in self.opens:
+            role, begin = self.opens[opened][0], 1
             size = sum(map(len, MARKS[role]))
         else:
-            begin = ids.index(self.id[OTHER[1]]) + 1
-            named = self.decode(ids[1 : begin - 1])
+            begin = int(np.flatnonzero(ids == self.id[OTHER[1]])[0]) + 1
+            named = self.decode(ids[1 : begin - 1].tolist())
             role, size = unescape(named), sum(map(len, OTHER)) + len(named)
-        shown = self.decode(ids[begin:-1])
-        weighed = [i for i, m in zip(ids, mask, strict=True) if m]
+        shown = self.decode(ids[begin:-1].tolist())
         text = unescape(shown)
-        loss = text if weighed == ids[begin:-1] else unescape(self.show(weighed))
+        under = mask.astype(bool)
+        if not under.any():
+            loss = ""
+        elif under[begin:-1].all() and not under[:begin].any() and not under[-1]:
+            loss = text
+        else:
+            loss = unescape(self.show(ids[under].tolist()))
         return role, text, loss, size + len(shown)
 
 
@@ -177,7 +183,9 @@ def read_turns(formatted: DataFrame, tokenizer_path: str | None = None) -> DataF
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = _template(data.value)
         for b in batches:
-            got = [template.turn(i.as_py(), m.as_py()) for i, m in zip(b.column("ids"), b.column("mask"), strict=True)]
+            ids, mask = (b.column(c).flatten().to_numpy() for c in ("ids", "mask"))
+            ends = np.cumsum(b.column("ids").value_lengths().to_numpy())
+            got = list(map(template.turn, np.split(ids, ends[:-1]), np.split(mask, ends[:-1]))) if ends.size else []
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)]
             yield pa.record_batch([b.column("conv_id"), b.column("turn"), *cols], names=["conv_id", "turn", "role", "text", "loss", "chars"])

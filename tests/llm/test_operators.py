@@ -277,6 +277,8 @@ def test_forward_sums_all_segmentations():
 
 
 def test_chat(spark, odd):
+    import numpy as np
+
     from lodestone.llm.chat import Template, chat_digests, escape, format_turns, unescape
     from lodestone.llm.common import tokenizer_bytes
 
@@ -294,7 +296,7 @@ def test_chat(spark, odd):
     t = Template(tokenizer_bytes("byte_bpe_50k.tiktoken"))
     for r in made:
         assert len(r.ids) == len(r.mask) and sum(i >= t.first for i in r.ids) in (2, 3)
-        role, _, under, size = t.turn(r.ids, r.mask)
+        role, _, _, size = t.turn(np.array(r.ids), np.array(r.mask))
         assert (role == "assistant" or not any(r.mask)) and size == len(t.show(r.ids))
         assert sum(r.mask) == (len(r.ids) - 2 if role == "assistant" else 0)
 
