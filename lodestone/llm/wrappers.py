@@ -16,7 +16,7 @@ lines that many articles share stay in each.
 
 Rows: null and empty pages give an empty text; pages are taken whole, whatever
 their length; pages without a host, and those of hosts with fewer than
-``least`` different pages, have no wrapper and go by names alone; pages over
+``least`` sampled pages of different titles, have no wrapper and go by names alone; pages over
 ``sample_chars`` don't serve as samples; repeated rows give repeated results;
 an empty table gives an empty result; other columns don't matter.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, ship
 
-PER_HOST, LEAST, SHARE, SAMPLE_CHARS = 12, 4, 0.8, 1_000_000
+PER_HOST, LEAST, SHARE, SAMPLE_CHARS = 16, 4, 0.8, 1_000_000
 #: Trees with more nodes than this (after runs are joined) aren't aligned.
 MOST_NODES, MOST_DEPTH = 400, 60
 #: Elements opened deeper than this have no children; what they hold follows them, as in browsers.
@@ -286,12 +286,29 @@ def aligned(a: Skeleton, b: Skeleton) -> Iterator[tuple[Skeleton, Skeleton]]:
         todo += [(x.kids[i], y.kids[j]) for i, j in matching(x, y, known)[1]]
 
 
+def title(root: Node) -> str:
+    """What a page calls itself: its title, or else its first main heading."""
+    for wanted in ("title", "h1"):
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.name == wanted and (text := plain(node)):
+                return text
+            todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return ""
+
+
 def induce(pages: list[str], least: int = LEAST, share: float = SHARE) -> list | None:
     """The wrapper of pages of one host: nested [label, is template, children], or None.
 
     A node is template if at least ``share`` of the pages have it with one text.
+    Pages with one title are versions of one article, whose text would pass for
+    template; the first stands for them.
     """
-    trees = [t for t, n in map(skeleton, map(parse, pages)) if n <= MOST_NODES]
+    roots: dict[str, Node] = {}
+    for root in map(parse, pages):
+        roots.setdefault(title(root), root)
+    trees = [t for t, n in map(skeleton, roots.values()) if n <= MOST_NODES]
     if len(trees) < least:
         return None
     size = lambda t: 1 + sum(map(size, t.kids))

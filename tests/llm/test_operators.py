@@ -416,6 +416,10 @@ def test_html(spark):
     same = PAGE.format(t="t", nav="", body="<article><p>copy of one page</p></article>")
     rows += [(200 + i, "http://copies.org/a", same) for i in range(30)]
     want.update({200 + i: "copy of one page" for i in range(30)})
+    # Near copies of one article are no template of their site.
+    for i in range(20):
+        rows.append((300 + i, f"http://near.org/{i}", PAGE.format(t="News", nav=f"<nav>{word()}</nav>", body=f"<article><h1>Same heading</h1><p>Same text but {i}</p></article>")))
+        want[300 + i] = f"Same heading\nSame text but {i}"
     df = spark.createDataFrame([(*x, "t", "w") for x in rows], "page_id long, url string, html string, text string, wrapper string")
     got = extract(df)
     assert got.columns == ["page_id", "url", "wrapper", "text", "n_chars"]
