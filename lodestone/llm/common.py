@@ -6,6 +6,7 @@ cluster: what must outlive a task goes to ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import io
 import os
@@ -14,12 +15,15 @@ import zipfile
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space that separates words: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 T = TypeVar("T")
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch: the JVM's writer may hold three times as much for each task, the worker again as much and its results.
+BATCH_SIZE = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -56,7 +60,7 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(name)
     # Very long texts come a few at a time; a bound that the user has set stays.
     if not sc.getConf().contains(BATCH_BYTES):
-        spark.conf.set(BATCH_BYTES, str(32 << 20))
+        spark.conf.set(BATCH_BYTES, str(BATCH_SIZE))
     setattr(sc, mark, True)
     return spark
 
@@ -94,6 +98,14 @@ def only_model(kind: str, data: bytes, make: Callable[[], T]) -> T:
     return _MODEL[key]
 
 
+def give_back() -> None:
+    """Returns memory that a task's batches have left free to the machine, as a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def tokenizer_bytes(name: str, path: str | None = None) -> bytes:
     """A vocabulary file as bytes, read on the driver; ``path`` overrides the installed place."""
     if path is None:

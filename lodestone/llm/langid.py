@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, only_model, ship, tokenizer_bytes
+from lodestone.llm.common import durable, give_back, only_model, ship, tokenizer_bytes
 from lodestone.llm.merging import PairTable
 from lodestone.llm.pieces import SPACE, Pieces, batches_of
 
@@ -258,6 +258,7 @@ def language(text: Column, model: tuple, spark) -> Column:
         for batch in batches:
             got = [p for part in batches_of(batch) for p in held.predict(part)]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+        give_back()
 
     return predict(text)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only_model, ship, tokenizer_bytes
+from lodestone.llm.common import give_back, only_model, ship, tokenizer_bytes
 from lodestone.llm.merging import NONE, PairTable
 
 SPACE = "▁"
@@ -385,6 +385,7 @@ def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool
                     if decoded:
                         got["decoded"].append(back)
             yield pa.StructArray.from_arrays([pa.array(got[n], t) for n, (_, t) in fields.items()], list(fields))
+        give_back()
 
     return encode(text)
 

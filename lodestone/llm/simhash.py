@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, ship
+from lodestone.llm.common import durable, give_back, ship
 from lodestone.llm.components import connected
 
 HOT_KEY = 4096
@@ -96,6 +96,7 @@ def fingerprint(text: Column, spark, width: int = 3, seed: int = 42) -> Column:
                     held, size = [], 0
             found.append(majority(held))
             yield pa.array(np.concatenate(found).view(np.int64), pa.int64())
+        give_back()
 
     return mark(text)
 
@@ -201,6 +202,7 @@ def links(nodes: DataFrame, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
         if rest is not None:
             a, b = link_groups(rest[0], rest[1].view(np.uint64), rest[2], radius)
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        give_back()
 
     found = cold.repartition("k").sortWithinPartitions("k").mapInArrow(compare, "a bigint, b bigint")
     if over:
