@@ -1,24 +1,27 @@
 """HTML extraction by wrapper induction.
 
-A bounded number of pages of every host (``per_host``, those of least hash
-among different pages) are parsed, and their trees are aligned with the one of
-most nodes by simple tree matching: the largest set of node pairs that keeps
-parents and order. Runs of equal siblings are one node of the tree, so that
-lists of any length align. A node that all but few of the sampled pages have,
-with the same text everywhere, is template; any other is a slot. Every page is
-then aligned with its host's wrapper, and its template nodes give no text, nor
-do elements that HTML or their names say to be navigation, page headers,
-footers, sidebars, notices, adverts, forms or reader comments. If a page has
-articles (or else a main element), its text is theirs; if not, its body's.
+Every page of a host counts. Pages whose trees have mostly the same label paths
+are one layout, and the richest tree of a layout is its seed. Every page is
+aligned with its layout's seed by simple tree matching: the largest set of node
+pairs that keeps parents and order. Runs of equal siblings are one node of the
+tree, so that lists of any length align. A seed node that has one text in at
+least ``share`` of the layout's articles is template; any other is a slot. A
+page's template nodes give no text, nor do elements that HTML or their names
+say to be navigation, page headers, footers, sidebars, notices, adverts, forms
+or reader comments. If a page has articles (or else a main element), its text
+is theirs; if not, its body's.
 
 Inside an article only a whole node is template, never one line of a list, so
 lines that many articles share stay in each.
 
+Pages with one title are versions of one article, whose text would pass for
+template, and count as one.
+
 Rows: null and empty pages give an empty text; pages are taken whole, whatever
-their length; pages without a host, and those of hosts with fewer than
-``least`` sampled pages of different titles, have no wrapper and go by names alone; pages over
-``sample_chars`` don't serve as samples; repeated rows give repeated results;
-an empty table gives an empty result; other columns don't matter.
+their length and number of nodes; pages without a host, and layouts with fewer
+than ``least`` articles, have no wrapper and go by names alone; repeated rows
+give repeated results; an empty table gives an empty result; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -28,15 +31,19 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, ship
 
-PER_HOST, LEAST, SHARE, SAMPLE_CHARS = 16, 4, 0.8, 1_000_000
-#: Trees with more nodes than this (after runs are joined) aren't aligned.
-MOST_NODES, MOST_DEPTH = 400, 60
+LEAST, SHARE = 4, 0.8
+#: Pages with so much of their label paths in common have one layout.
+ALIKE = 0.5
+#: Numbers of a table of matches that are held at once; the others are computed again.
+HELD = 1 << 22
 #: Elements opened deeper than this have no children; what they hold follows them, as in browsers.
 DEEPEST = 512
 BROADCAST_BYTES = 32 << 20
@@ -186,14 +193,26 @@ def is_boilerplate(node: Node, in_article: bool) -> bool:
 
 
 class Skeleton:
-    """A tree for alignment: labels, children, and which nodes of the page each stands for."""
+    """A tree for alignment: labels, children, and which nodes of the page each stands for.
+
+    ``shape`` is one number for equal trees of labels, ``size`` how many nodes they have.
+    """
 
-    __slots__ = ("kids", "label", "nodes", "text")
+    __slots__ = ("kids", "label", "nodes", "shape", "size", "template")
 
     def __init__(self, label: str, nodes: list[Node]):
         self.label, self.nodes = label, nodes
         self.kids: list[Skeleton] = []
-        self.text: str | None = None
+        self.shape, self.size, self.template = 0, 1, False
+
+
+def preorder(top: Skeleton) -> list[Skeleton]:
+    out, todo = [], [top]
+    while todo:
+        s = todo.pop()
+        out.append(s)
+        todo.extend(reversed(s.kids))
+    return out
 
 
 def label_of(node: Node) -> str:
@@ -203,11 +222,10 @@ def label_of(node: Node) -> str:
 def skeleton(root: Node) -> tuple[Skeleton, int]:
     """The skeleton and its size; runs of siblings with one label are one node."""
     top, count = Skeleton("html", [root]), 1
-    todo = [(top, 0)]
+    todo = [top]
     while todo:
-        s, depth = todo.pop()
-        if depth >= MOST_DEPTH:
-            continue
+        s = todo.pop()
+        held: dict[str, Skeleton] = {}
         for node in s.nodes:
             before = None
             for c in node.children:
@@ -217,21 +235,40 @@ def skeleton(root: Node) -> tuple[Skeleton, int]:
                 if before is not None and before.label == label:
                     before.nodes.append(c)
                     continue
-                if len(s.nodes) > 1:  # the members of a run share their children's nodes
-                    held = next((k for k in s.kids if k.label == label), None)
-                    if held is not None:
-                        held.nodes.append(c)
-                        before = held
-                        continue
+                if len(s.nodes) > 1 and label in held:  # the members of a run share their children's nodes
+                    before = held[label]
+                    before.nodes.append(c)
+                    continue
                 before = Skeleton(label, [c])
+                held.setdefault(label, before)
                 s.kids.append(before)
                 count += 1
-                if count > MOST_NODES:
-                    return top, count
-        todo += [(k, depth + 1) for k in s.kids]
+        todo += s.kids
     return top, count
 
 
+def paths(top: Skeleton) -> list[int]:
+    """The hashes of the different label paths from the root, as sorted signed longs."""
+    found, todo = set(), [(top, 0)]
+    while todo:
+        s, above = todo.pop()
+        own = xxhash.xxh64_intdigest(s.label, above)
+        if own not in found or s.kids:
+            found.add(own)
+            todo += [(k, own) for k in s.kids]
+    return sorted(x - (1 << 64) if x >> 63 else x for x in found)
+
+
+def alike(a: set[int], b: set[int]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+def long_hash(text: str) -> int:
+    x = xxhash.xxh64_intdigest(text)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def plain(node: Node) -> str:
     """All text below a node, white space made one space."""
     out, todo = [], [node]
@@ -244,35 +281,79 @@ def plain(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
+def shapes(*tops: Skeleton) -> None:
+    """Numbers the shapes of trees, so that equal ones have equal numbers."""
+    number: dict[tuple, int] = {}
+    for top in tops:
+        for s in reversed(preorder(top)):
+            s.size = 1 + sum(k.size for k in s.kids)
+            s.shape = number.setdefault((s.label, *(k.shape for k in s.kids)), len(number) + 1)
+
+
 def matching(a: Skeleton, b: Skeleton, known: dict) -> tuple[int, list]:
-    """Simple tree matching: how many nodes of two trees with one root label pair up, and which children do."""
-    key = (id(a), id(b))
+    """Simple tree matching: how many nodes of two trees with one root label pair up, and which children do.
+
+    Trees of one shape have one answer. Equal trees at the ends of both lists of
+    children pair up in a best match, so only what is between them is searched.
+    """
+    if not known:
+        shapes(a, b)
+        known[0, 0] = 0, []  # shapes count from 1
+    key = (a.shape, b.shape)
     if key in known:
         return known[key]
-    m, n = len(a.kids), len(b.kids)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    gain: dict[tuple[int, int], int] = {}
-    for i in range(1, m + 1):
-        above, row, x = best[i - 1], best[i], a.kids[i - 1]
-        for j in range(1, n + 1):
-            y = b.kids[j - 1]
-            top = above[j] if above[j] >= row[j - 1] else row[j - 1]
-            if x.label == y.label:
-                gain[i, j] = g = matching(x, y, known)[0]
-                if above[j - 1] + g > top:
-                    top = above[j - 1] + g
-            row[j] = top
-    pairs, i, j = [], m, n
-    while i and j:
-        g = gain.get((i, j))
-        if g is not None and best[i][j] == best[i - 1][j - 1] + g:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    known[key] = best[m][n] + 1, pairs
+    if key[0] == key[1]:
+        known[key] = a.size, [(i, i) for i in range(len(a.kids))]
+        return known[key]
+    x, y = a.kids, b.kids
+    end = 0
+    while end < min(len(x), len(y)) and x[-1 - end].shape == y[-1 - end].shape:
+        end += 1
+    begin = 0
+    while begin < min(len(x), len(y)) - end and x[begin].shape == y[begin].shape:
+        begin += 1
+    sure = [(i, i) for i in range(begin)] + [(len(x) - k, len(y) - k) for k in range(1, end + 1)]
+    total = 1 + sum(x[i].size for i, _ in sure)
+    x, y = x[begin : len(x) - end], y[begin : len(y) - end]
+    pairs = []
+    if x and y:
+        # A row a shape of x: what each of y gains with it.
+        gain: dict[int, np.ndarray] = {}
+        for s in x:
+            if s.shape not in gain:
+                gain[s.shape] = np.array([matching(s, t, known)[0] if s.label == t.label else 0 for t in y], np.int32)
+        m, n = len(x), len(y)
+
+        def row_after(row: np.ndarray, i: int) -> np.ndarray:
+            new = row.copy()
+            g = gain[x[i].shape]
+            np.maximum(new[1:], np.where(g > 0, row[:-1] + g, 0), out=new[1:])
+            return np.maximum.accumulate(new)
+
+        step = max(1, HELD // (n + 1))
+        row = np.zeros(n + 1, np.int32)
+        kept = {0: row}
+        for i in range(m):
+            row = row_after(row, i)
+            if (i + 1) % step == 0:
+                kept[i + 1] = row
+        total += int(row[n])
+        i, j, first, rows = m, n, m + 1, []
+        while i and j:
+            if i - 1 < first:
+                first = (i - 1) // step * step
+                rows = [kept[first]]
+                while len(rows) <= i - first:
+                    rows.append(row_after(rows[-1], first + len(rows) - 1))
+            own, above, g = rows[i - first], rows[i - 1 - first], int(gain[x[i - 1].shape][j - 1])
+            if g and own[j] == above[j - 1] + g:
+                pairs.append((begin + i - 1, begin + j - 1))
+                i, j = i - 1, j - 1
+            elif own[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+    known[key] = total, sure + pairs
     return known[key]
 
 
@@ -298,49 +379,53 @@ def title(root: Node) -> str:
     return ""
 
 
-def induce(pages: list[str], least: int = LEAST, share: float = SHARE) -> list | None:
-    """The wrapper of pages of one host: nested [label, is template, children], or None.
+class Layout:
+    """A layout of a host: its label paths, and its seed with the template nodes marked."""
 
-    A node is template if at least ``share`` of the pages have it with one text.
-    Pages with one title are versions of one article, whose text would pass for
-    template; the first stands for them.
-    """
-    roots: dict[str, Node] = {}
-    for root in map(parse, pages):
-        roots.setdefault(title(root), root)
-    trees = [t for t, n in map(skeleton, roots.values()) if n <= MOST_NODES]
-    if len(trees) < least:
-        return None
-    size = lambda t: 1 + sum(map(size, t.kids))
-    seed = max(trees, key=size)
-    texts: dict[int, list[str]] = {}
-    for t in trees:
-        for x, y in aligned(seed, t):
-            texts.setdefault(id(x), []).append("\n".join(map(plain, y.nodes)))
-
-    def built(s: Skeleton) -> list:
-        got = texts.get(id(s), [])
-        common = max(set(got), key=got.count) if got else ""
-        return [s.label, bool(common) and got.count(common) >= share * len(trees), [built(k) for k in s.kids]]
-
-    return built(seed)
-
-
-def revived(wrapper: list) -> Skeleton:
-    s = Skeleton(wrapper[0], [])
-    s.text = "template" if wrapper[1] else None
-    s.kids = [revived(k) for k in wrapper[2]]
-    return s
-
-
-def template_nodes(root: Node, wrapper: Skeleton | None) -> set[int]:
+    def __init__(self, paths: list[int], labels: list[str], parents: list[int], template: list[int] | None):
+        self.paths = set(paths)
+        self.all = [Skeleton(x, []) for x in labels]
+        for s, up in zip(self.all[1:], parents[1:], strict=True):
+            self.all[up].kids.append(s)
+        self.seed = self.all[0]
+        self.usable = template is None or bool(template)
+        for i in template or ():
+            self.all[i].template = True
+
+
+def layouts_of(wrapper: str) -> list[Layout]:
+    return [Layout(*x) for x in json.loads(wrapper)]
+
+
+def layout_for(tree: Skeleton, layouts: list[Layout]) -> int:
+    """The layout most like a tree, of equals the first."""
+    if len(layouts) == 1:
+        return 0
+    own = set(paths(tree))
+    near = [alike(own, x.paths) for x in layouts]
+    return near.index(max(near))
+
+
+def told(root: Node) -> tuple[list[str], list[int]]:
+    """A seed as plain data: labels and parents in page order."""
+    every = preorder(skeleton(root)[0])
+    at = {id(s): i for i, s in enumerate(every)}
+    parents = [0] * len(every)
+    for s in every:
+        for k in s.kids:
+            parents[at[id(k)]] = at[id(s)]
+    return [s.label for s in every], parents
+
+
+def template_nodes(root: Node, layouts: list[Layout] | None) -> set[int]:
     """The page's nodes that its host's wrapper holds to be template."""
-    if wrapper is None:
+    if not layouts:
         return set()
-    tree, count = skeleton(root)
-    if count > MOST_NODES:
+    tree, _ = skeleton(root)
+    own = layouts[layout_for(tree, layouts)]
+    if not own.usable:
         return set()
-    return {id(n) for x, y in aligned(wrapper, tree) if x.text for n in y.nodes}
+    return {id(n) for x, y in aligned(own.seed, tree) if x.template for n in y.nodes}
 
 
 def regions(root: Node) -> list[Node]:
@@ -382,7 +467,7 @@ def blocks(region: Node, skip: set[int], in_article: bool) -> Iterator[str]:
     yield "".join(held)
 
 
-def main_text(page: str | None, wrapper: Skeleton | None = None) -> str:
+def main_text(page: str | None, wrapper: list[Layout] | None = None) -> str:
     """The main text of a page."""
     if not page:
         return ""
@@ -402,30 +487,92 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def host_wrappers(pages: DataFrame, per_host: int = PER_HOST, least: int = LEAST, share: float = SHARE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """host, wrapper (JSON): one row for each host with enough different pages.
+def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+    """host, wrapper (JSON of its layouts): one row for each host.
 
-    ``pages``: host, html. Which pages serve is settled on hashes alone; every
-    task keeps ``per_host`` of a host before rows meet.
+    ``pages``: host, html. Pages meet as hashes; what they count is added up in every task first.
     """
     ship(pages.sparkSession)
-    usable = pages.where(F.col("host").isNotNull() & (F.length("html") > 0) & (F.length("html") <= sample_chars))
-    keyed = usable.select("host", F.xxhash64("html").alias("h"), "html")
-    order = Window.partitionBy("host").orderBy("h")
-    chosen = keyed.select("host", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_host).select("host", "h")
-    chosen = durable(chosen)
-    if chosen.count() * 64 <= BROADCAST_BYTES:
-        chosen = F.broadcast(chosen)
-    # Copies of a page have one hash: a page stands for them.
-    sample = keyed.join(chosen, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.min("html").alias("html"))
+    usable = pages.where(F.col("host").isNotNull() & (F.length("html") > 0)).select("host", F.xxhash64("html").alias("h"), "html")
+
+    @F.arrow_udf("struct<sig:bigint,size:int,paths:array<bigint>>")
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            got = []
+            for page in batch:
+                tree, size = skeleton(parse(page.as_py()))
+                own = paths(tree)
+                got.append({"sig": long_hash(json.dumps(own)), "size": size, "paths": own})
+            yield pa.array(got, pa.struct([("sig", pa.int64()), ("size", pa.int32()), ("paths", pa.list_(pa.int64()))]))
+
+    seen = usable.select("host", "h", look("html").alias("p")).select("host", "h", "p.*")
+    kinds = seen.groupBy("host", "sig", "h").agg(F.first("size").alias("size"), F.first("paths").alias("paths"))
+    kinds = kinds.groupBy("host", "sig").agg(F.count("*").alias("n"), F.max(F.struct("size", "h")).alias("best"), F.first("paths").alias("paths"))
+
+    def cluster(key: tuple, table: pa.Table) -> pa.Table:
+        """The layouts of a host, by its different sets of paths, common ones first."""
+        found: list[tuple[list[int], set[int], list]] = []
+        for r in sorted(table.to_pylist(), key=lambda r: (-r["n"], r["sig"])):
+            own = set(r["paths"])
+            near = [alike(own, x[1]) for x in found]
+            rank = [len(own), r["best"]["size"], r["n"], r["best"]["h"]]
+            if near and max(near) >= ALIKE:
+                held = found[near.index(max(near))]
+                held[2].append(rank)
+            else:
+                found.append((r["paths"], own, [rank]))
+        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "layout": pa.array(range(len(found)), pa.int32()), "paths": pa.array([x[0] for x in found], pa.list_(pa.int64())), "h": pa.array([max(x[2])[-1] for x in found], pa.int64())})
+
+    seeds = durable(kinds.groupBy("host").applyInArrow(cluster, "host string, layout int, paths array<bigint>, h bigint"))
+
+    @F.arrow_udf("struct<labels:array<string>,parents:array<int>>")
+    def tell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            got = [dict(zip(("labels", "parents"), told(parse(page.as_py())), strict=True)) for page in batch]
+            yield pa.array(got, pa.struct([("labels", pa.list_(pa.string())), ("parents", pa.list_(pa.int32()))]))
+
+    wanted = seeds.select("host", "h")
+    wanted = F.broadcast(wanted) if seeds.count() * 64 <= BROADCAST_BYTES else wanted
+    trees = usable.join(wanted, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.min("html").alias("html"))
+    trees = durable(seeds.join(trees.select("host", "h", tell("html").alias("t")), ["host", "h"]).select("host", "layout", "paths", "t.*"))
+
+    def bundle(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("layout", "paths", "labels", "parents", "template"))).alias("all"))
 
-    def learn(key: tuple, table: pa.Table) -> pa.Table:
-        own = table.sort_by("h")["html"].to_pylist()
-        wrapper = induce(own, least, share)
-        out = [] if wrapper is None else [json.dumps(wrapper)]
-        return pa.table({"host": pa.array([key[0].as_py()] * len(out), pa.string()), "wrapper": pa.array(out, pa.string())})
+    @F.arrow_udf("string")
+    def dump(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([json.dumps([[x["paths"], x["labels"], x["parents"], x["template"]] for x in own]) for own in batch.to_pylist()], pa.string())
 
-    return sample.groupBy("host").applyInArrow(learn, "host string, wrapper string")
+    plain_seeds = durable(bundle(trees.withColumn("template", F.lit(None).cast("array<int>"))).select("host", dump("all").alias("wrapper")))
+
+    @F.arrow_udf("struct<layout:int,article:bigint,nodes:array<struct<i:int,text:bigint>>>")
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held: dict[str, list[Layout]] = {}
+        for html, wrapper in batches:
+            got = []
+            for page, w in zip(html.to_pylist(), wrapper.to_pylist(), strict=True):
+                if w not in held:
+                    if len(held) >= 1000:
+                        held.clear()
+                    held[w] = layouts_of(w)
+                root = parse(page)
+                tree, _ = skeleton(root)
+                k = layout_for(tree, held[w])
+                at = {id(s): i for i, s in enumerate(held[w][k].all)}
+                texts = ((at[id(x)], "\n".join(map(plain, y.nodes))) for x, y in aligned(held[w][k].seed, tree))
+                got.append({"layout": k, "article": long_hash(title(root)), "nodes": [{"i": i, "text": long_hash(t)} for i, t in texts if t.strip()]})
+            yield pa.array(got, pa.struct([("layout", pa.int32()), ("article", pa.int64()), ("nodes", pa.list_(pa.struct([("i", pa.int32()), ("text", pa.int64())])))]))
+
+    small = plain_seeds.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    counted = usable.join(F.broadcast(plain_seeds) if small else plain_seeds, "host").select("host", count("html", "wrapper").alias("c")).select("host", "c.*")
+    # Node -1 stands for the page itself.
+    every = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("text"))), "nodes")
+    votes = counted.select("host", "layout", "article", F.explode(every).alias("n")).select("host", "layout", "article", "n.*").distinct().groupBy("host", "layout", "i", "text").count()
+    most = durable(votes.groupBy("host", "layout", "i").agg(F.max("count").alias("n")))
+    total = most.where("i = -1").select("host", "layout", F.col("n").alias("total"))
+    marks = most.where("i >= 0").join(total, ["host", "layout"]).where((F.col("total") >= least) & (F.col("n") >= share * F.col("total"))).groupBy("host", "layout").agg(F.sort_array(F.collect_list("i")).alias("template"))
+    return bundle(trees.join(marks, ["host", "layout"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))).select("host", dump("all").alias("wrapper"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **options) -> DataFrame:
@@ -438,7 +585,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **op
 
     @F.arrow_udf("string")
     def text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        held: dict[str, Skeleton] = {}
+        held: dict[str, list[Layout]] = {}
         for html, wrapper in batches:
             out = []
             for page, w in zip(html, wrapper, strict=True):
@@ -446,7 +593,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **op
                 if w is not None and w not in held:
                     if len(held) >= 1000:
                         held.clear()
-                    held[w] = revived(json.loads(w))
+                    held[w] = layouts_of(w)
                 out.append(main_text(page.as_py(), held.get(w)))
             yield pa.array(out, pa.string())
 

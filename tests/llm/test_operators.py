@@ -434,3 +434,26 @@ def test_simple_tree_matching():
     a, b = tree("<div><p>1</p><ul><li>x</ul><h1>t</h1></div>"), tree("<div><p>2</p><p>3</p><h1>t</h1><ul><li>y<li>z</ul></div>")
     # html, div, p, and of (ul li) and h1, which change places, the larger one.
     assert matching(a, b, {})[0] == 5 and matching(a, a, {})[0] == 6
+
+
+def page_of(t, *parts):
+    return f"<html><head><title>{t}</title></head><body>" + "".join(parts) + "</body></html>"
+
+
+def test_html_counts_all_pages_of_a_host(spark):
+    from lodestone.llm.wrappers import extract
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(6))
+    rows, want = [], {}
+    for i in range(80):
+        own = " ".join(word() for _ in range(8))
+        # Two layouts of half the pages each, neither of which names its menu.
+        if i % 2:
+            parts = "<div id=a1><b>Menu one</b></div>", f"<div id=a2><p>{own}</p></div>", "<div id=a3><i>Legal one</i></div>"
+        else:
+            parts = "<table id=b1><tr><td>Menu two</table>", f"<section id=b2><p>{own}</p></section>", "<ul id=b3><li>Legal two</ul>"
+        rows.append((i, "http://two.org/", page_of(word(), *parts)))
+        want[i] = own
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in extract(df).collect()} == want
