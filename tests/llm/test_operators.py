@@ -457,3 +457,44 @@ def test_html_counts_all_pages_of_a_host(spark):
         want[i] = own
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {x.page_id: x.text for x in extract(df).collect()} == want
+
+
+def test_html_of_many_nodes(spark):
+    from lodestone.llm.wrappers import extract
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(6))
+    rows, want = [], {}
+    for i in range(12):
+        # Over 400 nodes after runs are joined, and a notice over 60 deep.
+        own = [word() for _ in range(2 * (250 + i))]
+        body = "".join(f"<h2>{a}</h2><p>{b}</p>" for a, b in zip(own[::2], own[1::2], strict=True))
+        parts = "<div id=m><b>Menu</b></div>", f"<div id=t>{body}</div>", "<div>" * 70 + f"<em>{own[0]}</em><b>Legal</b>" + "</div>" * 70
+        rows.append((i, "http://long.org/", page_of(word(), *parts)))
+        want[i] = "\n".join([*own, own[0]])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in extract(df).collect()} == want
+
+
+def test_matching_is_the_best_one(monkeypatch):
+    from lodestone.llm import wrappers
+
+    r = random.Random(1)
+
+    def tree(depth, label="a"):
+        s = wrappers.Skeleton(label, [])
+        s.kids = [tree(depth - 1, r.choice("abc")) for _ in range(r.randrange(5))] if depth else []
+        return s
+
+    def best(a, b):
+        rows = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids, 1):
+            for j, y in enumerate(b.kids, 1):
+                rows[i][j] = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + best(x, y) if x.label == y.label else 0)
+        return rows[-1][-1] + 1
+
+    for held in (1 << 22, 6):
+        monkeypatch.setattr(wrappers, "HELD", held, raising=False)
+        for _ in range(150):
+            a, b = tree(3), tree(3)
+            assert wrappers.matching(a, b, {})[0] == best(a, b) == len(list(wrappers.aligned(a, b)))
