@@ -10,7 +10,9 @@ the shared checkpoint folder, so that a lost executor costs no earlier round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable
@@ -47,3 +49,33 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, mark: Callable[[Column], Column], few_ids: int) -> DataFrame:
+    """The row of least id of each group (of equal ids, that of least mark); rows without an id as their marks are free.
+
+    ``groups``: doc_id, mark, comp for each row. Only rows with repeated ids or none are marked again;
+    of all others none moves while at most ``few_ids`` go.
+    """
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    bare, own, text = docs.toDF(*inner.values()), inner[id_col], F.col(inner[text_col])
+    few = lambda df: F.broadcast(df) if df.count() <= few_ids else df
+    named = groups.where("doc_id is not null")
+    best = named.groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    rows = named.groupBy("comp", "doc_id", "mark").count().join(best, "comp")
+    rows = rows.withColumn("stays", F.struct("doc_id", "mark") == F.col("best"))
+    ids = rows.groupBy("doc_id").agg(F.sum("count").alias("n"), F.max("stays").alias("stays"))
+    gone = durable(ids.where("n > 1 or not stays").select(F.col("doc_id").alias(own), "stays"))
+    kept = bare.where(F.col(own).isNotNull()).join(few(gone.select(own)), own, "left_anti")
+    out = kept.select(*inner.values())
+    repeated = gone.where("stays").select(own)
+    if repeated.limit(1).count():
+        again = bare.join(few(repeated), own, "left_semi").withColumn("_mark", mark(text))
+        staying = rows.where("stays").select(F.col("doc_id").alias(own), F.col("mark").alias("_mark"))
+        again = again.join(staying, [own, "_mark"], "left_semi").dropDuplicates([own, "_mark"])
+        out = out.unionByName(again.select(*inner.values()))
+    if groups.where("doc_id is null").limit(1).count():
+        free = bare.where(F.col(own).isNull()).withColumn("_mark", mark(text))
+        free = free.join(named.select(F.col("mark").alias("_mark")).distinct(), "_mark", "left_anti")
+        out = out.unionByName(free.dropDuplicates(["_mark"]).select(*inner.values()))
+    return out.select(*(F.col(n).alias(c) for c, n in inner.items()))

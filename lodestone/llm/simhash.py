@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, give_back, ship
-from lodestone.llm.components import connected
+from lodestone.llm.components import connected, one_of_each
 
 HOT_KEY = 4096
 #: Pairs to a block: a plane of the block has as many bits.
@@ -217,6 +217,14 @@ def links(nodes: DataFrame, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
     return found
 
 
+def fingerprint_groups(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, hot: int) -> DataFrame:
+    """doc_id, mark (the fingerprint), comp: one row for each row of ``docs``. Ids play no part but that rows without one link nothing."""
+    marked = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), docs.sparkSession, width).alias("mark")))
+    nodes = marked.where("doc_id is not null").select(F.col("mark").alias("fp"), F.col("mark").alias("node")).distinct()
+    groups = connected(links(durable(nodes), radius, hot))
+    return marked.join(groups.withColumnRenamed("node", "mark"), "mark", "left").select("doc_id", "mark", F.coalesce("component", "mark").alias("comp"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
     """doc_id, fp (long), component_id: one row for each row of ``docs``."""
     marked = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), docs.sparkSession, width).alias("fp")))
@@ -235,23 +243,7 @@ def simhash_components(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
     """One row of each group of near copies, that of least id, with its own columns.
 
-    Rows without an id stay only where no row with one has their fingerprint, and then one of each fingerprint.
+    Rows that share an id are told apart by their fingerprints. Rows without an id stay only where no row with one has their fingerprint, and then one of each fingerprint.
     """
-    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    bare, own, text = docs.toDF(*inner.values()), inner[id_col], inner[text_col]
-    groups = durable(simhash_groups(docs, id_col, text_col, width, radius, hot))
-    named = groups.where("doc_id is not null")
-    # Of a row without an id and of repeated ids the texts meet; of all others none moves while the losers are few.
-    lost = durable(named.where("doc_id <> component_id").select("doc_id").distinct())
-    twice = durable(named.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    few = lambda df: F.broadcast(df) if df.count() <= FEW else df
-    gone = lost.unionByName(twice)
-    kept = bare.where(F.col(own).isNotNull()).join(few(gone).withColumnRenamed("doc_id", own), own, "left_anti")
-    again = bare.join(few(twice).withColumnRenamed("doc_id", own), own, "left_semi")
-    again = again.join(few(lost).withColumnRenamed("doc_id", own), own, "left_anti").dropDuplicates([own])
-    out = kept.select(*inner.values()).unionByName(again.select(*inner.values()))
-    if groups.where("doc_id is null").limit(1).count():
-        bare_ids = bare.where(F.col(own).isNull()).withColumn("_fp", fingerprint(F.col(text), docs.sparkSession, width))
-        free = bare_ids.join(groups.where("component_id is not null").select(F.col("fp").alias("_fp")).distinct(), "_fp", "left_anti")
-        out = out.unionByName(free.dropDuplicates(["_fp"]).select(*inner.values()))
-    return out.select(*(F.col(n).alias(c) for c, n in inner.items()))
+    groups = durable(fingerprint_groups(docs, id_col, text_col, width, radius, hot))
+    return one_of_each(docs, id_col, text_col, groups, lambda text: fingerprint(text, docs.sparkSession, width), FEW)

@@ -498,3 +498,12 @@ def test_matching_is_the_best_one(monkeypatch):
         for _ in range(150):
             a, b = tree(3), tree(3)
             assert wrappers.matching(a, b, {})[0] == best(a, b) == len(list(wrappers.aligned(a, b)))
+
+
+def test_one_id_on_different_texts(spark):
+    from lodestone.llm.simhash import keep_one
+
+    a, b, c = (" ".join(random.Random(k).choices(string.ascii_lowercase, k=60)) for k in range(3))
+    # 5 stands on two texts that don't link; 7 on one that links to 1 and on one that has no other row.
+    df = spark.createDataFrame([(1, a), (5, b), (5, c), (7, a), (7, "quite another text")], "doc_id long, text string")
+    assert sorted(keep_one(df).collect()) == sorted([(1, a), (5, b), (5, c), (7, "quite another text")])
