@@ -11,6 +11,7 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from typing import TypeVar
@@ -66,11 +67,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: the session's ``spark.checkpoint.dir``; a local one only where none is named, as in tests."""
+    """The folder all machines share: the session's ``spark.checkpoint.dir``. Only a local session, as in tests, may name none and gets one of its own."""
     sc = spark.sparkContext
     own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if own:
         return own.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     mark = f"_lodestone_cp_{sc.applicationId}"
     if not hasattr(sc, mark):
         setattr(sc, mark, tempfile.mkdtemp(prefix="lodestone-cp-"))
@@ -85,6 +88,32 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of ``written`` that nobody has deleted yet.
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, for wide rows of which later readers want few columns; ``sweep`` deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what ``written`` has written, once nothing reads it any more."""
+    while _WRITTEN:
+        delete(spark, _WRITTEN.pop())
+
+
 #: What a Python worker holds over tasks: one model, whichever operator it belongs to.
 _MODEL: dict[tuple, object] = {}
 

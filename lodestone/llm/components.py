@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars.
 
 Each round hangs every node's larger neighbours on the least node known near
-it, then its smaller ones; the rounds end when no edge changes, after a number
+it, then its smaller ones; the rounds end when all edges are stars, after a number
 that grows with the logarithm of the longest chain. A hub's edges meet only in
 a minimum, which is pre-aggregated, and in a join whose other side has one row
 a node, which adaptive execution may split. Every round's edges are written to
@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import durable
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first())
+def settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v < u) are stars: every u hangs on one v, and no v hangs on another."""
+    found = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
+    if found["n"] != found["u"]:
+        return False
+    hung = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return not hung.limit(1).count()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -30,10 +35,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = durable(e)
-    before = _state(e)
-    if not before[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
+        if settled(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
@@ -42,13 +46,18 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
         hung = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = durable(small)
-        after = _state(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError(f"components have not settled in {rounds} rounds")
+
+
+def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``keyed`` (one row a key, with n: the rows that have it), whatever the number of rows of a key.
+
+    A key of over a thousandth of all rows goes to a table of at most a thousand rows, which is broadcast; so no task gets all rows of such a key.
+    """
+    total = rows.count()
+    frequent = F.broadcast(keyed.where(F.col("n") * share > total))
+    rare = keyed.where(F.col("n") * share <= total)
+    return rows.join(frequent, keys).unionByName(rows.join(frequent.select(*keys), keys, "left_anti").join(rare, keys))
 
 
 def one_of_each(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, mark: Callable[[Column], Column], few_ids: int) -> DataFrame:
@@ -61,10 +70,9 @@ def one_of_each(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame,
     bare, own, text = docs.toDF(*inner.values()), inner[id_col], F.col(inner[text_col])
     few = lambda df: F.broadcast(df) if df.count() <= few_ids else df
     named = groups.where("doc_id is not null")
-    best = named.groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
-    rows = named.groupBy("comp", "doc_id", "mark").count().join(best, "comp")
-    rows = rows.withColumn("stays", F.struct("doc_id", "mark") == F.col("best"))
-    ids = rows.groupBy("doc_id").agg(F.sum("count").alias("n"), F.max("stays").alias("stays"))
+    best = named.groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.*", F.lit(True).alias("stays"))
+    rows = durable(named.groupBy("doc_id", "mark").count().join(best, ["doc_id", "mark"], "left"))
+    ids = rows.groupBy("doc_id").agg(F.sum("count").alias("n"), F.max(F.coalesce("stays", F.lit(False))).alias("stays"))
     gone = durable(ids.where("n > 1 or not stays").select(F.col("doc_id").alias(own), "stays"))
     kept = bare.where(F.col(own).isNotNull()).join(few(gone.select(own)), own, "left_anti")
     out = kept.select(*inner.values())
@@ -72,7 +80,7 @@ def one_of_each(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame,
     if repeated.limit(1).count():
         again = bare.join(few(repeated), own, "left_semi").withColumn("_mark", mark(text))
         staying = rows.where("stays").select(F.col("doc_id").alias(own), F.col("mark").alias("_mark"))
-        again = again.join(staying, [own, "_mark"], "left_semi").dropDuplicates([own, "_mark"])
+        again = again.join(few(staying.join(repeated, own, "left_semi")), [own, "_mark"], "left_semi").dropDuplicates([own, "_mark"])
         out = out.unionByName(again.select(*inner.values()))
     if groups.where("doc_id is null").limit(1).count():
         free = bare.where(F.col(own).isNull()).withColumn("_mark", mark(text))

@@ -4,9 +4,10 @@ A fingerprint bit is 1 where over half of the hashes of a text's word shingles
 have it. Equal fingerprints are one node. Of 64 bits in four quarters, two
 fingerprints within two bits agree on two quarters at least, so each distinct
 fingerprint is dealt to six keys of 32 bits. The fingerprints of a key are
-compared vertically: bit planes hold one bit of many pairs a word, carry-save
-counters add up all their distances at once, and a block of pairs is abandoned
-when every one has passed the radius.
+compared vertically: bit planes, which are made once, hold one bit of many
+fingerprints a word; planes meet themselves moved by 1, 2, 3 ... places,
+carry-save counters add up all distances of a move at once, and a word of
+pairs is abandoned when every one has passed the radius.
 
 A key may gather any number of fingerprints (a large group of near copies).
 Keys over ``hot`` fingerprints are counted first and taken another exact way:
@@ -14,6 +15,10 @@ fingerprints within two bits share one that is at most one bit from each, so
 every fingerprint is dealt to itself and its 64 neighbours, and no neighbour
 can gather more than 65. Nothing is capped, and no task sees a whole hot key.
 
+``keep_one`` goes by the similarity of sets of five-word shingles instead of a
+fixed radius. Blocks are then the texts that share a band of least hashes, bit
+planes leave those within a wide radius, and these are compared exactly.
+
 Rows: null and empty texts and those without words have fingerprint zero and
 link as any other; texts of any length are taken whole; repeated rows link as
 copies; a row without an id gets its group's least id; an empty table gives an
@@ -32,11 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, give_back, ship
-from lodestone.llm.components import connected, one_of_each
+from lodestone.llm.components import connected, joined_by_key, one_of_each
 
 HOT_KEY = 4096
-#: Pairs to a block: a plane of the block has as many bits.
-BLOCK = 1 << 16
+#: Bands of least hashes and hashes to a band: texts of similarity 0.8 share one in 999 of 1000 cases.
+#: Their fingerprints differ in some 10 bits of 64, and in over RADIUS hardly ever.
+BANDS, ROWS, RADIUS = 14, 4, 20
 CHUNK = 200_000
 #: Ids up to so many are broadcast (8 bytes each, some MB in all).
 FEW = 500_000
@@ -101,70 +107,115 @@ def fingerprint(text: Column, spark, width: int = 3, seed: int = 42) -> Column:
     return mark(text)
 
 
-def within(x: np.ndarray, y: np.ndarray, radius: int = 2) -> np.ndarray:
-    """For pairs (x[i], y[i]) whether they differ in ``radius`` (at most 2) bits or fewer."""
-    out = np.zeros(x.size, bool)
-    for a in range(0, x.size, BLOCK):
-        differ = x[a : a + BLOCK] ^ y[a : a + BLOCK]
-        pad = -differ.size % 64
-        rows = np.unpackbits(np.r_[differ, np.full(pad, ~np.uint64(0))].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        planes = np.packbits(np.ascontiguousarray(rows.T), axis=1, bitorder="little").view(np.uint64)
-        one, two, over = (np.zeros(planes.shape[1], np.uint64) for _ in range(3))
-        for k, plane in enumerate(planes):
-            carry = one & plane
-            one ^= plane
-            over |= two & carry
-            two ^= carry
-            if k % 8 == 7:
-                far = over | (two & one) if radius == 2 else over | two if radius == 1 else over | two | one
-                if not (~far).any():
-                    break
-        else:
-            far = over | (two & one) if radius == 2 else over | two if radius == 1 else over | two | one
-            out[a : a + differ.size] = np.unpackbits((~far).view(np.uint8), bitorder="little")[: differ.size]
-    return out
+class Planes:
+    """Values of some bits each as bit planes: word j of a plane holds one bit of the values 64 j to 64 j + 63.
 
+    ``beyond`` compares every value with the one some places further on, all
+    pairs at once: a plane meets itself moved by as many bits, and carry-save
+    counters add up the differences. A word of 64 pairs is abandoned once all
+    have passed the radius, and no further plane of it is read.
+    """
 
-def link_groups(key: np.ndarray, value: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what is within ``radius`` in runs of equal keys: no more than a forest of each run's links."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, key.size])
+    def __init__(self, values: np.ndarray, bits: int):
+        rows = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
+        rows = np.vstack([rows, np.zeros((-len(rows) % 64, bits), np.uint8)])
+        self.planes = np.packbits(np.ascontiguousarray(rows.T), axis=1, bitorder="little").view(np.uint64)
+        self.words = self.planes.shape[1]
+        self.read = 0
+
+    def near(self, step: int, words: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
+        """Of the pairs (i, i + step) that ``lanes`` names in ``words``, those that differ in ``radius`` bits or fewer: the places i."""
+        ahead, turn = words + step // 64, np.uint64(step % 64)
+        counters = [np.zeros(words.size, np.uint64) for _ in range(int(radius).bit_length())]
+        over = ~lanes  # pairs that don't count are beyond from the start
+        for k, plane in enumerate(self.planes):
+            moved = self._at(plane, ahead) >> turn
+            if turn:
+                moved |= self._at(plane, ahead + 1) << (np.uint64(64) - turn)
+            carry = plane[words] ^ moved
+            self.read += words.size
+            for c in counters:
+                carry, c[:] = c & carry, c ^ carry
+            over |= carry
+            if k % 8 == 7 or k + 1 == len(self.planes):
+                if counters:
+                    over |= self._past(counters, radius)
+                alive = np.flatnonzero(~over)
+                if alive.size < words.size:
+                    words, ahead, over = words[alive], ahead[alive], over[alive]
+                    counters = [c[alive] for c in counters]
+                if not words.size:
+                    break
+        bit = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        w, lane = np.nonzero(bit)
+        return words[w] * 64 + lane
+
+    def _at(self, plane: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return np.where(words < self.words, plane[np.minimum(words, self.words - 1)], np.uint64(0))
+
+    @staticmethod
+    def _past(counters: list[np.ndarray], radius: int) -> np.ndarray:
+        """The lanes whose count is over ``radius``, from the highest bit down."""
+        more, equal = np.zeros_like(counters[0]), None
+        for k in range(len(counters) - 1, -1, -1):
+            c = counters[k]
+            if radius >> k & 1:
+                equal = c if equal is None else equal & c
+            else:
+                more = more | (c if equal is None else equal & c)
+                equal = ~c if equal is None else equal & ~c
+        return more
+
+
+def neighbours(starts: np.ndarray, value: np.ndarray, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within ``radius`` in runs that begin at ``starts``: those one place apart, those two apart, and so on."""
+    if not value.size:
+        return
+    sizes = np.diff(np.r_[starts, value.size])
     end = np.repeat(starts + sizes, sizes)
-    parent = np.arange(key.size)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    # Pairs at distance step in their run, all runs at once.
-    at = np.flatnonzero(np.arange(key.size) + 1 < end)
+    planes = Planes(value, bits)
+    at = np.flatnonzero(np.arange(value.size) + 1 < end)
     step = 1
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal size
-        if held:
-            i, j = (np.concatenate(p) for p in zip(*held, strict=True))
-            hit = within(value[i], value[j], radius)
-            for a, b in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-            held.clear()
-            size = 0
-
     while at.size:
-        held.append((at, at + step))
-        size += at.size
-        if size >= BLOCK:
-            flush()
+        words, first = np.unique(at >> 6, return_index=True)
+        lanes = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+        hit = planes.near(step, words, lanes, radius)
+        if hit.size:
+            yield hit, hit + step
         step += 1
         at = at[at + step < end[at]]
-    flush()
-    top = np.fromiter((root(i) for i in range(key.size)), np.int64, key.size)
+
+
+class Forest:
+    """What is joined, by places; the least place of a tree is its root."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            above = self.up[self.up]
+            if np.array_equal(above, self.up):
+                return above
+            self.up = above
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins pairs, all at once, until nothing changes."""
+        while i.size:
+            top = self.roots()
+            a, b = top[i], top[j]
+            new = a != b
+            i, j, a, b = i[new], j[new], a[new], b[new]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+
+
+def link_groups(key: np.ndarray, value: np.ndarray, node: np.ndarray, radius: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what is within ``radius`` in runs of equal keys: no more than a forest of each run's links."""
+    forest = Forest(key.size)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for i, j in neighbours(starts, value, bits, radius):
+        forest.join(i, j)
+    top = forest.roots()
     own = np.flatnonzero(top != np.arange(key.size))
     return node[own], node[top[own]]
 
@@ -178,8 +229,10 @@ def links(nodes: DataFrame, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
         raise ValueError("radius must be 0, 1 or 2")
     ship(nodes.sparkSession)
     quarter = [F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)]
-    keys = F.array(*(F.lit(t << 32) + F.shiftleft(quarter[p], 16) + quarter[q] for t, (p, q) in enumerate(combinations(range(4), 2))))
-    dealt = nodes.select(F.explode(keys).alias("k"), "fp", "node")
+    pair = lambda p, q: F.shiftleft(quarter[p], 16) + quarter[q]
+    # A key is two quarters; fingerprints of one key can only differ in the other two.
+    keys = F.array(*(F.struct((F.lit(t << 32) + pair(p, q)).alias("k"), pair(*sorted({0, 1, 2, 3} - {p, q})).alias("rest")) for t, (p, q) in enumerate(combinations(range(4), 2))))
+    dealt = nodes.select(F.explode(keys).alias("x"), "fp", "node").select("x.k", "x.rest", "fp", "node")
     large = durable(dealt.groupBy("k").count().where(F.col("count") > hot).select("k"))
     over = large.count()
     cold = dealt
@@ -189,22 +242,22 @@ def links(nodes: DataFrame, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            k, fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            k, value, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             if rest is not None:
-                k, fp, node = (np.concatenate(p) for p in zip(rest, (k, fp, node), strict=True))
+                k, value, node = (np.concatenate(p) for p in zip(rest, (k, value, node), strict=True))
             if not k.size:
                 continue
             cut = np.searchsorted(k, k[-1])  # the last key may go on
-            rest = k[cut:], fp[cut:], node[cut:]
+            rest = k[cut:], value[cut:], node[cut:]
             if cut:
-                a, b = link_groups(k[:cut], fp[:cut].view(np.uint64), node[:cut], radius)
+                a, b = link_groups(k[:cut], value[:cut], node[:cut], radius)
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
         if rest is not None:
-            a, b = link_groups(rest[0], rest[1].view(np.uint64), rest[2], radius)
+            a, b = link_groups(*rest, radius)
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
         give_back()
 
-    found = cold.repartition("k").sortWithinPartitions("k").mapInArrow(compare, "a bigint, b bigint")
+    found = cold.select("k", "rest", "node").repartition("k").sortWithinPartitions("k").mapInArrow(compare, "a bigint, b bigint")
     if over:
         inside = dealt.join(F.broadcast(large) if over <= 100_000 else large, "k", "left_semi").select("fp", "node").distinct()
         near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)))
@@ -217,21 +270,13 @@ def links(nodes: DataFrame, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
     return found
 
 
-def fingerprint_groups(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, hot: int) -> DataFrame:
-    """doc_id, mark (the fingerprint), comp: one row for each row of ``docs``. Ids play no part but that rows without one link nothing."""
-    marked = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), docs.sparkSession, width).alias("mark")))
-    nodes = marked.where("doc_id is not null").select(F.col("mark").alias("fp"), F.col("mark").alias("node")).distinct()
-    groups = connected(links(durable(nodes), radius, hot))
-    return marked.join(groups.withColumnRenamed("node", "mark"), "mark", "left").select("doc_id", "mark", F.coalesce("component", "mark").alias("comp"))
-
-
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
     """doc_id, fp (long), component_id: one row for each row of ``docs``."""
     marked = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), docs.sparkSession, width).alias("fp")))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    groups = connected(links(nodes.where("node is not null"), radius, hot))
-    named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    groups = connected(links(nodes.where("node is not null").select("fp", "node"), radius, hot))
+    named = nodes.join(groups, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    return joined_by_key(marked, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, **options) -> DataFrame:
@@ -240,10 +285,158 @@ def simhash_components(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, hot: int = HOT_KEY) -> DataFrame:
+# Near copies by similarity: blocks by least hashes, distances by bit planes, exact similarity of what is left.
+
+
+def multipliers(n: int) -> np.ndarray:
+    """Odd factors, each of which puts hashes in another order."""
+    return np.fromiter((xxhash.xxh64_intdigest(str(k), 1) | 1 for k in range(n)), np.uint64, n)
+
+
+def sketch(text: Column, spark, width: int, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """A struct for each text: mark (of its set of shingles), n (their number), fp, and one key a band of least hashes."""
+    ship(spark)
+
+    @F.arrow_udf("struct<mark:string,n:int,fp:bigint,keys:array<bigint>>")
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        factors = multipliers(bands * rows)
+        for batch in batches:
+            marks, sizes, fps, keys = [], [], [], []
+            for x in batch:
+                h = shingle_hashes(x.as_py(), width)
+                own = np.unique(h)
+                fps.append(majority([h]))
+                marks.append(xxhash.xxh128_hexdigest(own.tobytes()))
+                sizes.append(own.size)
+                least = np.full(factors.size, ~np.uint64(0))
+                for a in range(0, own.size, CHUNK // factors.size):
+                    np.minimum(least, (own[None, a : a + CHUNK // factors.size] * factors[:, None]).min(1), out=least)
+                band = least.reshape(bands, rows)
+                keys.append([xxhash.xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(band)] if own.size else [])
+            held = np.fromiter((k for own in keys for k in own), np.uint64).view(np.int64)
+            ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(held, pa.int64()))
+            fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
+            yield pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array(sizes, pa.int32()), pa.array(fp, pa.int64()), lists], ["mark", "n", "fp", "keys"])
+        give_back()
+
+    return look(text)
+
+
+def shingle_sets(text: Column, spark, width: int) -> Column:
+    """A struct for each text: mark, and its different shingle hashes."""
+    ship(spark)
+
+    @F.arrow_udf("struct<mark:string,own:array<bigint>>")
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), width)) for x in batch]
+            marks = [xxhash.xxh128_hexdigest(s.tobytes()) for s in sets]
+            yield pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["mark", "own"])
+        give_back()
+
+    return look(text)
+
+
+def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every: bool) -> DataFrame:
+    """a, b: marks of one key and of two labels whose fingerprints are within ``radius`` and whose sizes allow the similarity.
+
+    ``dealt``: k, fp, n, mark, label. With ``every`` all such pairs; without, no more than a forest a key.
+
+    A key of over ``hot`` marks is cut by hash into parts of about half as many, so that no task holds all of them.
+    For every pair each two parts meet as a group of their own.
+    """
+    ship(dealt.sparkSession)
+    sizes = durable(dealt.groupBy("k").agg(F.count("*").alias("c"), F.count_distinct("label").alias("labels")).where("labels > 1").select("k", F.ceil(F.col("c") * 2 / hot).cast("bigint").alias("parts")))
+    held = dealt.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "k")
+    part = F.when(F.col("parts") > 2, F.pmod(F.xxhash64("mark", "k"), F.col("parts"))).otherwise(F.lit(0)).cast("bigint")
+    both = held.withColumn("part", part)
+    if every:
+        large = both.where("parts > 2").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).where("part <> other")
+        both = both.where("parts <= 2").unionByName(large.withColumn("part", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("other"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            k, part, fp, n = (t[c].to_numpy() for c in ("k", "part", "fp", "n"))
+            marks, labels = t["mark"].combine_chunks(), t["label"].combine_chunks()
+            kind = labels.dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1])])
+            forest, found = Forest(len(k)), []
+            for i, j in neighbours(starts, fp.view(np.uint64), 64, radius):
+                fit = (kind[i] != kind[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+                i, j = i[fit], j[fit]
+                if not every:
+                    top = forest.roots()
+                    new = top[i] != top[j]
+                    i, j = i[new], j[new]
+                    forest.join(i, j)
+                found.append((i, j))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            return pa.record_batch([marks.take(pa.array(i)), marks.take(pa.array(j))], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not t.num_rows:
+                continue
+            k, part = t["k"].to_numpy(), t["part"].to_numpy()
+            last = (k == k[-1]) & (part == part[-1])  # the last group may go on
+            cut = int(np.argmax(last))
+            rest = t.slice(cut)
+            if cut:
+                yield pairs(t.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield pairs(rest)
+        give_back()
+
+    both = both.select("k", "part", "fp", "n", "mark", "label").repartition("k", "part").sortWithinPartitions("k", "part", "mark")
+    found = both.mapInArrow(compare, "a string, b string")
+    return durable(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot: int = HOT_KEY) -> DataFrame:
+    """doc_id, mark, comp: one row for each row of ``docs``; texts whose sets of shingles have that Jaccard similarity or more are linked.
+
+    Candidates share a key of least hashes and have fingerprints within ``radius``; each is then
+    held against the similarity exactly. First a forest of candidates is looked at, which joins
+    nearly all that is alike; then all candidates that are in different groups still.
+    """
+    spark = docs.sparkSession
+    own, text = F.col(id_col).cast("long"), F.col(text_col)
+    marked = durable(docs.select(own.alias("doc_id"), sketch(text, spark, width).alias("s")).select("doc_id", "s.*"))
+    nodes = marked.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = durable(nodes)
+    dealt = nodes.select(F.explode("keys").alias("k"), "fp", "n", "mark")
+    dealt = durable(dealt.join(dealt.groupBy("k").count().where("count > 1").select("k"), "k"))
+    few = lambda df: F.broadcast(df) if df.count() <= FEW else df
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs that have the similarity."""
+        wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct().join(nodes.select("mark", "id"), "mark"))
+        rows = docs.select(own.alias("id"), text.alias("t")).join(few(wanted.select("id").distinct()), "id", "left_semi")
+        sets = rows.select("id", shingle_sets(F.col("t"), spark, width).alias("s")).select("id", "s.mark", "s.own")
+        sets = durable(sets.join(few(wanted), ["id", "mark"], "left_semi").groupBy("mark").agg(F.first("own").alias("own")))
+        both = pairs.join(sets.select(F.col("mark").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("mark").alias("a"), F.col("own").alias("x")), "a")
+        shared = F.size(F.array_intersect("x", "y"))
+        return durable(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"))
+
+    first = near_pairs(dealt.withColumn("label", F.col("mark")), radius, similarity, hot, every=False)
+    edges = alike(first)
+    joined = connected(edges).select(F.col("node").alias("mark"), F.col("component").alias("label"))
+    labels = dealt.join(few(joined), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
+    rest = near_pairs(labels, radius, similarity, hot, every=True).join(first, ["a", "b"], "left_anti")
+    groups = connected(edges.unionByName(alike(durable(rest))))
+    named = groups.withColumnRenamed("node", "mark")
+    return marked.select("doc_id", "mark").join(few(named), "mark", "left").select("doc_id", "mark", F.coalesce("component", "mark").alias("comp"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot: int = HOT_KEY) -> DataFrame:
     """One row of each group of near copies, that of least id, with its own columns.
 
-    Rows that share an id are told apart by their fingerprints. Rows without an id stay only where no row with one has their fingerprint, and then one of each fingerprint.
+    Rows that share an id are told apart by their marks. Rows without an id stay only where no row with one has their set of shingles, and then one of each set.
+    Null and empty texts and those without words have one empty set; an empty table gives an empty result.
     """
-    groups = durable(fingerprint_groups(docs, id_col, text_col, width, radius, hot))
-    return one_of_each(docs, id_col, text_col, groups, lambda text: fingerprint(text, docs.sparkSession, width), FEW)
+    spark = docs.sparkSession
+    groups = durable(similar_groups(docs, id_col, text_col, width, similarity, radius, hot))
+    return one_of_each(docs, id_col, text_col, groups, lambda text: shingle_sets(text, spark, width)["mark"], FEW)

@@ -47,6 +47,30 @@ def simhash(docs, radius=2):
     return {i: (f"{fp[i]:016x}", g.root(i)) for i in ids}
 
 
+def shingles(text, width=5):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = WORD.findall(lowered)
+    return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {" ".join(w)} if w else set()
+
+
+def near_copies(docs, least=0.8):
+    """{doc_id: component} of (doc_id, text) rows by the Jaccard similarity of sets of five-word shingles"""
+    sets = {i: shingles(t) for i, t in docs}
+    g, holders, seen = Groups(sets), defaultdict(list), {}
+    for i in sorted(sets):
+        first = seen.setdefault(frozenset(sets[i]), i)
+        g.join(i, first)
+        if first != i:
+            continue
+        shared = Counter(j for x in sets[i] for j in holders[x])
+        for j, n in shared.items():
+            if n / (len(sets[i]) + len(sets[j]) - n) >= least:
+                g.join(i, j)
+        for x in sets[i]:
+            holders[x].append(i)
+    return {i: g.root(i) for i in sets}
+
+
 def measures(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"""
     t = text or ""

@@ -132,25 +132,58 @@ def test_simhash(spark, docs, odd, hot):
         assert simhash_components(empty(spark)).count() == 0
 
 
-def test_distances_by_bit_planes():
+@pytest.mark.parametrize("radius", [0, 1, 2, 5, 20])
+def test_distances_by_bit_planes(radius):
     import numpy as np
 
-    from lodestone.llm.simhash import within
+    from lodestone.llm.simhash import neighbours
 
-    r = np.random.default_rng(2)
-    x = r.integers(0, 1 << 63, 5000, dtype=np.uint64)
-    y = x.copy()
-    for k in range(5):
-        y ^= np.where(r.random(5000) < 0.4, np.uint64(1) << r.integers(0, 64, 5000, dtype=np.uint64), np.uint64(0))
-    true = np.array([int(a ^ b).bit_count() for a, b in zip(x.tolist(), y.tolist(), strict=True)])
-    for radius in (0, 1, 2):
-        assert (within(x, y, radius) == (true <= radius)).all()
+    r = np.random.default_rng(radius)
+    sizes = np.r_[r.integers(1, 9, 40), 200, 1, 3]
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    x = r.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64)
+    for _ in range(radius + 1):  # some are copies of one before, but for a few bits
+        near = np.maximum(0, np.arange(x.size) - r.integers(1, 5, x.size))
+        x = np.where(r.random(x.size) < 0.6, x[near] ^ (np.uint64(1) << r.integers(0, 64, x.size, dtype=np.uint64)), x)
+    got = [p for i, j in neighbours(starts, x, 64, radius) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {(i, j) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) for i in range(s, s + n) for j in range(i + 1, s + n) if int(x[i] ^ x[j]).bit_count() <= radius}
+    assert len(got) == len(want) and set(got) == want and (radius == 0 or want)
 
 
-def test_one_of_each_group_stays(spark, docs, odd):
+def test_words_of_distant_pairs_are_abandoned():
+    import numpy as np
+
+    from lodestone.llm.simhash import Planes
+
+    x = np.zeros(6400, np.uint64)
+    x[1::2] = ~np.uint64(0)  # each is far from the next one, and the same as the second next
+    lanes, words = np.full(100, ~np.uint64(0)), np.arange(100)
+    p = Planes(x, 64)
+    assert not p.near(1, words, lanes, 2)[:-1].size and p.read <= 8 * 100 + 64
+    p = Planes(x, 64)
+    assert p.near(2, words, lanes, 2).size >= 6398 and p.read == 64 * 100
+
+
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_one_of_each_group_stays(spark, docs, odd, hot):
     from lodestone.llm.simhash import keep_one
 
-    want = {i for i, (_, c) in brute.simhash(texts(docs).items()).items() if i == c}
+    r = random.Random(12)
+    words = ["".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(400)]
+    rows = []
+    for _ in range(40):  # texts, copies of them, chains of changed copies, and texts that only share a passage
+        own = [r.choice(words) for _ in range(r.choice([3, 60, 200]))]
+        for _ in range(r.randrange(1, 6)):
+            rows.append((len(rows), " ".join(own)))
+            for _ in range(r.choice([0, 1, 2, 9])):
+                own[r.randrange(len(own))] = r.choice(words)
+        rows.append((len(rows), " ".join(own[: len(own) // 2] + [r.choice(words) for _ in own])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, c in brute.near_copies(rows).items() if i == c}
+    assert 40 < len(want) < len(rows) and {x.doc_id for x in keep_one(df, hot=hot).collect()} == want
+    if hot == 4:
+        return
+    want = {i for i, c in brute.near_copies(texts(docs).items()).items() if i == c}
     kept = keep_one(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
     got = keep_one(odd)
@@ -503,7 +536,10 @@ def test_matching_is_the_best_one(monkeypatch):
 def test_one_id_on_different_texts(spark):
     from lodestone.llm.simhash import keep_one
 
-    a, b, c = (" ".join(random.Random(k).choices(string.ascii_lowercase, k=60)) for k in range(3))
+    a, b, c, d = (" ".join(random.Random(k).choices(string.ascii_lowercase, k=60)) for k in range(4))
     # 5 stands on two texts that don't link; 7 on one that links to 1 and on one that has no other row.
     df = spark.createDataFrame([(1, a), (5, b), (5, c), (7, a), (7, "quite another text")], "doc_id long, text string")
     assert sorted(keep_one(df).collect()) == sorted([(1, a), (5, b), (5, c), (7, "quite another text")])
+    # No text may vanish: every text that no kept row has is a near copy of one.
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, c), (9, c + " zz " + a), (9, d), (9, d)], "doc_id long, text string")
+    assert sorted(keep_one(df).collect()) == sorted([(3, a), (5, b), (9, c), (9, c + " zz " + a), (9, d)])

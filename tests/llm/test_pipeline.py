@@ -34,8 +34,8 @@ def test_stages(spark, tmp_path):
         elif name == "quality_rules":
             assert ids(after) == ids(quality(before).where("kept"))
         elif name == "near_dedup":
-            groups = brute.simhash([(r.doc_id, r.text) for r in before.collect()])
-            assert ids(after) == sorted(i for i, (_, c) in groups.items() if i == c)
+            groups = brute.near_copies([(r.doc_id, r.text) for r in before.collect()])
+            assert ids(after) == sorted(i for i, c in groups.items() if i == c)
         elif name == "source_mixing":
             assert ids(after) == sorted(r.doc_id for r in mixture(before).collect() for _ in range(r.copies))
         else:
