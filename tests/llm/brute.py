@@ -97,19 +97,23 @@ def conversations(rows):
 
 
 def cosine_groups(rows, least):
-    """{vec_id: (n_links, component, kept)} of (vec_id, vector, label) rows"""
-    import numpy as np
+    """{vec_id: (n_links, component, kept)} of (vec_id, vector, label) rows, in exact fractions but for the root"""
+    from fractions import Fraction
+    from math import isfinite
 
     good = {}
     for i, v, label in rows:
-        if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = np.array(np.array(v, np.float32), np.float64), label
+        if label is not None and v and all(x is not None and isfinite(x) for x in v) and any(v):
+            x = [Fraction(c) for c in v]
+            good[i] = x, sum(c * c for c in x), label
     g, n = Groups([r[0] for r in rows]), Counter()
-    ids = sorted(good)
+    ids, bar = sorted(good), Fraction(least) ** 2
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            (x, lx), (y, ly) = good[a], good[b]
-            if lx == ly and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= least:
-                g.join(a, b)
-                n.update((a, b))
+            (x, xx, lx), (y, yy, ly) = good[a], good[b]
+            if lx == ly and len(x) == len(y):
+                dot = sum(p * q for p, q in zip(x, y, strict=True))
+                if dot > 0 and dot * dot >= bar * xx * yy:
+                    g.join(a, b)
+                    n.update((a, b))
     return {r[0]: (n[r[0]], g.root(r[0]), g.root(r[0]) == r[0]) for r in rows}

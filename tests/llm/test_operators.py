@@ -2,6 +2,7 @@
 
 import random
 import string
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,14 +205,36 @@ def test_embeddings(spark):
             rows.append((len(rows) + 1, [x * 3 + r.gauss(0, noise) for x in base] if noise else base, k % 3 if r.random() < 0.95 else None))
     nan, inf = float("nan"), float("inf")
     rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 16, 1), (903, [nan] + [1.0] * 15, 1), (904, [inf] * 16, 1), (905, [None] + [1.0] * 15, 1), (906, [1.0, 2.0], 1), (907, [2.0, 4.0], 1), (908, [1.0], 2), (909, [-1.0], 2)]
+    single = lambda v: v and [x if x is None else struct.unpack("f", struct.pack("f", x))[0] for x in v]
+    floats = [(i, single(v), label) for i, v, label in rows]
     df = spark.createDataFrame([(*x, "clash", 5) for x in rows], "vec_id long, embedding array<float>, label int, node string, n int")
-    want = brute.cosine_groups(rows, 0.98)
+    want = brute.cosine_groups(floats, 0.98)
     assert sum(n for n, _, _ in want.values()) > 50
-    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_groups(df).collect()}
-    assert got == want
+    found = lambda df, **o: {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_groups(df, **o).collect()}
+    assert found(df) == want and found(df, block=150) == want
+    # Doubles stay doubles, and neither very large nor very small ones leave their range.
+    rows += [(950 + k, v, 7) for k, v in enumerate([[1e50, 1e50], [2e50, 2e50], [1e-60, 1e-60], [1.0, 1.0], [1e308, 1e308], [5e-324, 5e-324], [1.0, -1.0]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert found(df) == brute.cosine_groups(rows, 0.98) and found(df)[953][:2] == (5, 950)
     assert embedding_groups(df.limit(0)).count() == 0 and embedding_groups(df.where("vec_id = 902")).first().kept
     copies = spark.createDataFrame([(i, [0.5, 0.25], 1) for i in range(1, 400)], "vec_id long, embedding array<float>, label int")
     assert {(x.n_links, x.component_id) for x in embedding_groups(copies).collect()} == {(398, 1)}
+    # An id on two vectors, and none.
+    twice = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 0.0], 1), (7, [0.0, 2.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embedding_groups(twice).where("vec_id is not null").collect())) == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+    assert [(x.n_links, x.component_id, x.kept) for x in embedding_groups(twice).where("vec_id is null").collect()] == [(0, None, True)]
+
+
+def test_boxes_prove_dense_groups():
+    import numpy as np
+
+    from lodestone.llm.gridorder import AXES, Block, BlockJoin, placed
+
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(4, AXES)), 500, axis=0) + r.normal(size=(2000, AXES)) * 1e-4
+    b = Block(np.arange(2000).tobytes(), np.full(2000, 2).tobytes(), x.tobytes(), "f8", placed(x, None).tobytes())
+    got = BlockJoin(b, None, 0.98, 0.2)
+    assert got.proven > 4 * got.computed and set(got.more_a.tolist()) == {998} and set(got.forest.roots().tolist()) == {0, 500, 1000, 1500}
 
 
 def test_chain_of_links_is_one_group(spark):
