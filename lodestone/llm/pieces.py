@@ -1,12 +1,11 @@
 """SentencePiece encoding and decoding with merge-type vocabularies.
 
 Adjacent symbols that join to a piece wait in an agenda ordered by score, then
-by place; the best pair is joined and its new neighbours enter the agenda. The
-agendas of a batch's short units lie in flat numpy arrays that give up the best
-pair of every unit at once; a long unit has a heap of its own. A text is first cut where no piece of the vocabulary can cross (before a run
-of spaces, around line ends), and each distinct unit is worked out once. The
-distinct units of every Arrow batch are then encoded by the sentencepiece
-library too, and any difference stops the job.
+by place; the best pair is joined and its new neighbours enter the agenda. A
+text is first cut where no piece of the vocabulary can cross (before a run of
+spaces, around line ends), and each distinct unit is worked out once, by an
+agenda of its own. The distinct units of every Arrow batch are then encoded by
+the sentencepiece library too, and any difference stops the job.
 
 Rows: a null text is an empty one and has no ids; texts of any length are taken
 whole; repeated rows give repeated results; an empty table gives an empty
@@ -15,7 +14,6 @@ result; other columns of the input don't matter.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import heapq
 import re
@@ -29,12 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import give_back, only_model, ship, tokenizer_bytes
-from lodestone.llm.merging import NONE, PairTable
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units of more characters have a heap of their own; units that are checked in one text.
-LONG, GROUP = 96, 256
+#: Units that are checked in one text.
+GROUP = 256
 #: Distinct units and their characters that a worker remembers; characters encoded at a time.
 CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 300_000, 8_000_000, 1_000_000
 
@@ -100,7 +97,7 @@ class Pieces:
         if any(kind in (USER_DEFINED, UNUSED) for _, _, kind in self.pieces):
             raise ValueError("user-defined and unused pieces are not supported")
         self.prefix = SPACE if normal.get(3, 1) else ""
-        self.known = {p: (i, s) for i, (p, s, kind) in enumerate(self.pieces) if kind == NORMAL}
+        self.known = {p: (i, -s) for i, (p, s, kind) in enumerate(self.pieces) if kind == NORMAL}
         self.unknown = next(i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN)
         byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte = [byte[b] for b in range(256)] if len(byte) == 256 else None
@@ -112,7 +109,6 @@ class Pieces:
         # A byte below 128 is a character, whatever stands around it.
         self.text = [chr(self.value[i]) if self.value.get(i, 128) < 128 else p for i, (p, _, _) in enumerate(self.pieces)]
         self.special = frozenset(i for i, (_, _, kind) in enumerate(self.pieces) if kind != NORMAL and self.value.get(i, 128) >= 128)
-        self._tables()
         self.odd = np.zeros(len(self.pieces), bool)
         self.odd[list(self.special)] = True
         self.forget()
@@ -123,104 +119,41 @@ class Pieces:
 
             self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
-    def _tables(self) -> None:
-        """Symbols as numbers: pieces by id, then characters that only occur inside pieces; -1 for others."""
-        number = {p: i for p, (i, _) in self.known.items()}
-        size = len(self.pieces)
-        for c in sorted(set().union(*self.known)):
-            if c not in number:
-                number[c] = size
-                size += 1
-        self.of_char = np.full(0x110000, -1, dtype=np.int64)
-        for s, i in number.items():
-            if len(s) == 1:
-                self.of_char[ord(s)] = i
-        keys, made = [], []
-        for p, (i, _) in self.known.items():
-            for k in range(1, len(p)):
-                a, b = number.get(p[:k]), number.get(p[k:])
-                if a is not None and b is not None:
-                    keys.append(a * size + b)
-                    made.append(i)
-        score = np.array([s for _, s, _ in self.pieces])
-        better = np.unique(-score, return_inverse=True)[1]
-        made = np.array(made, dtype=np.int64)
-        self.table = PairTable(size, np.array(keys, dtype=np.int64), better[made].astype(np.int64), made)
-
     def forget(self) -> None:
         """Empties what is remembered of units: their numbers, and by number where their ids begin and how many they are."""
         self.number = Numbers()
         self.flat, self.start, self.size = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64))
         self.chars = 0
 
-    def merge_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units in a row, and how many each has: the best pair of every unit is joined, the leftmost of equals, again and again."""
-        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        char = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        ids, who = self.of_char[char], np.repeat(np.arange(len(units)), sizes)
-        done: list[tuple[np.ndarray, ...]] = []
-        while ids.size:
-            at = self.table.find(ids[:-1], ids[1:])
-            rank = np.where((who[:-1] == who[1:]) & (ids[:-1] >= 0) & (ids[1:] >= 0), self.table.rank[at], NONE)
-            rank = np.append(rank, NONE)
-            starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            lengths = np.diff(np.r_[starts, who.size])
-            least = np.minimum.reduceat(rank, starts)
-            ended = np.repeat(least == NONE, lengths)
-            done.append((who[ended], ids[ended], char[ended]))
-            hit = np.flatnonzero((rank == np.repeat(least, lengths)) & (rank < NONE))
-            if not hit.size:
-                break
-            hit = hit[np.r_[True, who[hit[1:]] != who[hit[:-1]]]]
-            ids[hit] = self.table.made[at[hit]]
-            keep = ~ended
-            keep[hit + 1] = False
-            ids, who, char = ids[keep], who[keep], char[keep]
-        who, ids, char = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(who, kind="stable")
-        who, ids, char = who[order], ids[order], char[order]
-        lone = np.flatnonzero((ids < 0) | (ids >= len(self.pieces)))  # characters that are no piece
-        if not lone.size:
-            return ids, np.bincount(who, minlength=len(units))
-        spelt = [self.spell(chr(c)) for c in char[lone].tolist()]
-        times = np.ones(ids.size, np.int64)
-        times[lone] = list(map(len, spelt))
-        out = np.repeat(ids, times)
-        at = np.cumsum(times) - times
-        out[np.concatenate([np.arange(at[i], at[i] + len(x)) for i, x in zip(lone.tolist(), spelt, strict=True)])] = list(chain.from_iterable(spelt))
-        return out, np.bincount(who, weights=times, minlength=len(units)).astype(np.int64)
-
     def spell(self, symbol: str) -> list[int]:
         """The ids of a symbol that is no piece: its bytes, or the unknown piece."""
         return [self.unknown] if self.byte is None else [self.byte[b] for b in symbol.encode()]
 
     def merge(self, text: str) -> list[str]:
         """The symbols of a text when no pair is left to join."""
-        known, symbols, n = self.known, list(text), len(text)
+        get, symbols, n = self.known.get, list(text), len(text)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            hit = known.get(symbols[i] + symbols[i + 1])
-            if hit is not None:
-                agenda.append((-hit[1], i, i + 1, 2))
+        # (rank of the score, place, symbol): the best score first, of equals the leftmost pair.
+        agenda = [(hit[1], i, pair) for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if (hit := get(pair)) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, left, right, size = heapq.heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if not a or not b or len(a) + len(b) != size:
+            _, left, joined = heapq.heappop(agenda)
+            right = after[left]
+            # An entry is stale if its first symbol is gone, or either symbol has grown since.
+            if right >= n or symbols[left] + symbols[right] != joined or not symbols[left]:
                 continue
-            symbols[left], symbols[right] = a + b, ""
-            far = after[left] = after[right]
+            symbols[left], symbols[right] = joined, ""
+            far, near = after[right], before[left]
+            after[left] = far
             if far < n:
                 before[far] = left
-                hit = known.get(a + b + symbols[far])
-                if hit is not None:
-                    heapq.heappush(agenda, (-hit[1], left, far, size + len(symbols[far])))
-            near = before[left]
+                pair = joined + symbols[far]
+                if (hit := get(pair)) is not None:
+                    heapq.heappush(agenda, (hit[1], left, pair))
             if near >= 0:
-                hit = known.get(symbols[near] + a + b)
-                if hit is not None:
-                    heapq.heappush(agenda, (-hit[1], near, left, size + len(symbols[near])))
+                pair = symbols[near] + joined
+                if (hit := get(pair)) is not None:
+                    heapq.heappush(agenda, (hit[1], near, pair))
         return [s for s in symbols if s]
 
     def unit_ids(self, unit: str) -> list[int]:
@@ -263,19 +196,13 @@ class Pieces:
 
     def learn(self, units: list[str]) -> None:
         """Works out and remembers new units, numbered as they come."""
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        units = [units[i] for i in order]
-        short = bisect.bisect_right(units, LONG, key=len)
-        flat, size = self.merge_many(units[:short]) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        long = list(map(self.unit_ids, units[short:]))
-        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(long), np.int64)])
-        size = np.concatenate([size, np.fromiter(map(len, long), np.int64)])
+        found = list(map(self.unit_ids, units))
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
+        size = np.fromiter(map(len, found), np.int64, len(found))
         self.compare(units, flat, size)
-        start, back = np.empty_like(size), np.empty_like(size)
-        start[order] = self.flat.size + np.cumsum(size) - size
-        back[order] = size
+        start = self.flat.size + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, back])
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
         self.chars += sum(map(len, units))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:

@@ -88,18 +88,25 @@ def test_sentencepiece(spark, docs, odd):
     assert piece_digests(empty(spark)).count() == 0
 
 
-def test_agenda_and_rounds_agree():
+def test_agenda_gives_up_the_best_pair_first():
     from lodestone.llm.common import tokenizer_bytes
     from lodestone.llm.pieces import Pieces
 
     p, r = Pieces(tokenizer_bytes("piece_bpe_32k.model"), check=False), random.Random(4)
-    units = ["▁" + "".join(r.choice("abeinorst▁日é\x00") for _ in range(r.randrange(1, 60))) for _ in range(300)]
-    flat, sizes = p.merge_many(units)
-    ends = sizes.cumsum()
-    for u, ids in zip(units, (flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)), strict=True):
-        assert ids == p.unit_ids(u)
-        known = [p.known[s][0] if s in p.known else None for s in p.merge(u)]
-        assert [i for i in ids if i not in p.value] == [k for k in known if k is not None]
+
+    def by_hand(unit):
+        s = list(unit)
+        while True:
+            pairs = [(-p.pieces[p.known[a + b][0]][1], i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if a + b in p.known]
+            if not pairs:
+                return s
+            i = min(pairs)[1]
+            s[i : i + 2] = [s[i] + s[i + 1]]
+
+    for n in [*range(1, 60), 97, 300, 1000]:
+        unit = "▁" + "".join(r.choice("abeinorst▁日é\x00") for _ in range(n))
+        assert p.merge(unit) == by_hand(unit)
+        assert p.merge("e" * n) == by_hand("e" * n)
 
 
 def near_copies(r, n=60):
