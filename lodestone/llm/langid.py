@@ -5,7 +5,10 @@ The probability of a word is the sum over all ways to cut it into pieces,
 found by a forward recursion; a text scores the product over its words, and
 the posterior of equal priors decides. The piece probabilities are fitted by
 expectation maximisation on the words of a bounded sample of the labelled
-texts: ``sample`` texts a language, those of least id hash.
+texts: ``sample`` texts a language, those of least id hash (of rows with one id
+and language the least text), and of their different words the ``most``
+commonest of a language. Words of any length are fitted and scored; those of
+over ``SHORT`` letters one by one, rescaled as they go.
 
 Rows: a text that is null or has no letter is ``und`` with score 0, and so is
 every text when nothing is labelled; texts are taken whole, whatever their
@@ -30,7 +33,7 @@ from lodestone.llm.common import durable, give_back, only_model, ship, tokenizer
 from lodestone.llm.merging import PairTable
 from lodestone.llm.pieces import SPACE, Pieces, batches_of
 
-SAMPLE, ROUNDS = 300, 4
+SAMPLE, ROUNDS, MOST_WORDS = 300, 4, 200_000
 #: Words of up to so many characters are scored in arrays, longer ones alone.
 SHORT, FLOOR, CACHE_WORDS, LONGEST = 28, 1e-8, 150_000, 16
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,6 +127,21 @@ class PieceModel:
             window[i + 1] = window.get(i + 1, 0) + here * FLOOR
         return total + np.log(np.maximum(window[n], 1e-300))
 
+    def long_spans(self, word: str) -> list[list[tuple[int, int]]]:
+        """(end, piece row) of the pieces that stand at each place of one long word."""
+        codes = self.of_char[[ord(c) for c in SPACE + word]].tolist()
+        out: list[list[tuple[int, int]]] = []
+        for i in range(len(codes)):
+            at, here = 0, []
+            for j in range(i + 1, min(len(codes), i + LONGEST) + 1):
+                at = self.nodes.get((at, codes[j - 1]))
+                if at is None:
+                    break
+                if self.row[at] >= 0:
+                    here.append((j, int(self.row[at])))
+            out.append(here)
+        return out
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
         by: dict[int, list[int]] = {}
@@ -168,6 +186,34 @@ class PieceModel:
         return out
 
 
+def long_uses(spans: list[list[tuple[int, int]]], p: np.ndarray) -> dict[int, float]:
+    """How often each piece is expected in one word, over all its segmentations by their probabilities.
+
+    Forward sums are divided by themselves at every place, so that neither they nor the backward sums leave the range of doubles.
+    """
+    n = len(spans)
+    window, scale = {0: 1.0}, [1.0] * (n + 1)
+    for i in range(n + 1):
+        scale[i] = here = window.pop(i)
+        window = {j: v / here for j, v in window.items()}
+        if i < n:
+            for j, row in spans[i]:
+                window[j] = window.get(j, 0.0) + float(p[row])
+            window[i + 1] = window.get(i + 1, 0.0) + FLOOR
+    back, uses = [0.0] * n + [1.0], {}
+    for i in range(n - 1, -1, -1):
+        total, passed, at = FLOOR * back[i + 1] / scale[i + 1], 1.0, i
+        for j, row in spans[i]:
+            while at < j:
+                at += 1
+                passed *= scale[at]
+            share = float(p[row]) * back[j] / passed
+            uses[row] = uses.get(row, 0.0) + share
+            total += share
+        back[i] = total
+    return uses
+
+
 def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int = ROUNDS) -> PieceModel:
     """Piece probabilities of each language by expectation maximisation over its words' counts."""
     langs = sorted(counts)
@@ -177,9 +223,12 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
     for k, lang in enumerate(langs):
         groups = []
         by: dict[int, list[tuple[str, int]]] = {}
+        long: list[tuple[list[list[tuple[int, int]]], int]] = []
         for w, c in sorted(counts[lang].items()):
             if len(w) <= SHORT:
                 by.setdefault(len(w), []).append((w, c))
+            else:
+                long.append((model.long_spans(w), c))
         for n, own in by.items():
             flat = np.frombuffer("".join(SPACE + w for w, _ in own).encode("utf-32-le"), np.uint32)
             codes = model.of_char[flat].reshape(len(own), n + 1)
@@ -192,6 +241,8 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
             for own in found:
                 for _, who, row in own:
                     p += np.bincount(row, weight[who], len(pieces))
+        for spans, c in long:
+            np.add.at(p, [row for here in spans for _, row in here], c)
         p /= max(p.sum(), 1)
         for _ in range(rounds):
             seen = np.zeros(len(pieces))
@@ -210,6 +261,9 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
                 for i in range(n):
                     for j, who, row in found[i]:
                         seen += np.bincount(row, share[who] * alpha[i][who] * p[row] * beta[j][who], len(pieces))
+            for spans, c in long:
+                uses = long_uses(spans, p)
+                seen[list(uses)] += c * np.fromiter(uses.values(), np.float64, len(uses))
             p = seen / max(seen.sum(), 1e-300)
         prob[:, k] = p
     shared = prob.mean(axis=1, keepdims=True) if langs else prob
@@ -218,18 +272,21 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
     return PieceModel(langs, [pieces[i] for i in own], prob[own])
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, tokenizer_path: str | None = None) -> tuple:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST_WORDS, tokenizer_path: str | None = None) -> tuple:
     """A fitted model as plain data, from ``sample`` texts a language of the rows of ``docs`` with a language and a text."""
     from pyspark.sql import Window
 
     spark = ship(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null and i is not null")
-    least = Window.partitionBy("l").orderBy("h", "i")
-    # The limit is applied in every task before rows meet, so a common language sends no more than a rare one.
-    chosen = named.select("i", "l", F.xxhash64(F.col("i").cast("string")).alias("h")).withColumn("r", F.row_number().over(least)).where(F.col("r") <= sample).select("i", "l").distinct()
-    chosen = durable(chosen)
-    if chosen.count() <= 1_000_000:  # as ever, unless there are thousands of languages
-        chosen = F.broadcast(chosen)
+    hashed = named.select("i", "l", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 40)).alias("h"))
+    # A cut on the hash leaves about half as many again as are wanted, so that no task ranks many rows of a language.
+    sizes = durable(hashed.groupBy("l").agg(F.approx_count_distinct("i").alias("n")))
+    langs = sizes.count()
+    near = F.col("h") < F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n")) * F.lit(float(1 << 40))
+    ids = hashed.join(F.broadcast(sizes) if langs <= 100_000 else sizes, "l").where(near).select("l", "i", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
+    chosen = durable(ids.withColumn("r", rank).where(F.col("r") <= sample).select("i", "l"))
+    picked = named.join(F.broadcast(chosen) if langs * sample <= 1_000_000 else chosen, ["i", "l"], "left_semi").groupBy("i", "l").agg(F.min("t").alias("t")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,8 +295,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 seen.update((lang, w) for w in words_of(text.as_py()))
             yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["l", "w", "n"])
 
-    picked = named.join(chosen, ["i", "l"], "left_semi").select("l", "t")
-    found = picked.mapInArrow(count, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n")).toArrow()
+    words = picked.mapInArrow(count, "l string, w string, n bigint").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    common = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
+    found = words.withColumn("r", common).where(F.col("r") <= most).select("l", "w", "n").toArrow()
     counts: dict[str, dict[str, int]] = {}
     for lang, w, n in zip(found["l"].to_pylist(), found["w"].to_pylist(), found["n"].to_pylist(), strict=True):
         counts.setdefault(lang, {})[w] = n
@@ -269,7 +327,7 @@ def fold(id_col: str, parts: int) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, parts: int = 4, held: int = 2, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``; learned from the rows that aren't held out."""
-    model = learn(docs.where(fold(id_col, parts) != held), id_col, text_col, lang_col, sample, tokenizer_path)
+    model = learn(docs.where(fold(id_col, parts) != held), id_col, text_col, lang_col, sample, tokenizer_path=tokenizer_path)
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(id_col, parts) == held, F.lit(False)).alias("held_out"), language(F.col(text_col), model, docs.sparkSession).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 

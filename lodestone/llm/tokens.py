@@ -4,7 +4,9 @@ The distinct pre-tokens of a batch lie one after another in flat arrays. Each
 round looks up the rank of every adjacent pair, takes the lowest rank of each
 sequence, and joins that pair everywhere in its sequence at once. A pair that
 a join makes always ranks after it, so this gives what merging one pair at a
-time gives. What is left of a sequence is its token count.
+time gives. What is left of a sequence is its token count. A sequence of over
+``LONG`` bytes goes through the same rounds alone, with its pairs filed by
+rank, so that a round only looks at what it joins and its neighbours.
 
 Rows: null and empty texts count 0 tokens and 0 bytes; texts of any length are
 taken whole; repeated rows give repeated results; an empty table gives an
@@ -13,6 +15,7 @@ empty result; other columns of the input don't matter.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -24,12 +27,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, tokenizer_bytes
+from lodestone.llm.common import give_back, only_model, ship, tokenizer_bytes
 from lodestone.llm.merging import NONE, PairTable
 
 #: How byte-level tokenizers cut text before merging.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_TOKENS, CACHE_CHARS, CHUNK_CHARS = 400_000, 48, 2_000_000
+#: Rounds over all of a sequence take time by its length squared.
+LONG = 1024
 #: Characters that PLAIN classes as the pattern above does, and the same pattern for them in the faster re module.
 BEYOND = re.compile("[^\0-\u024f\u200b-\u2027\u2030-\u205e\u20a0-\u20bf]")
 _SPACE, _LETTER, _NUMBER = " \t-\r\x85\xa0", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -65,12 +70,62 @@ class Merger:
         self.library = None
         self.cache: dict[str, int] = {}
 
+    def count_long(self, word: bytes) -> int:
+        """How many tokens one long byte string merges to."""
+        ids = self.first[np.frombuffer(word, dtype=np.uint8)]
+        n = ids.size
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive, rank, made = np.ones(n, bool), np.full(n, NONE), np.zeros(n, np.int64)
+        filed: dict[int, list[np.ndarray]] = {}
+        agenda: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Ranks the pairs that begin at these places, and files them."""
+            at = at[after[at] < n]
+            slot = self.table.find(ids[at], ids[after[at]])
+            rank[at], made[at] = self.table.rank[slot], self.table.made[slot]
+            at = at[rank[at] < NONE]
+            order = at[np.argsort(rank[at], kind="stable")]
+            own = rank[order]
+            cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if own.size else np.zeros(0, np.int64)
+            for r, part in zip(own[cuts].tolist(), np.split(order, cuts[1:]), strict=False):
+                if r not in filed:
+                    filed[r] = []
+                    heapq.heappush(agenda, r)
+                filed[r].append(part)
+
+        look(np.arange(n))
+        while agenda:
+            r = heapq.heappop(agenda)
+            at = np.unique(np.concatenate(filed.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not at.size:
+                continue
+            # Of pairs that overlap, as in "aaa", every other one from the left.
+            begin = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
+            run = np.repeat(begin, np.diff(np.r_[begin, at.size]))
+            at = at[(np.arange(at.size) - run) % 2 == 0]
+            gone = after[at]
+            ids[at] = made[at]
+            alive[gone], rank[gone], rank[at] = False, NONE, NONE
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left = before[at]
+            left = left[left >= 0]
+            rank[left] = NONE
+            look(np.unique(np.r_[left, at]))
+        return int(alive.sum())
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """How many tokens each byte string merges to."""
         out = np.zeros(len(words), dtype=np.int64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ids = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        who = np.repeat(np.arange(len(words)), sizes)
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            out[i] = self.count_long(words[i])
+        short = np.flatnonzero(sizes <= LONG)
+        ids = self.first[np.frombuffer(b"".join(words[i] for i in short.tolist()), dtype=np.uint8)]
+        who = np.repeat(short, sizes[short])
         while ids.size:
             at = self.table.find(ids[:-1], ids[1:])
             rank = np.where(who[:-1] == who[1:], self.table.rank[at], NONE)
@@ -156,12 +211,13 @@ def token_counts(text: Column, spark, tokenizer_path: str | None = None) -> Colu
 
     @F.arrow_udf(STRUCT)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        merger = Merger(data.value)
+        merger = only_model("tokens", data.value, lambda: Merger(data.value))
         for batch in batches:
             texts = (x.as_py() or "" for x in batch)
             n = [v for part in chunks(texts) for v in merger.count_texts(part)]
             size = pc.fill_null(pc.binary_length(batch), 0).cast(pa.int64())
             yield pa.StructArray.from_arrays([size, pa.array(n, pa.int64())], ["n_bytes", "n_tokens"])
+        give_back()
 
     return count(text)
 

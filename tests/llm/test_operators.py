@@ -69,6 +69,22 @@ def test_random_strings_count_as_in_the_library(spark):
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
 
 
+def test_long_words_count_as_in_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.common import tokenizer_bytes
+    from lodestone.llm.tokens import LONG, Merger
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    m, r = Merger(tokenizer_bytes("byte_bpe_50k.json")), random.Random(8)
+    for letters in ("a", "ab", "étaoin", string.ascii_lowercase):
+        for n in (1, 2, 3, LONG - 1, LONG + 1, 30_000):
+            word = "".join(r.choice(letters) for _ in range(n))
+            want = len(library.encode(word, add_special_tokens=False).ids)
+            assert m.counts([b"a", word.encode(), b"bc"]).tolist()[1] == m.count_long(word.encode()) == want
+
+
 def test_sentencepiece(spark, docs, odd):
     import public_tokenizers
     import sentencepiece
@@ -339,6 +355,33 @@ def test_forward_sums_all_segmentations():
         assert m.long_score(word) == pytest.approx(m.word_scores([word])[0])
 
 
+def test_words_of_any_length_are_fitted(monkeypatch):
+    import numpy as np
+
+    from lodestone.llm import langid
+
+    r = random.Random(6)
+    vocabulary = ["▁", "▁a", *"abcdefgh", "ab", "cd", "ef", "gh", "abc", "efg", "bad"]
+    words = {k: {"".join(r.choice(a) for _ in range(r.randrange(3, 26))): r.randrange(1, 9) for _ in range(60)} for k, a in (("x", "abcd"), ("y", "defgh"))}
+    whole = langid.fit(words, vocabulary)
+    monkeypatch.setattr(langid, "SHORT", 2)  # as if all were long
+    assert np.allclose(langid.fit(words, vocabulary).prob, whole.prob)
+    monkeypatch.undo()
+    # A language that is only known by words of over 28 letters, some of thousands.
+    long = {"".join(r.choice("ab") for _ in range(n)): 1 for n in [*range(29, 80), 5000]}
+    model = langid.fit({"long": long, "short": {"cde": 5, "fgh": 5, "a": 1}}, vocabulary)
+    got = model.predict([*long, "cde fgh", "abababab"])
+    assert [g[0] for g in got] == ["long"] * len(long) + ["short", "long"]
+
+
+def test_language_sample(spark):
+    from lodestone.llm.langid import learn
+
+    rows = [(5, "aaa bbb", "x"), (5, "aaa ccc", "x"), (5, "ddd eee", "y"), *((i, "word", "z") for i in range(6, 900))]
+    df = spark.createDataFrame([*rows, *[(5, "zzz", "x")] * 50], "doc_id long, text string, lang string")
+    assert learn(df)[0] == ["x", "y", "z"] and learn(df, sample=1, most=1)[0] == ["x", "y", "z"]
+
+
 def test_chat(spark, odd):
     import numpy as np
 
