@@ -2,7 +2,14 @@
 
 Every stage takes what the one before has kept and returns the columns of
 ``documents``; the last returns the encoded texts. ``run`` writes what each
-stage keeps to the folder the cluster shares, and reads it again.
+stage keeps to the folder the cluster shares, reads it again, and deletes it
+once the next stage is written; what the last one keeps stays for its readers.
+
+Every stage takes null, empty and very long texts, repeated ids and rows, empty
+tables and columns of any further names, and treats them as its operator says:
+texts without letters are in no language, texts without words fail the base
+limits, rows without an id stay where no row with one has their text, rows
+without a source are a source, and a null text has no ids.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import shared_folder, table
+from lodestone.llm.common import delete, shared_folder, sweep, table
 from lodestone.llm.langid import keep_identified
 from lodestone.llm.mixing import mix
 from lodestone.llm.pieces import encode_with_digests
@@ -31,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
     return keep_one(docs)
 
 
@@ -59,10 +66,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    place, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{place}/{name}"
+        sweep(spark)
     return docs
 
 

@@ -44,8 +44,10 @@ CONTROL = [*(m for pair in MARKS.values() for m in pair), *OTHER]
 _ANY = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROL)
 _ESCAPED = "|".join(f"{re.escape(c[0])}\\\\+{re.escape(c[1:])}" for c in CONTROL)
 ANY, ESCAPED = re.compile(_ANY), re.compile(_ESCAPED)
-#: Longer texts are encoded in parts, which changes no character.
+#: Longer texts are encoded in parts of about so many characters, cut where the vocabulary's pattern cuts whatever stands around.
 PART_CHARS = 1_000_000
+#: Between a letter or digit and a space that one letter follows, the pattern always cuts.
+SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
 FORMATTED = "ids array<int>, mask array<int>"
 
 
@@ -72,10 +74,16 @@ class Template:
         self.loss_roles = frozenset(loss_roles)
 
     def segment(self, text: str) -> list[int]:
-        """The ids of an escaped text; none is reserved."""
-        if len(text) <= PART_CHARS:
-            return self.codec.encode_ordinary(text)
-        return [i for a in range(0, len(text), PART_CHARS) for i in self.codec.encode_ordinary(text[a : a + PART_CHARS])]
+        """The ids of an escaped text, which are those of the text as a whole; none is reserved."""
+        ids: list[int] = []
+        begin = 0
+        while len(text) - begin > PART_CHARS:
+            cut = SAFE_CUT.search(text, begin + PART_CHARS)
+            if cut is None:
+                break
+            ids += self.codec.encode_ordinary(text[begin : cut.start()])
+            begin = cut.start()
+        return ids + self.codec.encode_ordinary(text[begin:]) if ids else self.codec.encode_ordinary(text)
 
     def format(self, roles: list[str], texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids and the loss mask of every turn of a batch."""
@@ -118,8 +126,8 @@ class Template:
                 plain.append(i)
         return "".join([*out, self.decode(plain)])
 
-    def turn(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
-        """(role, text, text under the mask, formatted length) of the ids of a turn."""
+    def turn(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str | None, int]:
+        """(role, text, text under the mask, formatted length) of the ids of a turn; null under the mask if that is the text itself."""
         opened, closed = int(ids[0]), int(ids[-1])
         if closed != (self.opens[opened][1] if opened in self.opens else self.id[OTHER[2]]):
             raise ValueError("a turn doesn't end as it began")
@@ -136,7 +144,7 @@ class Template:
         if not under.any():
             loss = ""
         elif under[begin:-1].all() and not under[:begin].any() and not under[-1]:
-            loss = text
+            loss = None
         else:
             loss = unescape(self.show(ids[under].tolist()))
         return role, text, loss, size + len(shown)
@@ -176,7 +184,7 @@ def format_turns(turns: DataFrame, tokenizer_path: str | None = None) -> DataFra
 
 
 def read_turns(formatted: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """conv_id, turn, role, text, loss, chars: what the ids and masks of turns say."""
+    """conv_id, turn, role, text, loss, chars: what the ids and masks of turns say. A null ``loss`` stands for the text itself, which moves only once."""
     data = ship(formatted.sparkSession).sparkContext.broadcast(tokenizer_bytes("byte_bpe_50k.tiktoken", tokenizer_path))
     kinds = {n: formatted.schema[n].dataType.simpleString() for n in ("conv_id", "turn")}
 
@@ -219,6 +227,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 conv, n, loss_chars, chars, turns, loss = c, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
             n += 1
             turns.update(f"{role}\n{text}\n".encode())
+            under = text if under is None else under
             loss.update(under.encode())
             loss_chars += len(under)
             chars += size

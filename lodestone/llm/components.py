@@ -20,11 +20,9 @@ from lodestone.llm.common import durable
 
 def settled(edges: DataFrame) -> bool:
     """Whether distinct edges (u, v < u) are stars: every u hangs on one v, and no v hangs on another."""
-    found = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
-    if found["n"] != found["u"]:
-        return False
-    hung = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
-    return not hung.limit(1).count()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    each = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not each.where("hangs > 1 or (hangs = 1 and holds = 1)").limit(1).count()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -49,12 +47,11 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
-def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
-    """``rows`` joined to ``keyed`` (one row a key, with n: the rows that have it), whatever the number of rows of a key.
+def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, share: int = 1000) -> DataFrame:
+    """``rows`` (``total`` in all) joined to ``keyed`` (one row a key, with n: the rows that have it), whatever the number of rows of a key.
 
     A key of over a thousandth of all rows goes to a table of at most a thousand rows, which is broadcast; so no task gets all rows of such a key.
     """
-    total = rows.count()
     frequent = F.broadcast(keyed.where(F.col("n") * share > total))
     rare = keyed.where(F.col("n") * share <= total)
     return rows.join(frequent, keys).unionByName(rows.join(frequent.select(*keys), keys, "left_anti").join(rare, keys))

@@ -82,8 +82,8 @@ def placed(x: np.ndarray, turn: np.ndarray | None) -> np.ndarray:
 class Block:
     """Vectors of one label next to each other in the grid order."""
 
-    def __init__(self, ids: bytes, copies: bytes, vectors: bytes, kind: str, places: bytes):
-        self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
+    def __init__(self, ids: bytes, names: bytes, copies: bytes, vectors: bytes, places: bytes, kind: str):
+        self.ids, self.names, self.copies = (np.frombuffer(b, np.int64) for b in (ids, names, copies))
         self.x = scaled(np.frombuffer(vectors, kind).reshape(self.ids.size, -1).astype(np.float64))
         self.norms = np.sqrt((self.x * self.x).sum(1))
         self.places = np.frombuffer(places, np.float64).reshape(self.ids.size, AXES + 1)
@@ -161,10 +161,10 @@ def neighbours(cells: np.ndarray) -> list[list[int]]:
     return np.unique((cells[:, None, :] + steps[None]).reshape(-1, cells.shape[1]), axis=0).tolist()
 
 
-def grid_links(reps: DataFrame, least: float, sample: int = SAMPLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(node, more), (a, b): copies linked to each distinct vector, and edges with the components of all links.
+def grid_links(reps: DataFrame, rows: int, least: float, sample: int = SAMPLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(node, more), (a, b): copies linked to each distinct vector, and edges (of structs name, node) with the components of all links.
 
-    ``reps``: label, embedding (of floats or doubles, distinct by label), node (its id), n (its copies).
+    ``reps``: label, embedding (of floats or doubles, distinct by label), node (its number), name (its least id), n (its copies).
     """
     spark = ship(reps.sparkSession)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
@@ -187,15 +187,14 @@ def grid_links(reps: DataFrame, least: float, sample: int = SAMPLE, block: int =
             cells = np.floor(places / width).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (AXES + 1)), pa.array(places.ravel()))
             yield pa.record_batch(
-                [batch.column("label"), pa.array(sizes, pa.int32()), batch.column("node"), batch.column("n"), vectors, lists, *(pa.array(cells[:, k]) for k in range(CELLS + 1))],
-                names=["label", "d", "node", "n", "embedding", "place", *(f"c{k}" for k in range(CELLS + 1))],
+                [batch.column("label"), pa.array(sizes, pa.int32()), batch.column("node"), batch.column("name"), batch.column("n"), vectors, lists, *(pa.array(cells[:, k]) for k in range(CELLS + 1))],
+                names=["label", "d", "node", "name", "n", "embedding", "place", *(f"c{k}" for k in range(CELLS + 1))],
             )
 
     label = reps.schema["label"].dataType.simpleString()
     order = ["label", "d", *(f"c{k}" for k in range(CELLS + 1)), "node"]
-    found = reps.select("label", "embedding", "node", "n").mapInArrow(place, f"label {label}, d int, node bigint, n bigint, embedding array<{element}>, place array<double>, {', '.join(f'c{k} int' for k in range(CELLS + 1))}")
+    found = reps.select("label", "embedding", "node", "name", "n").mapInArrow(place, f"label {label}, d int, node bigint, name bigint, n bigint, embedding array<{element}>, place array<double>, {', '.join(f'c{k} int' for k in range(CELLS + 1))}")
     found = durable(found)
-    rows = found.count()
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // block + 1))
     sequence = found.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
@@ -203,15 +202,15 @@ def grid_links(reps: DataFrame, least: float, sample: int = SAMPLE, block: int =
         from pyspark import TaskContext
 
         made, held = TaskContext.get().partitionId() << 32, None
-        names = ["id", "label", "d", "size", "low", "high", "own", "near", "ids", "copies", "vectors", "places"]
+        names = ["id", "label", "d", "size", "low", "high", "own", "near", "ids", "names", "copies", "vectors", "places"]
 
         def packed(t: pa.Table) -> pa.RecordBatch:
             nonlocal made
             places = t["place"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             cells = np.unique(np.stack([t[f"c{k}"].to_numpy() for k in range(CELLS)], axis=1), axis=0)
             vectors = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
-            row = [made, t["label"][0].as_py(), t["d"][0].as_py(), t.num_rows, places.min(0).tolist(), places.max(0).tolist(), cells.tolist(), neighbours(cells), t["node"].to_numpy().astype(np.int64).tobytes(), t["n"].to_numpy().astype(np.int64).tobytes(), vectors.tobytes(), places.tobytes()]
-            kinds = [pa.int64(), t["label"].type, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())), *[pa.binary()] * 4]
+            row = [made, t["label"][0].as_py(), t["d"][0].as_py(), t.num_rows, places.min(0).tolist(), places.max(0).tolist(), cells.tolist(), neighbours(cells), *(t[c].to_numpy().astype(np.int64).tobytes() for c in ("node", "name", "n")), vectors.tobytes(), places.tobytes()]
+            kinds = [pa.int64(), t["label"].type, pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())), *[pa.binary()] * 5]
             made += 1
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
@@ -229,25 +228,28 @@ def grid_links(reps: DataFrame, least: float, sample: int = SAMPLE, block: int =
         if held is not None and held.num_rows:
             yield packed(held)
 
-    kinds = f"id bigint, label {label}, d int, size int, low array<double>, high array<double>, own array<array<int>>, near array<array<int>>, ids binary, copies binary, vectors binary, places binary"
+    kinds = f"id bigint, label {label}, d int, size int, low array<double>, high array<double>, own array<array<int>>, near array<array<int>>, ids binary, names binary, copies binary, vectors binary, places binary"
     blocks = durable(sequence.mapInArrow(cut, kinds))
     # The blocks of one cell are met by those next to it in several tasks, a share of the first in each.
     one = blocks.select("label", "d", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"), F.explode("own").alias("cell"), F.col("low").alias("la"), F.col("high").alias("ha"))
     two = blocks.select("label", "d", F.col("id").alias("b"), F.explode("near").alias("cell"), F.col("low").alias("lb"), F.col("high").alias("hb")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     gap = [F.greatest(F.lit(0.0), F.col("la")[k] - F.col("hb")[k], F.col("lb")[k] - F.col("ha")[k]) for k in range(AXES + 1)]
     near = sum((g * g for g in gap[1:]), gap[0] * gap[0]) <= radius * radius + SLACK
-    pairs = durable(one.join(two, ["label", "d", "salt", "cell"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct())
-    pack = F.struct("ids", "copies", "vectors", "places")
+    pairs = one.join(two, ["label", "d", "salt", "cell"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pack = F.struct("ids", "names", "copies", "vectors", "places")
 
     def linked(x: tuple, y: tuple | None) -> pa.RecordBatch:
-        a, b = (None if v is None else Block(v["ids"], v["copies"], v["vectors"], kind, v["places"]) for v in (x, y))
+        a, b = (None if v is None else Block(*v.values(), kind) for v in (x, y))
         got = BlockJoin(a, b, least, radius)
-        ids, more = (a.ids, got.more_a) if b is None else (np.r_[a.ids, b.ids], np.r_[got.more_a, got.more_b])
-        top = got.forest.roots()
-        first = np.full(ids.size, np.iinfo(np.int64).max)
-        np.minimum.at(first, top, ids)
+        ids, names, more = (a.ids, a.names, got.more_a) if b is None else (np.r_[a.ids, b.ids], np.r_[a.names, b.names], np.r_[got.more_a, got.more_b])
+        order = np.lexsort((ids, names))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(order.size)
+        first = np.full(ids.size, order.size)
+        np.minimum.at(first, got.forest.roots(), rank)
         own = np.flatnonzero(more)
-        return pa.record_batch([pa.array(ids[own]), pa.array(more[own]), pa.array(first[top[own]])], names=["node", "more", "hub"])
+        hub = order[first[got.forest.roots()[own]]]
+        return pa.record_batch([pa.array(v) for v in (ids[own], names[own], more[own], ids[hub], names[hub])], names=["node", "name", "more", "hub", "hub_name"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,11 +264,12 @@ def grid_links(reps: DataFrame, least: float, sample: int = SAMPLE, block: int =
         give_back()
 
     # A block meets itself where it lies; only blocks that meet another move.
-    out = "node bigint, more bigint, hub bigint"
+    out = "node bigint, name bigint, more bigint, hub bigint, hub_name bigint"
     alone = blocks.select(pack.alias("x")).mapInArrow(inside, out)
     both = pairs.join(blocks.select(F.col("id").alias("a"), pack.alias("x")), "a").join(blocks.select(F.col("id").alias("b"), pack.alias("y")), "b")
     found = durable(alone.unionByName(both.select("x", "y").mapInArrow(between, out)))
-    return found.groupBy("node").agg(F.sum("more").alias("more")), found.select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b")
+    edges = found.where("node <> hub").select(F.struct("name", "node").alias("a"), F.struct(F.col("hub_name").alias("name"), F.col("hub").alias("node")).alias("b"))
+    return found.groupBy("node").agg(F.sum("more").alias("more")), edges
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, **options) -> DataFrame:
@@ -278,14 +281,14 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Two hashes of 64 bits stand for a vector of a label, so that vectors themselves are no keys.
     hashed = v.withColumns({f"h{k}": F.when(good, F.xxhash64(F.lit(k), "label", "embedding")) for k in (1, 2)})
     reps = durable(hashed.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "embedding")).alias("r"), F.count("*").alias("n")).select("h1", "h2", "n", "r.*"))
-    reps = reps.withColumn("node", F.monotonically_increasing_id())  # ids may repeat
+    reps = reps.withColumnRenamed("vec_id", "name").withColumn("node", F.monotonically_increasing_id())  # ids may repeat
+    counted = reps.agg(F.count("*").alias("rows"), F.sum("n").alias("total")).first()
     out = hashed.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not reps.isEmpty():
-        more, edges = grid_links(reps.select("label", "embedding", "node", "n"), least, **options)
-        named = reps.select("h1", "h2", "n", "node", "vec_id").join(more, "node", "left").join(connected(edges), "node", "left")
-        named = durable(named.select("h1", "h2", F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "vec_id", F.coalesce("component", "node").alias("comp")))
-        first = named.groupBy("comp").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n"))
-        named = durable(joined_by_key(named, first, ["comp"]).select("h1", "h2", F.col("copies").alias("n"), "n_links", "component_id"))
-        found = joined_by_key(hashed.where("h1 is not null").select("vec_id", "h1", "h2"), named, ["h1", "h2"])
+    if counted["rows"]:
+        more, edges = grid_links(reps, counted["rows"], least, **options)
+        groups = connected(edges).select("node.node", F.col("component.name").alias("component_id"))
+        named = reps.select("h1", "h2", "n", "node", "name").join(more, "node", "left").join(groups, "node", "left")
+        named = named.select("h1", "h2", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "name").alias("component_id"))
+        found = joined_by_key(hashed.where("h1 is not null").select("vec_id", "h1", "h2"), durable(named), ["h1", "h2"], counted["total"])
         out = found.select("vec_id", "n_links", "component_id").unionByName(out)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

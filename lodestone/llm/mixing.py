@@ -11,8 +11,8 @@ tokens. Each pass over a source takes its blocks in a permutation of their own;
 a source gets as many whole passes as its share of the budget pays for, and of
 one more pass the blocks that lie more than half within what is left. So every
 source ends within one block of its weight, and a document's number of copies
-follows from two small tables: one row a source and one row a block, both made
-from sums that are taken in every task first. Texts never move.
+follows from one row a source, made from sums that are taken in every task
+first. Texts never move unless there are over ``BROADCAST_ROWS`` sources.
 
 Rows: null and empty texts count no tokens, but go where their block goes;
 rows without a source are a source; a source without any token has no weight
@@ -35,6 +35,8 @@ ENTROPY, REPEATS, BLOCKS, SEED = 0.95, 4.0, 4096, 0
 #: Parts that one round of the bisection cuts an interval into, and rounds.
 PARTS, ROUNDS = 32, 8
 BROADCAST_ROWS = 200_000
+#: Leading bits of the hash that orders a pass, by which its blocks are summed.
+PART_BITS = 10
 
 
 def words(text: Column) -> Column:
@@ -108,13 +110,19 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sources = durable(sources)
     at = lambda df: df.withColumn("_block", F.pmod(F.col("_h"), F.col("_n")))
     table = at(counted.join(small(sources, found["n"]), "_k")).groupBy("_k", "_block").agg(F.sum("n").alias("b"), F.first("whole").alias("whole"), F.first("left").alias("left"))
-    # A source has at most blocks * (its tokens / budget) + 1 blocks, whatever its rows.
-    order = Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed), F.col("whole"), F.col("_k"), F.col("_block")), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("b").over(order), F.lit(0))
-    table = table.withColumn("_copies", (F.col("whole") + F.when(before + F.col("b") / 2 < F.col("left"), 1).otherwise(0)).cast("long")).select("_k", "_block", "_copies")
-    table = durable(table)
-    number = sources.select("_k", "_n", "_weight")
-    out = at(own.join(small(number, found["n"]), "_k", "left")).join(small(table, table.count()), ["_k", "_block"], "left")
+    # The permutation of a pass is the order of a hash. Sums by its leading bits tell where each part of a source begins, so that no task orders all blocks of a source.
+    turn = F.xxhash64(F.lit(seed), F.col("whole"), F.col("_k"), F.col("_block"))
+    table = durable(table.withColumn("turn", turn).withColumn("part", F.shiftright("turn", 64 - PART_BITS)))
+    before = lambda *by: Window.partitionBy(*by[0]).orderBy(*by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = table.groupBy("_k", "part").agg(F.sum("b").alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before(["_k"], ["part"])), F.lit(0)))
+    inner = F.coalesce(F.sum("b").over(before(["_k", "part"], ["turn", "_block"])), F.lit(0))
+    drawn_more = table.join(parts.select("_k", "part", "base"), ["_k", "part"]).withColumn("inner", inner).where(F.col("base") + F.col("inner") + F.col("b") / 2 < F.col("left"))
+    # The blocks of the last, partial pass are those up to one place in its order: one row a source says which.
+    last = drawn_more.groupBy("_k").agg(F.max(F.struct("turn", "_block")).alias("last"))
+    number = durable(sources.join(last, "_k", "left").select("_k", "_n", "_weight", "whole", "last"))
+    out = at(own.join(small(number, found["n"]), "_k", "left"))
+    place = F.struct(turn.alias("turn"), F.col("_block"))
+    out = out.withColumn("_copies", (F.col("whole") + F.when(place <= F.col("last"), 1).otherwise(0)).cast("long")).drop("whole", "last")
     return out.withColumns({"_tokens": words(F.col(text_col)), "_copies": F.coalesce("_copies", F.lit(0).cast("long")), "_weight": F.coalesce("_weight", F.lit(0.0))})
 
 

@@ -19,6 +19,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heappop as pop, heappush as push
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that are checked in one text.
 GROUP = 256
 #: Distinct units and their characters that a worker remembers; characters encoded at a time.
-CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 300_000, 8_000_000, 1_000_000
+CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 400_000, 8_000_000, 1_000_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,7 +98,8 @@ class Pieces:
         if any(kind in (USER_DEFINED, UNUSED) for _, _, kind in self.pieces):
             raise ValueError("user-defined and unused pieces are not supported")
         self.prefix = SPACE if normal.get(3, 1) else ""
-        self.known = {p: (i, -s) for i, (p, s, kind) in enumerate(self.pieces) if kind == NORMAL}
+        self.known = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == NORMAL}
+        self.rank = {p: -self.pieces[i][1] for p, i in self.known.items()}
         self.unknown = next(i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN)
         byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.byte = [byte[b] for b in range(256)] if len(byte) == 256 else None
@@ -120,7 +122,8 @@ class Pieces:
             self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     def forget(self) -> None:
-        """Empties what is remembered of units: their numbers, and by number where their ids begin and how many they are."""
+        """Starts to remember units anew: their numbers, and by number where their ids begin and how many they are. What was known so far is kept until the next time."""
+        self.old = (self.number, self.flat, self.start, self.size) if hasattr(self, "number") else (Numbers(), *[np.zeros(0, np.int64)] * 3)
         self.number = Numbers()
         self.flat, self.start, self.size = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64))
         self.chars = 0
@@ -130,37 +133,53 @@ class Pieces:
         return [self.unknown] if self.byte is None else [self.byte[b] for b in symbol.encode()]
 
     def merge(self, text: str) -> list[str]:
-        """The symbols of a text when no pair is left to join."""
-        get, symbols, n = self.known.get, list(text), len(text)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        # (rank of the score, place, symbol): the best score first, of equals the leftmost pair.
-        agenda = [(hit[1], i, pair) for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if (hit := get(pair)) is not None]
+        """The symbols of a text when no pair is left to join.
+
+        A symbol stands where its first character does, and what it has taken in leaves empty places behind it.
+        """
+        rank, n = self.rank.get, len(text)
+        symbols = [*text, ""]
+        # (rank of the score, place, joined symbol): the best score first, of equals the leftmost pair.
+        agenda = []
+        for i in range(n - 1):
+            pair = text[i : i + 2]
+            r = rank(pair)
+            if r is not None:
+                agenda.append((r, i, pair))
         heapq.heapify(agenda)
         while agenda:
-            _, left, joined = heapq.heappop(agenda)
-            right = after[left]
+            _, left, joined = pop(agenda)
+            own = symbols[left]
+            right = left + len(own)
             # An entry is stale if its first symbol is gone, or either symbol has grown since.
-            if right >= n or symbols[left] + symbols[right] != joined or not symbols[left]:
+            if own + symbols[right] != joined:
                 continue
             symbols[left], symbols[right] = joined, ""
-            far, near = after[right], before[left]
-            after[left] = far
-            if far < n:
-                before[far] = left
-                pair = joined + symbols[far]
-                if (hit := get(pair)) is not None:
-                    heapq.heappush(agenda, (hit[1], left, pair))
+            beyond = symbols[left + len(joined)]
+            if beyond:
+                r = rank(joined + beyond)
+                if r is not None:
+                    push(agenda, (r, left, joined + beyond))
+            near = left - 1
+            while near >= 0 and not symbols[near]:  # no further than the longest piece
+                near -= 1
             if near >= 0:
                 pair = symbols[near] + joined
-                if (hit := get(pair)) is not None:
-                    heapq.heappush(agenda, (hit[1], near, pair))
-        return [s for s in symbols if s]
+                r = rank(pair)
+                if r is not None:
+                    push(agenda, (r, near, pair))
+        return list(filter(None, symbols))
 
     def unit_ids(self, unit: str) -> list[int]:
+        known = self.known
+        if unit in known:
+            return [known[unit]]
         ids: list[int] = []
-        for s in (unit,) if unit in self.known else self.merge(unit):
-            hit = self.known.get(s)
-            ids += [hit[0]] if hit is not None else self.spell(s)
+        for s in self.merge(unit):
+            if s in known:
+                ids.append(known[s])
+            else:
+                ids += self.spell(s)
         return ids
 
     def decode_unit(self, ids: list[int]) -> str:
@@ -196,7 +215,14 @@ class Pieces:
 
     def learn(self, units: list[str]) -> None:
         """Works out and remembers new units, numbered as they come."""
-        found = list(map(self.unit_ids, units))
+        number, ids, begin, many = self.old
+        found = []
+        for u in units:
+            if u in number:
+                k = number[u]
+                found.append(ids[begin[k] : begin[k] + many[k]].tolist())
+            else:
+                found.append(self.unit_ids(u))
         flat = np.fromiter(chain.from_iterable(found), np.int64)
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.compare(units, flat, size)

@@ -21,11 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, durable
+from lodestone.llm.common import SPACES, durable, written
 
 SYMBOLS = "#*$%&|<>"
 ROUNDS, THRESHOLD = 50, 0.5
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_symbol_runs"]
+#: The chance of each vote given a good and a bad text, before any is seen.
+BELIEVED = {1: (0.9, 0.6), 0: (0.08, 0.1), -1: (0.02, 0.3)}
 RULES = ["symbols", "symbol_runs", "shouting", "repeats", "duplicate_lines", "word_length", "letters", "marks", "length"]
 
 
@@ -103,16 +105,14 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
     """
     n = len(RULES)
     share = 0.9
-    chance = [{1: (0.9, 0.6), 0: (0.08, 0.1), -1: (0.02, 0.3)} for _ in range(n)]
+    chance = [dict(BELIEVED) for _ in range(n)]
     total = sum(c for _, c in patterns)
     if not total:
         return share, chance
     for _ in range(rounds):
         good_sum = 0.0
-        seen = [{v: [1.0, 1.0] for v in (-1, 0, 1)} for _ in range(n)]
-        for k in range(n):  # a little of what was believed before stands for unseen votes
-            for v in (-1, 0, 1):
-                seen[k][v] = [10 * x for x in ({1: (0.9, 0.6), 0: (0.08, 0.1), -1: (0.02, 0.3)}[v])]
+        # A little of what was believed before stands for unseen votes.
+        seen = [{v: [10 * x for x in both] for v, both in BELIEVED.items()} for _ in range(n)]
         for pattern, count in patterns:
             odds = math.log(share) - math.log(1 - share) + sum(math.log(chance[k][v][0]) - math.log(chance[k][v][1]) for k, v in enumerate(pattern))
             p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
@@ -128,20 +128,19 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS)
     return share, chance
 
 
-def pattern_counts(frame: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """How many rows have each pattern of votes; counted in every task first, and no more rows than patterns."""
-    by = votes()
-    rows = frame.select(*(by[r].alias(r) for r in RULES)).groupBy(*RULES).count().collect()
+def pattern_counts(voted: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """How many rows have each pattern of votes (a column a rule); counted in every task first, and no more rows than patterns."""
+    rows = voted.groupBy(*RULES).count().collect()
     return sorted((tuple(int(r[k]) for k in RULES), r["count"]) for r in rows)
 
 
 def posterior(model: tuple) -> Column:
-    """The probability that a text is good, from the votes on ``_m``."""
+    """The probability that a text is good, from a column of votes a rule."""
     share, chance = model
     odds = F.lit(math.log(share) - math.log(1 - share))
-    for k, (_, v) in enumerate((r, votes()[r]) for r in RULES):
+    for k, r in enumerate(RULES):
         weight = {x: math.log(chance[k][x][0]) - math.log(chance[k][x][1]) for x in (-1, 0, 1)}
-        odds = odds + F.when(v == 1, weight[1]).when(v == -1, weight[-1]).otherwise(weight[0])
+        odds = odds + F.when(F.col(r) == 1, weight[1]).when(F.col(r) == -1, weight[-1]).otherwise(weight[0])
     return 1 / (1 + F.exp(-odds))
 
 
@@ -151,15 +150,18 @@ def base_failed() -> Column:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the measures, base_failed, posterior, kept: one row for each row of ``docs``."""
-    m = durable(measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "_m"))
+    m = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    m = durable(m.select("doc_id", "_m", *(v.alias(k) for k, v in votes().items())))
     p = posterior(estimate(pattern_counts(m)))
     out = m.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", base_failed().alias("base_failed"), p.alias("posterior"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns; texts are measured twice rather than moved."""
+    """The rows of ``docs`` that pass, with their own columns. Texts are measured once: rows wait in the shared folder with their votes."""
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    m = measured(docs.toDF(*inner.values()), inner[text_col])
+    bare = docs.toDF(*inner.values())
+    m = measured(bare, inner[text_col])
+    m = written(m.select(*inner.values(), base_failed().alias("_failed"), *(v.alias(k) for k, v in votes().items())), "quality")
     p = posterior(estimate(pattern_counts(m)))
-    return m.where(~base_failed() & (p >= threshold)).select(*(F.col(n).alias(c) for c, n in inner.items()))
+    return m.where(~F.col("_failed") & (p >= threshold)).select(*(F.col(n).alias(c) for c, n in inner.items()))

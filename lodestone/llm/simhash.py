@@ -276,7 +276,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
     groups = connected(links(nodes.where("node is not null").select("fp", "node"), radius, hot))
     named = nodes.join(groups, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    return joined_by_key(marked, named, ["fp"]).select("doc_id", "fp", "component_id")
+    return joined_by_key(marked, named, ["fp"], marked.count()).select("doc_id", "fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, **options) -> DataFrame:

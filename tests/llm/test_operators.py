@@ -113,7 +113,7 @@ def test_agenda_gives_up_the_best_pair_first():
     def by_hand(unit):
         s = list(unit)
         while True:
-            pairs = [(-p.pieces[p.known[a + b][0]][1], i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if a + b in p.known]
+            pairs = [(-p.pieces[p.known[a + b]][1], i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if a + b in p.known]
             if not pairs:
                 return s
             i = min(pairs)[1]
@@ -255,7 +255,7 @@ def test_boxes_prove_dense_groups():
 
     r = np.random.default_rng(4)
     x = np.repeat(r.normal(size=(4, AXES)), 500, axis=0) + r.normal(size=(2000, AXES)) * 1e-4
-    b = Block(np.arange(2000).tobytes(), np.full(2000, 2).tobytes(), x.tobytes(), "f8", placed(x, None).tobytes())
+    b = Block(np.arange(2000).tobytes(), np.arange(2000).tobytes(), np.full(2000, 2).tobytes(), x.tobytes(), placed(x, None).tobytes(), "f8")
     got = BlockJoin(b, None, 0.98, 0.2)
     assert got.proven > 4 * got.computed and set(got.more_a.tolist()) == {998} and set(got.forest.roots().tolist()) == {0, 500, 1000, 1500}
 
@@ -407,6 +407,18 @@ def test_chat(spark, odd):
         assert sum(r.mask) == (len(r.ids) - 2 if role == "assistant" else 0)
 
 
+def test_long_turns_have_the_ids_of_the_whole(monkeypatch):
+    from lodestone.llm import chat
+    from lodestone.llm.common import tokenizer_bytes
+
+    t, r = chat.Template(tokenizer_bytes("byte_bpe_50k.tiktoken")), random.Random(3)
+    text = " ".join(r.choice(["words", "1234", "...", "  ", "é日本", "don't", "a\n\n b"]) for _ in range(250_000))
+    assert len(text) > 1_000_000 and t.segment(text) == t.codec.encode_ordinary(text)
+    monkeypatch.setattr(chat, "PART_CHARS", 7)
+    for text in (text[:5000], "x" * 1000, " " * 1000, "no cut!" * 100, ""):
+        assert t.segment(text) == t.codec.encode_ordinary(text)
+
+
 def test_toxicity(spark, docs, odd):
     from lodestone.llm.toxicity import toxic_scores
 
@@ -430,6 +442,12 @@ def test_toxicity(spark, docs, odd):
     other = marks.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {x.doc_id: x.score for x in toxic_scores(df, other, epochs=6).collect()} == {i: x.score for i, x in got.items()}
     assert {x.score for x in toxic_scores(odd, marks.where("toxic = 0")).collect()} == {0.0}
+    # Of rows with one id one is learned from; null and empty texts have the score of a text without words.
+    again = df.unionByName(spark.createDataFrame([(0, "~ last by name", "xx")] * 30, df.schema))
+    assert {x.doc_id: x.score for x in toxic_scores(again, marks, epochs=6).collect() if x.doc_id} == {i: x.score for i, x in got.items() if i}
+    blank = spark.createDataFrame([(5000, None, None), (5001, "", None), (5002, " 12 ", "xx"), (None, "zogword", None)], df.schema)
+    blank = toxic_scores(df.unionByName(blank), marks, epochs=6).where("doc_id >= 5000 or doc_id is null").collect()
+    assert len({x.score for x in blank if x.doc_id}) == 1 and not any(x.predicted for x in blank if x.doc_id) and [x.held_out for x in blank if x.doc_id is None] == [False]
     mixed = toxic_scores(df.unionByName(odd.select("doc_id", "text", "lang")), marks, epochs=1)
     assert mixed.count() == df.count() + odd.count() and toxic_scores(empty(spark), marks).count() == 0
 
