@@ -40,6 +40,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import durable, ship
 
 LEAST, SHARE = 4, 0.8
+#: A slot with so much of its text in links, and so many links on average, may be a menu.
+LINKS, SEVERAL = 0.9, 2
+LISTS = frozenset("ul ol menu dl div section table".split())
 #: Pages with so much of their label paths in common have one layout.
 ALIKE = 0.5
 #: Numbers of a table of matches that are held at once; the others are computed again.
@@ -79,9 +82,12 @@ NEVER = frozenset("head script style title textarea template noscript iframe obj
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion reactions pagination pager toolbar widget skip form search".split()
 )
+#: Those that say so of any element.
+ALWAYS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promoted".split())
+#: Words that may stand beside them: of places, and of things that are held.
+BESIDE = frozenset("area articles bar block body bottom box buttons c container content global group inner item items js left link links list main news page panel policy posts primary reader right row secondary section site story top user wrap wrapper zone".split())
 #: Containers whose names are looked at.
-CONTAINER = frozenset("div section ul ol dl table tbody tr td p span header figure details center article blockquote fieldset hgroup li".split())
-
+CONTAINER = frozenset("div section ul ol dl table header figure details center article blockquote fieldset".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -175,19 +181,25 @@ def parse(page: str) -> Node:
     return root
 
 
+def named(value: str, words: frozenset[str]) -> bool:
+    """Whether one class, id or role names something of ``words``: by nothing but such words, words of layout and numbers."""
+    own = [w.lower() for w in NAME_WORD.findall(value)]
+    return "".join(own) in words or any(w in words for w in own) and all(w in words or w in NAMED or w in BESIDE or w.isdigit() for w in own)
+
+
 def is_boilerplate(node: Node, in_article: bool) -> bool:
     """Whether the element itself says that it isn't main text."""
     name = node.name
     if name in NEVER or name == "header" and not in_article:
         return True
-    if not node.attrs or name not in CONTAINER:
+    if not node.attrs:
         return False
+    words = NAMED if name in CONTAINER else ALWAYS
     for value in node.names():
         for one in value.split():
-            words = [w.lower() for w in NAME_WORD.findall(one)]
-            if any(w in NAMED for w in words) or "".join(words) in NAMED:
-                return True
-            if name != "header" and words in (["header"], ["page", "header"], ["site", "header"]) and not in_article:
+            own = [w.lower() for w in NAME_WORD.findall(one)]
+            page_header = name in CONTAINER and not in_article and own in (["header"], ["page", "header"], ["site", "header"])
+            if page_header or named(one, words):
                 return True
     return False
 
@@ -198,12 +210,12 @@ class Skeleton:
     ``shape`` is one number for equal trees of labels, ``size`` how many nodes they have.
     """
 
-    __slots__ = ("kids", "label", "nodes", "shape", "size", "template")
+    __slots__ = ("kids", "label", "menu", "nodes", "shape", "size", "template")
 
     def __init__(self, label: str, nodes: list[Node]):
         self.label, self.nodes = label, nodes
         self.kids: list[Skeleton] = []
-        self.shape, self.size, self.template = 0, 1, False
+        self.shape, self.size, self.template, self.menu = 0, 1, False, False
 
 
 def preorder(top: Skeleton) -> list[Skeleton]:
@@ -281,6 +293,28 @@ def plain(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
+def content(nodes: list[Node]) -> tuple[str, int, int, int]:
+    """The text of some nodes as ``plain`` gives it, a line a node; how many characters it has, how many of them stand in links, and in how many links."""
+    lines, size, linked, links = [], 0, 0, 0
+    for node in nodes:
+        out: list[str] = []
+        todo: list[tuple[Node | str, bool]] = [(node, False)]
+        while todo:
+            x, inside = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+                if inside:
+                    linked += len("".join(x.split()))
+            else:
+                links += x.name == "a"
+                inside = inside or x.name == "a"
+                todo.extend([(c, inside) for c in reversed(x.children)])
+        words = " ".join(out).split()
+        size += sum(map(len, words))
+        lines.append(" ".join(words))
+    return "\n".join(lines), size, linked, links
+
+
 def shapes(*tops: Skeleton) -> None:
     """Numbers the shapes of trees, so that equal ones have equal numbers."""
     number: dict[tuple, int] = {}
@@ -380,17 +414,22 @@ def title(root: Node) -> str:
 
 
 class Layout:
-    """A layout of a host: its label paths, and its seed with the template nodes marked."""
+    """A layout of a host: its label paths, and its seed with the template nodes and the menus marked."""
 
-    def __init__(self, paths: list[int], labels: list[str], parents: list[int], template: list[int] | None):
+    def __init__(self, paths: list[int], labels: list[str], parents: list[int], template: list[int] | None, menus: list[int] | None, main: list[int] | None):
+        """``main``: the nodes that have half of the layout's text each. Of ``menus`` those count that stand before one of them, with one parent."""
         self.paths = set(paths)
         self.all = [Skeleton(x, []) for x in labels]
         for s, up in zip(self.all[1:], parents[1:], strict=True):
             self.all[up].kids.append(s)
         self.seed = self.all[0]
-        self.usable = template is None or bool(template)
+        last = {parents[i]: i for i in main or () if i}
+        menus = [i for i in menus or () if i and labels[i].split(" ")[0] in LISTS and i < last.get(parents[i], 0) and i not in main]
+        self.usable = template is None or bool(template or menus)
         for i in template or ():
             self.all[i].template = True
+        for i in menus:
+            self.all[i].menu = True
 
 
 def layouts_of(wrapper: str) -> list[Layout]:
@@ -417,15 +456,21 @@ def told(root: Node) -> tuple[list[str], list[int]]:
     return [s.label for s in every], parents
 
 
-def template_nodes(root: Node, layouts: list[Layout] | None) -> set[int]:
-    """The page's nodes that its host's wrapper holds to be template."""
+def left_out(root: Node, layouts: list[Layout] | None) -> tuple[set[int], set[int]]:
+    """The page's nodes that its host's wrapper holds to be template, and those that it holds to be menus."""
     if not layouts:
-        return set()
+        return set(), set()
     tree, _ = skeleton(root)
     own = layouts[layout_for(tree, layouts)]
     if not own.usable:
-        return set()
-    return {id(n) for x, y in aligned(own.seed, tree) if x.template for n in y.nodes}
+        return set(), set()
+    template, menus = set(), set()
+    for x, y in aligned(own.seed, tree):
+        if x.template:
+            template.update(map(id, y.nodes))
+        if x.menu:
+            menus.update(map(id, y.nodes))
+    return template, menus
 
 
 def regions(root: Node) -> list[Node]:
@@ -472,10 +517,11 @@ def main_text(page: str | None, wrapper: list[Layout] | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
-    skip = template_nodes(root, wrapper)
+    template, menus = left_out(root, wrapper)
     found = regions(root)
     out = []
     for region in found:
+        skip = template | menus if region is root else template
         own = [t for t in (" ".join(b.split()) for b in blocks(region, skip, region is not root)) if t]
         out += own
     return "\n".join(out)
@@ -537,18 +583,20 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
     trees = durable(seeds.join(trees.select("host", "h", tell("html").alias("t")), ["host", "h"]).select("host", "layout", "paths", "t.*"))
 
     def bundle(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("layout", "paths", "labels", "parents", "template"))).alias("all"))
+        return rows.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("layout", "paths", "labels", "parents", "template", "menus", "main"))).alias("all"))
 
     @F.arrow_udf("string")
     def dump(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([json.dumps([[x["paths"], x["labels"], x["parents"], x["template"]] for x in own]) for own in batch.to_pylist()], pa.string())
+            yield pa.array([json.dumps([[x["paths"], x["labels"], x["parents"], x["template"], x["menus"], x["main"]] for x in own]) for own in batch.to_pylist()], pa.string())
 
-    plain_seeds = durable(bundle(trees.withColumn("template", F.lit(None).cast("array<int>"))).select("host", dump("all").alias("wrapper")))
+    none = F.lit(None).cast("array<int>")
+    plain_seeds = durable(bundle(trees.withColumns({"template": none, "menus": none, "main": none})).select("host", dump("all").alias("wrapper")))
 
-    @F.arrow_udf("struct<layout:int,article:bigint,nodes:array<struct<i:int,text:bigint>>>")
+    @F.arrow_udf("struct<layout:int,article:bigint,nodes:array<struct<i:int,text:bigint,size:int,linked:int,links:int>>>")
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held: dict[str, list[Layout]] = {}
+        each = pa.list_(pa.struct([("i", pa.int32()), ("text", pa.int64()), ("size", pa.int32()), ("linked", pa.int32()), ("links", pa.int32())]))
         for html, wrapper in batches:
             got = []
             for page, w in zip(html.to_pylist(), wrapper.to_pylist(), strict=True):
@@ -560,19 +608,32 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
                 tree, _ = skeleton(root)
                 k = layout_for(tree, held[w])
                 at = {id(s): i for i, s in enumerate(held[w][k].all)}
-                texts = ((at[id(x)], "\n".join(map(plain, y.nodes))) for x, y in aligned(held[w][k].seed, tree))
-                got.append({"layout": k, "article": long_hash(title(root)), "nodes": [{"i": i, "text": long_hash(t)} for i, t in texts if t.strip()]})
-            yield pa.array(got, pa.struct([("layout", pa.int32()), ("article", pa.int64()), ("nodes", pa.list_(pa.struct([("i", pa.int32()), ("text", pa.int64())])))]))
+                nodes = []
+                for x, y in aligned(held[w][k].seed, tree):
+                    text, size, linked, links = content(y.nodes)
+                    if size:
+                        nodes.append({"i": at[id(x)], "text": long_hash(text), "size": size, "linked": linked, "links": links})
+                    if x is held[w][k].seed:  # node -1 stands for the page itself
+                        nodes.append({"i": -1, "text": 0, "size": size, "linked": 0, "links": 0})
+                got.append({"layout": k, "article": long_hash(title(root)), "nodes": nodes})
+            yield pa.array(got, pa.struct([("layout", pa.int32()), ("article", pa.int64()), ("nodes", each)]))
 
     small = plain_seeds.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0] <= BROADCAST_BYTES
     counted = usable.join(F.broadcast(plain_seeds) if small else plain_seeds, "host").select("host", count("html", "wrapper").alias("c")).select("host", "c.*")
-    # Node -1 stands for the page itself.
-    every = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("text"))), "nodes")
-    votes = counted.select("host", "layout", "article", F.explode(every).alias("n")).select("host", "layout", "article", "n.*").distinct().groupBy("host", "layout", "i", "text").count()
-    most = durable(votes.groupBy("host", "layout", "i").agg(F.max("count").alias("n")))
-    total = most.where("i = -1").select("host", "layout", F.col("n").alias("total"))
-    marks = most.where("i >= 0").join(total, ["host", "layout"]).where((F.col("total") >= least) & (F.col("n") >= share * F.col("total"))).groupBy("host", "layout").agg(F.sort_array(F.collect_list("i")).alias("template"))
-    return bundle(trees.join(marks, ["host", "layout"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))).select("host", dump("all").alias("wrapper"))
+    nodes = counted.select("host", "layout", "article", F.explode("nodes").alias("n")).select("host", "layout", "article", "n.*")
+    # Versions of one article count once.
+    once = nodes.groupBy("host", "layout", "article", "i", "text").agg(*(F.max(c).alias(c) for c in ("size", "linked", "links")))
+    votes = once.groupBy("host", "layout", "i", "text").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("size", "linked", "links")))
+    most = durable(votes.groupBy("host", "layout", "i").agg(F.max("n").alias("n"), F.sum("n").alias("there"), *(F.sum(c).alias(c) for c in ("size", "linked", "links"))))
+    total = most.where("i = -1").select("host", "layout", F.col("n").alias("total"), F.col("size").alias("whole"))
+    judged = most.where("i >= 0").join(total, ["host", "layout"]).where(F.col("total") >= least)
+    constant = F.col("n") >= share * F.col("total")
+    menu = (F.col("there") >= share * F.col("total")) & (F.col("linked") >= LINKS * F.col("size")) & (F.col("links") >= SEVERAL * F.col("there"))
+    main = 2 * F.col("size") >= F.col("whole")
+    said = {"template": constant, "menus": menu, "main": main}
+    marks = judged.where(constant | menu | main).groupBy("host", "layout").agg(*(F.sort_array(F.collect_list(F.when(c, F.col("i")))).alias(k) for k, c in said.items()))
+    empty = F.array().cast("array<int>")
+    return bundle(trees.join(marks, ["host", "layout"], "left").withColumns({k: F.coalesce(k, empty) for k in said})).select("host", dump("all").alias("wrapper"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, and small tables to hold them against."""
 
 import hashlib
+import html.parser
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -47,6 +48,41 @@ def simhash(docs, radius=2):
     return {i: (f"{fp[i]:016x}", g.root(i)) for i in ids}
 
 
+class Articles(html.parser.HTMLParser):
+    """The text of the article elements of a page, by the standard library's parser; for pages without names."""
+
+    BREAKS = set("article h1 h2 h3 p ul ol li div section table tr td blockquote pre figure".split())
+    SILENT = set("script style nav aside footer form svg noscript header".split())
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.silent = 0
+        self.blocks = [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in self.SILENT
+        self.inside += tag == "article"
+        if tag in self.BREAKS:
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.blocks.append("")
+        self.silent -= tag in self.SILENT and self.silent > 0
+        self.inside -= tag == "article" and self.inside > 0
+
+    def handle_data(self, data):
+        if self.inside and not self.silent:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(t for t in (" ".join(b.split()) for b in self.blocks) if t)
+
+
 def shingles(text, width=5):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(lowered)

@@ -1,6 +1,7 @@
 """The operators against plain Python, libraries and awkward rows."""
 
 import random
+import re
 import string
 import struct
 
@@ -600,6 +601,49 @@ def test_html_of_many_nodes(spark):
     assert {x.page_id: x.text for x in extract(df).collect()} == want
 
 
+def test_html_as_another_parser_reads_it(spark):
+    from lodestone.llm.wrappers import extract
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r.page_id: brute.Articles(r.html or "").text() for r in pages.collect()}
+    assert sum(map(bool, want.values())) > 0.9 * len(want)
+    assert {r.page_id: r.text for r in extract(pages).collect()} == want
+
+
+def test_names_of_parts():
+    from lodestone.llm.wrappers import main_text
+
+    story = "<h1>Head</h1><p>One</p><p>Two</p>"
+    for around in ('<div class="layout has-sidebar">{}</div>', '<div class="long-form">{}</div>', '<article class="post comments-open">{}</article>', '<div id="search-results-article">{}</div>', '<main class="page-with-nav">{}</main>', '<div class="no-ads"><section id="reader-view">{}</section></div>'):
+        assert main_text(around.format(story)) == "Head\nOne\nTwo", around
+        assert main_text(around.format(story + '<div class="related-articles">x</div><ul id="comment-list"><li>y</ul><div class="share_buttons">z</div><div class="ad ad-box-2">w</div>')) == "Head\nOne\nTwo", around
+    assert main_text('<article><p>a</p><p class="social">b</p><p class="advert">c</p><span class="note">d</span></article>') == "a\nb\nd"
+    assert main_text('<div class="siteHeader">a</div><div class="page-header">b</div><div class="site-footer">c</div><div class="content">d</div><div class="cookie-notice">e</div><section id="user-comments"><p>f</section>') == "d"
+
+
+def test_html_menus_that_vary(spark):
+    from lodestone.llm.wrappers import extract
+
+    r = random.Random(18)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(6))
+    rows, want = [], {}
+    for i in range(30):
+        own = " ".join(word() for _ in range(40))
+        menu = "".join(f'<i><a href="/{word()}">{word()}</a></i>' for _ in range(r.randrange(2, 6)))
+        # Links in an article, before it as a title, and after it as its sources stay; so does an article of nothing but a link.
+        text = f'<p>{own} <a href="/x">{word()}</a></p>' if i else f'<p><a href="/y">{own}</a></p>'
+        parts = f'<h1><a href="/z">{word()}</a></h1>', text, f"<ul><li>{menu}</li></ul>"
+        rows.append((i, "http://links.org/", page_of(word(), f"<div id=u1>{menu}</div><div id=u2>{''.join(parts)}</div>")))
+        want[i] = "\n".join(" ".join(re.sub("<[^>]*>", "", t).split()) for t in parts)
+    # A site of link lists keeps them.
+    for i in range(30, 50):
+        own = [word() for _ in range(5)]
+        rows.append((i, "http://lists.org/", page_of(word(), "<ul>" + "".join(f'<li><a href="/{w}">{w}</a>' for w in own) + "</ul>")))
+        want[i] = "\n".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in extract(df).collect()} == want
+
+
 def test_matching_is_the_best_one(monkeypatch):
     from lodestone.llm import wrappers
 
