@@ -239,4 +239,4 @@ def test_command_line(spark, tmp_path, capsys):
     call("delete", path, "id", "A1")
     assert json.loads(call("stats", path))["deleted_docs"] == 1
     call("merge", path)
-    assert json.loads(call("stats", path))["max_doc"] == 1 and call("check", path).startswith("OK: 1 segments, 1 documents")
+    assert json.loads(call("stats", path))["max_doc"] == 1 and call("check", path).startswith("intact: segments 1, documents 1")
