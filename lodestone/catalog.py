@@ -90,9 +90,9 @@ def searcher(spark: SparkSession, sf_dir: str, table: str = "documents", variant
     return _OPEN[path]
 
 
-def named(s: IndexSearcher, hits: DataFrame, key: str) -> DataFrame:
+def named(s: IndexSearcher, hits: DataFrame, key: str, at_most: int | None = None) -> DataFrame:
     """Hits by their table's key."""
-    return s.fetch(hits, key).select(key, F.col("score").cast("double").alias("score"))
+    return s.fetch(hits, key, at_most=at_most).select(key, F.col("score").cast("double").alias("score"))
 
 
 T = lambda t: TermQuery("text", t)
@@ -128,7 +128,7 @@ def top(name: str) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         query, n = QUERIES_BY_NAME[name]
         s = searcher(spark, sf_dir)
-        return named(s, s.search_df(query, n), "doc_id")
+        return named(s, s.search_df(query, n), "doc_id", n)
 
     return run
 
@@ -164,7 +164,7 @@ def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = searcher(spark, sf_dir)
-    return s.fetch(s.search_df(T("the"), 10), "doc_id", "lang", "source", "n_chars").select("doc_id", "lang", "source", "n_chars")
+    return s.fetch(s.search_df(T("the"), 10), "doc_id", "lang", "source", "n_chars", at_most=10).select("doc_id", "lang", "source", "n_chars")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def matches(table: str, query: Query) -> Run:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = searcher(spark, sf_dir, table)
-        return named(s, s.plan(query), KEYS[table])
+        return s.plan(query, {"_key": KEYS[table]}).select(F.col("_key").alias(KEYS[table]), F.col("score").cast("double").alias("score"))
 
     return run
 
@@ -196,7 +196,7 @@ def page(table: str, query: Query, sort: list[SortField] | None, size: int, turn
         s, after = searcher(spark, sf_dir, table), None
         for _ in range(turns - 1):
             after = s.search_after(query, sort, size, after)[-1]
-        return named(s, s.page_df(query, sort, size, after), KEYS[table])
+        return named(s, s.page_df(query, sort, size, after), KEYS[table], size)
 
     return run
 
@@ -204,14 +204,14 @@ def page(table: str, query: Query, sort: list[SortField] | None, size: int, turn
 def changed(variant: str) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = searcher(spark, sf_dir, variant=variant)
-        return named(s, s.search_df(T("the"), 20), "doc_id")
+        return named(s, s.search_df(T("the"), 20), "doc_id", 20)
 
     return run
 
 
 def phrase_multivalued(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = searcher(spark, sf_dir, "conversations")
-    return named(s, s.search_df(PhraseQuery("turns", (("of", 0), ("the", 1))), 20), "conv_id")
+    return named(s, s.search_df(PhraseQuery("turns", (("of", 0), ("the", 1))), 20), "conv_id", 20)
 
 
 BATCH = [("TERM", ["the"]), ("OR", ["the", "of", "and"]), ("AND", ["the", "of"]), ("PHRASE", ["of", "the"]), ("OR", ["der", "que"]), ("PHRASE", ["in", "the"])]
@@ -221,7 +221,7 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = searcher(spark, sf_dir)
     queries = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(BATCH)], "qid long, kind string, terms array<string>")
     found = search_many(s.reader, queries, 10, "text")
-    return s.fetch(found, "doc_id").select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("score").cast("double").alias("score"), "total")
+    return s.fetch(found, "doc_id", at_most=10 * len(BATCH)).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("score").cast("double").alias("score"), "total")
 
 
 PAGES = {

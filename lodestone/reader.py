@@ -126,16 +126,17 @@ class SegmentReader:
             self._frames[folder] = self.storage.spark.read.parquet(self.storage.at(folder))
         return self._frames[folder]
 
-    def docs(self) -> DataFrame:
-        """doc, and the columns of stored fields and doc values; deleted documents too."""
+    def docs(self, own: list[int] | None = None) -> DataFrame:
+        """doc, and the columns of stored fields and doc values, of all documents or of some; deleted documents too."""
         df = self._read(self.segment.docs_dir)
+        if own is not None:
+            df = df.where(F.col("_mid").isin([self.segment.mid(d) for d in own]))
         return df.select(self.segment.doc_column().alias("doc"), *(F.col(f"`{c}`") for c in df.columns if c in self.schema))
 
     def stored(self, docs: list[int]) -> DataFrame:
         """The rows of some documents; the list reaches the scan as a filter."""
-        df = self._read(self.segment.docs_dir).where(F.col("_mid").isin([self.segment.mid(d) for d in docs]))
-        kept = [n for n, s in self.schema if s.stored and n in df.columns]
-        return df.select(self.segment.doc_column().alias("doc"), *(F.col(f"`{c}`") for c in kept))
+        df = self.docs(docs)
+        return df.select("doc", *(F.col(f"`{n}`") for n, s in self.schema if s.stored and n in df.columns))
 
     def postings(self) -> DataFrame:
         return self._read(self.segment.postings_dir)
@@ -273,6 +274,14 @@ class IndexReader:
     def document(self, doc: int) -> Row:
         return self.documents([doc])[doc]
 
+    def rows_of(self, docs: list[int]) -> DataFrame:
+        """doc and all columns of some documents, one scan a segment that any of them lies in; the list reaches the scan as a filter."""
+        by: dict[int, list[int]] = {}
+        for d in docs:
+            k, local = self.locate(d)
+            by.setdefault(k, []).append(local)
+        return self.all_docs().where(F.lit(False)) if not by else self._union([s.docs(by[k]) if k in by else None for k, s in enumerate(self.segments)])
+
     def collection_stats(self, field_name: str) -> FieldStats | None:
         """Over all segments, deleted documents included; None if no document has the field."""
         parts = [s.segment.fields[field_name] for s in self.segments if field_name in s.segment.fields]
