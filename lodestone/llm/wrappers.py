@@ -293,26 +293,41 @@ def plain(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
-def content(nodes: list[Node]) -> tuple[str, int, int, int]:
-    """The text of some nodes as ``plain`` gives it, a line a node; how many characters it has, how many of them stand in links, and in how many links."""
-    lines, size, linked, links = [], 0, 0, 0
-    for node in nodes:
-        out: list[str] = []
-        todo: list[tuple[Node | str, bool]] = [(node, False)]
-        while todo:
-            x, inside = todo.pop()
-            if isinstance(x, str):
-                out.append(x)
-                if inside:
-                    linked += len("".join(x.split()))
-            else:
-                links += x.name == "a"
-                inside = inside or x.name == "a"
-                todo.extend([(c, inside) for c in reversed(x.children)])
-        words = " ".join(out).split()
-        size += sum(map(len, words))
-        lines.append(" ".join(words))
-    return "\n".join(lines), size, linked, links
+def contents(root: Node) -> dict[int, tuple[int, int, int, int]]:
+    """By node: the hash of its text as ``plain`` gives it, how many characters the text has, how many of them stand in links, and in how many links.
+
+    From the leaves up, so that every text is cut into words once, and only texts that no parent has joined yet are held.
+    """
+    out: dict[int, tuple[int, int, int, int]] = {}
+    held: list[list] = []  # of every open node: its texts so far, and the three sums
+    todo: list[Node | str | None] = [root]
+    path: list[Node] = []
+    while todo:
+        x = todo.pop()
+        if x is None:
+            node, (texts, size, linked, links) = path.pop(), held.pop()
+            text = " ".join(texts)
+            if node.name == "a":
+                linked, links = size, links + 1
+            out[id(node)] = long_hash(text), size, linked, links
+            if held:
+                above = held[-1]
+                if text:
+                    above[0].append(text)
+                above[1] += size
+                above[2] += linked
+                above[3] += links
+        elif isinstance(x, str):
+            words = x.split()
+            if words:
+                held[-1][0].append(" ".join(words))
+                held[-1][1] += sum(map(len, words))
+        else:
+            path.append(x)
+            held.append([[], 0, 0, 0])
+            todo.append(None)
+            todo.extend(reversed(x.children))
+    return out
 
 
 def shapes(*tops: Skeleton) -> None:
@@ -608,11 +623,12 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
                 tree, _ = skeleton(root)
                 k = layout_for(tree, held[w])
                 at = {id(s): i for i, s in enumerate(held[w][k].all)}
-                nodes = []
+                nodes, known = [], contents(root)
                 for x, y in aligned(held[w][k].seed, tree):
-                    text, size, linked, links = content(y.nodes)
+                    own = [known[id(n)] for n in y.nodes]
+                    text, size, linked, links = own[0] if len(own) == 1 else (long_hash(repr([o[0] for o in own])), *(sum(o[j] for o in own) for j in (1, 2, 3)))
                     if size:
-                        nodes.append({"i": at[id(x)], "text": long_hash(text), "size": size, "linked": linked, "links": links})
+                        nodes.append({"i": at[id(x)], "text": text, "size": size, "linked": linked, "links": links})
                     if x is held[w][k].seed:  # node -1 stands for the page itself
                         nodes.append({"i": -1, "text": 0, "size": size, "linked": 0, "links": 0})
                 got.append({"layout": k, "article": long_hash(title(root)), "nodes": nodes})
