@@ -52,6 +52,16 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c, k in df.dtypes if k == "int"}).select(*SCHEMAS[table].fields)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all machines share; only a local session may name none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="lodestone-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _PLACES: dict[tuple[str, str, str], str] = {}
 
 
@@ -59,8 +69,7 @@ def index_path(spark: SparkSession, sf_dir: str, table: str = "documents", varia
     """Where a table's index is; it is built when it is first asked for in a session."""
     key = spark.sparkContext.applicationId, sf_dir, table + variant
     if key not in _PLACES:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-index-")
-        path = f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+        path = scratch(spark, "index")
         with IndexWriter.open(spark, path, WriterConfig(analyzer=ANALYZER), SCHEMAS[table]) as w:
             docs = source(spark, sf_dir, table)
             if not variant:
@@ -231,7 +240,7 @@ PAGES = {
 }
 
 REGISTERED: dict[str, Run] = {
-    "tokenize_standard": tokenized(PatternAnalyzer(WORD)),
+    "tokenize_pattern": tokenized(PatternAnalyzer(WORD)),
     "tokenize_whitespace": tokenized(WhitespaceAnalyzer()),
     "tokenize_simple": tokenized(SimpleAnalyzer()),
     "stop_words_positions": tokenized(PatternAnalyzer(WORD, stop_words=ENGLISH)),
@@ -330,7 +339,7 @@ _AND3 = f"SELECT doc, {_sum('s0', 's1', 's2')} AS score FROM {_all(*map(_leaf, (
 _ZERO = "CASE WHEN value = 0 THEN signbit(value)::INT ELSE 0 END"
 
 ORACLES: dict[str, str] = {
-    "tokenize_standard": f"{BASE} SELECT doc AS doc_id, term, pos FROM tok",
+    "tokenize_pattern": f"{BASE} SELECT doc AS doc_id, term, pos FROM tok",
     "tokenize_whitespace": r"SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\t-\r\x1c-\x1f \x{85}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]+') AS t FROM documents)",
     "tokenize_simple": r"SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(translate(text, 'İΣ', 'iσ')), '\p{L}+') AS t FROM documents)",
     "stop_words_positions": f"{BASE} SELECT doc AS doc_id, term, pos FROM tok WHERE term NOT IN ({_QUOTED})",

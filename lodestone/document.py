@@ -18,6 +18,14 @@ class Term:
     field: str
     text: str
 
+    @classmethod
+    def from_bytes(cls, field: str, data: bytes) -> Term:
+        """Terms are UTF-8; other bytes are no term of any document."""
+        try:
+            return cls(field, data.decode())
+        except UnicodeDecodeError as e:
+            raise IllegalArgument(f"a term of {field} isn't UTF-8") from e
+
 
 @dataclass(frozen=True)
 class Field:
@@ -25,6 +33,22 @@ class Field:
     value: Value
     spec: FieldSpec
 
+    def as_str(self) -> str | None:
+        return self.value if isinstance(self.value, str) else None
+
+    def as_bytes(self) -> bytes | None:
+        return self.value if isinstance(self.value, bytes) else None
+
+    def as_i64(self) -> int | None:
+        return self.value if isinstance(self.value, int) and not isinstance(self.value, bool) else None
+
+    def as_f64(self) -> float | None:
+        return self.value if isinstance(self.value, float) else None
+
+    def size(self) -> int:
+        """About how many bytes the value takes up."""
+        return len(self.value) if isinstance(self.value, str | bytes) else 8
+
     @classmethod
     def text(cls, name: str, value: str, stored: bool = False) -> Field:
         return cls(name, value, FieldSpec.text(stored))
@@ -63,6 +87,14 @@ class Document:
     def __len__(self) -> int:
         return len(self.fields)
 
+    @property
+    def is_empty(self) -> bool:
+        return not self.fields
+
+    def size(self) -> int:
+        """About how many bytes the values take up."""
+        return sum(f.size() for f in self.fields)
+
     def __iter__(self) -> Iterator[Field]:
         return iter(self.fields)
 

@@ -20,8 +20,11 @@ EXACT = 24
 
 
 def f32(x: float) -> float:
-    """The nearest single-precision number."""
-    return struct.unpack("<f", struct.pack("<f", x))[0]
+    """The nearest single-precision number, infinite beyond the largest."""
+    try:
+        return struct.unpack("<f", struct.pack("<f", x))[0]
+    except OverflowError:
+        return math.copysign(math.inf, x)
 
 
 def encode_length(n: int) -> int:

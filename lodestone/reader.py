@@ -155,6 +155,11 @@ class SegmentReader:
         """doc of deleted documents."""
         return self._read(self.segment.deletes_dir) if self.segment.del_gen else None
 
+    def is_live(self, doc: int) -> bool:
+        """Whether the segment has the document and it isn't deleted."""
+        gone = self.deletes()
+        return 0 <= doc < self.max_doc and (gone is None or not gone.where(F.col("doc") == doc).limit(1).count())
+
     def live_docs(self) -> DataFrame:
         docs = self.docs().select("doc")
         gone = self.deletes()
