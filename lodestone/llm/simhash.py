@@ -41,8 +41,9 @@ from lodestone.llm.components import connected, joined_by_key, one_of_each
 
 HOT_KEY = 4096
 #: Bands of least hashes and hashes to a band: texts of similarity 0.8 share one in 999 of 1000 cases.
-#: Their fingerprints differ in some 10 bits of 64, and in over RADIUS hardly ever.
-BANDS, ROWS, RADIUS = 14, 4, 20
+BANDS, ROWS = 14, 4
+#: Words of a wide fingerprint. Those of texts of similarity 0.8 differ in some 39 bits of 256, and in over RADIUS hardly ever.
+LANES, RADIUS = 4, 64
 CHUNK = 200_000
 #: Ids up to so many are broadcast (8 bytes each, some MB in all).
 FEW = 500_000
@@ -117,7 +118,8 @@ class Planes:
     """
 
     def __init__(self, values: np.ndarray, bits: int):
-        rows = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
+        """``values``: a word of 64 bits each, or a row of words."""
+        rows = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")[:, :bits]
         rows = np.vstack([rows, np.zeros((-len(rows) % 64, bits), np.uint8)])
         self.planes = np.packbits(np.ascontiguousarray(rows.T), axis=1, bitorder="little").view(np.uint64)
         self.words = self.planes.shape[1]
@@ -169,12 +171,12 @@ class Planes:
 
 def neighbours(starts: np.ndarray, value: np.ndarray, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within ``radius`` in runs that begin at ``starts``: those one place apart, those two apart, and so on."""
-    if not value.size:
+    if not len(value):
         return
-    sizes = np.diff(np.r_[starts, value.size])
+    sizes = np.diff(np.r_[starts, len(value)])
     end = np.repeat(starts + sizes, sizes)
     planes = Planes(value, bits)
-    at = np.flatnonzero(np.arange(value.size) + 1 < end)
+    at = np.flatnonzero(np.arange(len(value)) + 1 < end)
     step = 1
     while at.size:
         words, first = np.unique(at >> 6, return_index=True)
@@ -293,19 +295,34 @@ def multipliers(n: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(str(k), 1) | 1 for k in range(n)), np.uint64, n)
 
 
+def mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    if not lane:
+        return h
+    x = h ^ np.uint64(xxhash.xxh64_intdigest(str(lane), 2))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def sketch(text: Column, spark, width: int, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """A struct for each text: mark (of its set of shingles), n (their number), fp, and one key a band of least hashes."""
+    """A struct for each text: mark (of its set of shingles), n (their number), fp (LANES words), and one key a band of least hashes."""
     ship(spark)
 
-    @F.arrow_udf("struct<mark:string,n:int,fp:bigint,keys:array<bigint>>")
+    @F.arrow_udf("struct<mark:string,n:int,fp:array<bigint>,keys:array<bigint>>")
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         factors = multipliers(bands * rows)
         for batch in batches:
             marks, sizes, fps, keys = [], [], [], []
-            for x in batch:
+            held, size = [], 0
+            for i, x in enumerate(batch):
                 h = shingle_hashes(x.as_py(), width)
+                held.append(h)
+                size += h.size
+                if size > CHUNK or i + 1 == len(batch):
+                    fps.append(np.stack([majority([mixed(h, k) for h in held]) for k in range(LANES)], axis=1))
+                    held, size = [], 0
                 own = np.unique(h)
-                fps.append(majority([h]))
                 marks.append(xxhash.xxh128_hexdigest(own.tobytes()))
                 sizes.append(own.size)
                 least = np.full(factors.size, ~np.uint64(0))
@@ -313,11 +330,12 @@ def sketch(text: Column, spark, width: int, bands: int = BANDS, rows: int = ROWS
                     np.minimum(least, (own[None, a : a + CHUNK // factors.size] * factors[:, None]).min(1), out=least)
                 band = least.reshape(bands, rows)
                 keys.append([xxhash.xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(band)] if own.size else [])
-            held = np.fromiter((k for own in keys for k in own), np.uint64).view(np.int64)
+            flat = np.fromiter((k for own in keys for k in own), np.uint64).view(np.int64)
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(held, pa.int64()))
-            fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
-            yield pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array(sizes, pa.int32()), pa.array(fp, pa.int64()), lists], ["mark", "n", "fp", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+            fp = np.concatenate(fps).view(np.int64).ravel() if fps else np.zeros(0, np.int64)
+            prints = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * LANES), pa.array(fp, pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array(sizes, pa.int32()), prints, lists], ["mark", "n", "fp", "keys"])
         give_back()
 
     return look(text)
@@ -339,7 +357,7 @@ def shingle_sets(text: Column, spark, width: int) -> Column:
 
 
 def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every: bool) -> DataFrame:
-    """a, b: marks of one key and of two labels whose fingerprints are within ``radius`` and whose sizes allow the similarity.
+    """a, b, k, part: marks of one key and of two labels whose fingerprints are within ``radius`` and whose sizes allow the similarity, and where they have met.
 
     ``dealt``: k, fp, n, mark, label. With ``every`` all such pairs; without, no more than a forest a key.
 
@@ -357,12 +375,13 @@ def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            k, part, fp, n = (t[c].to_numpy() for c in ("k", "part", "fp", "n"))
+            k, part, n = (t[c].to_numpy() for c in ("k", "part", "n"))
+            fp = t["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
             marks, labels = t["mark"].combine_chunks(), t["label"].combine_chunks()
             kind = labels.dictionary_encode().indices.to_numpy()
             starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1])])
             forest, found = Forest(len(k)), []
-            for i, j in neighbours(starts, fp.view(np.uint64), 64, radius):
+            for i, j in neighbours(starts, fp, 64 * LANES, radius):
                 fit = (kind[i] != kind[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
                 i, j = i[fit], j[fit]
                 if not every:
@@ -372,7 +391,7 @@ def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every
                     forest.join(i, j)
                 found.append((i, j))
             i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            return pa.record_batch([marks.take(pa.array(i)), marks.take(pa.array(j))], names=["a", "b"])
+            return pa.record_batch([marks.take(pa.array(i)), marks.take(pa.array(j)), pa.array(k[i]), pa.array(part[i])], names=["a", "b", "k", "part"])
 
         rest = None
         for batch in batches:
@@ -391,8 +410,39 @@ def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every
         give_back()
 
     both = both.select("k", "part", "fp", "n", "mark", "label").repartition("k", "part").sortWithinPartitions("k", "part", "mark")
-    found = both.mapInArrow(compare, "a string, b string")
-    return durable(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = both.mapInArrow(compare, "a string, b string, k bigint, part bigint")
+    return durable(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("k", "part")).alias("x")).select("a", "b", "x.*"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs (a, b, k, part) whose sets of shingles (mark, own) have the similarity.
+
+    Pairs are looked at where they have met, so that a set moves once for each such place rather than for each pair.
+    """
+    place = ["k", "part"]
+    used = pairs.select(*place, F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.withColumnRenamed("mark", "a"), "a")
+    none = F.lit(None)
+    rows = used.select(*place, "a", none.cast("string").alias("b"), "own").unionByName(pairs.select(*place, "a", "b", none.cast("array<bigint>").alias("own")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, {}
+        for batch in batches:
+            a, b = [], []
+            cols = zip(*(batch.column(c).to_pylist() for c in ("k", "part", "a", "b")), batch.column("own"), strict=True)
+            for k, part, x, y, own in cols:
+                if (k, part) != here:
+                    here, held = (k, part), {}
+                if y is None:
+                    held[x] = own.values.to_numpy()
+                    continue
+                shared = np.intersect1d(held[x], held[y], assume_unique=True).size
+                if shared / (held[x].size + held[y].size - shared) >= similarity:
+                    a.append(x)
+                    b.append(y)
+            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+        give_back()
+
+    return rows.repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("b")).mapInArrow(check, "a string, b string")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot: int = HOT_KEY) -> DataFrame:
@@ -411,22 +461,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = durable(dealt.join(dealt.groupBy("k").count().where("count > 1").select("k"), "k"))
     few = lambda df: F.broadcast(df) if df.count() <= FEW else df
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that have the similarity."""
         wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct().join(nodes.select("mark", "id"), "mark"))
         rows = docs.select(own.alias("id"), text.alias("t")).join(few(wanted.select("id").distinct()), "id", "left_semi")
         sets = rows.select("id", shingle_sets(F.col("t"), spark, width).alias("s")).select("id", "s.mark", "s.own")
-        sets = durable(sets.join(few(wanted), ["id", "mark"], "left_semi").groupBy("mark").agg(F.first("own").alias("own")))
-        both = pairs.join(sets.select(F.col("mark").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("mark").alias("a"), F.col("own").alias("x")), "a")
-        shared = F.size(F.array_intersect("x", "y"))
-        return durable(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"))
+        sets = sets.join(few(wanted), ["id", "mark"], "left_semi").dropDuplicates(["mark"]).select("mark", "own")
+        return durable(alike(pairs, sets, similarity))
 
     first = near_pairs(dealt.withColumn("label", F.col("mark")), radius, similarity, hot, every=False)
-    edges = alike(first)
+    edges = verified(first)
     joined = connected(edges).select(F.col("node").alias("mark"), F.col("component").alias("label"))
     labels = dealt.join(few(joined), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
-    rest = near_pairs(labels, radius, similarity, hot, every=True).join(first, ["a", "b"], "left_anti")
-    groups = connected(edges.unionByName(alike(durable(rest))))
+    rest = near_pairs(labels, radius, similarity, hot, every=True).join(few(first.select("a", "b")), ["a", "b"], "left_anti")
+    groups = connected(edges.unionByName(verified(durable(rest))))
     named = groups.withColumnRenamed("node", "mark")
     return marked.select("doc_id", "mark").join(few(named), "mark", "left").select("doc_id", "mark", F.coalesce("component", "mark").alias("comp"))
 
