@@ -46,6 +46,8 @@ AXES, CELLS = 12, 3
 BLOCK, BLOCK_BYTES, LEAF, SAMPLE = 4096, 8 << 20, 128, 4096
 #: Tasks that share the blocks of one cell.
 SALTS = 16
+#: Tasks that join pairs of blocks, for each that makes blocks; no more than a shuffle has.
+PAIRS_TO_BLOCKS = 8
 SLACK = 1e-9
 
 
@@ -193,9 +195,10 @@ def grid_links(reps: DataFrame, rows: int, least: float, sample: int = SAMPLE, b
 
     label = reps.schema["label"].dataType.simpleString()
     order = ["label", "d", *(f"c{k}" for k in range(CELLS + 1)), "node"]
-    found = reps.select("label", "embedding", "node", "name", "n").mapInArrow(place, f"label {label}, d int, node bigint, name bigint, n bigint, embedding array<{element}>, place array<double>, {', '.join(f'c{k} int' for k in range(CELLS + 1))}")
-    found = durable(found)
+    # As many tasks as there are blocks for: a few vectors a task would take longer to hand over than to place.
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // block + 1))
+    found = reps.coalesce(parts).select("label", "embedding", "node", "name", "n").mapInArrow(place, f"label {label}, d int, node bigint, name bigint, n bigint, embedding array<{element}>, place array<double>, {', '.join(f'c{k} int' for k in range(CELLS + 1))}")
+    found = durable(found)
     sequence = found.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +270,7 @@ def grid_links(reps: DataFrame, rows: int, least: float, sample: int = SAMPLE, b
     out = "node bigint, name bigint, more bigint, hub bigint, hub_name bigint"
     alone = blocks.select(pack.alias("x")).mapInArrow(inside, out)
     both = pairs.join(blocks.select(F.col("id").alias("a"), pack.alias("x")), "a").join(blocks.select(F.col("id").alias("b"), pack.alias("y")), "b")
-    found = durable(alone.unionByName(both.select("x", "y").mapInArrow(between, out)))
+    found = durable(alone.unionByName(both.select("x", "y").coalesce(PAIRS_TO_BLOCKS * parts).mapInArrow(between, out)))
     edges = found.where("node <> hub").select(F.struct("name", "node").alias("a"), F.struct(F.col("hub_name").alias("name"), F.col("hub").alias("node")).alias("b"))
     return found.groupBy("node").agg(F.sum("more").alias("more")), edges
 
