@@ -127,6 +127,11 @@ def only_model(kind: str, data: bytes, make: Callable[[], T]) -> T:
     return _MODEL[key]
 
 
+def no_model() -> None:
+    """Lets go of any model: the task needs none, and a worker may have one of an earlier stage."""
+    _MODEL.clear()
+
+
 def give_back() -> None:
     """Returns memory that a task's batches have left free to the machine, as a worker outlives its tasks."""
     pa.default_memory_pool().release_unused()

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, give_back, ship
+from lodestone.llm.common import durable, give_back, no_model, ship
 from lodestone.llm.components import connected, joined_by_key, one_of_each
 
 HOT_KEY = 4096
@@ -93,6 +93,7 @@ def fingerprint(text: Column, spark, width: int = 3, seed: int = 42) -> Column:
 
     @F.arrow_udf("bigint")
     def mark(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        no_model()
         for batch in batches:
             found, held, size = [], [], 0
             for x in batch:
@@ -311,6 +312,7 @@ def sketch(text: Column, spark, width: int, bands: int = BANDS, rows: int = ROWS
 
     @F.arrow_udf("struct<mark:string,n:int,fp:array<bigint>,keys:array<bigint>>")
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        no_model()
         factors = multipliers(bands * rows)
         for batch in batches:
             marks, sizes, fps, keys = [], [], [], []
