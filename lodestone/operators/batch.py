@@ -15,7 +15,7 @@ from lodestone.functions.similarity import average_length, factor_array, length_
 from lodestone.reader import IndexReader
 
 #: Leaves up to so many are broadcast (some tens of bytes each).
-BROADCAST_LEAVES = 500_000
+BROADCAST_LEAVES, PUSHED_LEAVES = 500_000, 100
 
 
 def leaves(reader: IndexReader, queries: DataFrame, field: str, doc_count: int) -> DataFrame:
@@ -42,10 +42,13 @@ def search_many(reader: IndexReader, queries: DataFrame, n: int = 10, field: str
     found = leaves(reader, queries, field, stats.doc_count)
     count = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
     phrases = queries.where("kind = 'PHRASE'").limit(1).count() > 0
+    posted = reader.postings().where(F.col("field") == field)
+    if count <= PUSHED_LEAVES:  # few terms reach the scan, which then reads no others
+        posted = posted.where(F.col("term").isin([r["term"] for r in found.select("term").distinct().collect()]))
     if count <= BROADCAST_LEAVES:
         found = F.broadcast(found)
     columns = ["term", "doc", "tf", "norm", *(["positions"] if phrases else [])]
-    hit = reader.postings().where(F.col("field") == field).select(*columns).join(found, "term")
+    hit = posted.select(*columns).join(found, "term")
     factors = factor_array(length_factors(average_length(stats.sum_total_term_freq, stats.doc_count)))
     factor = F.get(factors, F.col("norm").cast("int"))
     one = F.lit(1).cast("float")

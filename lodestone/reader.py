@@ -6,7 +6,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import Corrupt, IndexNotFound
@@ -26,8 +26,6 @@ class Segment:
 
     name: str
     max_doc: int
-    #: First document of each partition the documents were written from.
-    offsets: list[int]
     fields: dict[str, FieldStats] = field(default_factory=dict)
     num_terms: dict[str, int] = field(default_factory=dict)
     del_gen: int = 0
@@ -57,18 +55,6 @@ class Segment:
     def folders(self) -> list[str]:
         return [d for d in (self.docs_dir, self.postings_dir, self.terms_dir, self.deletes_dir) if d]
 
-    def doc_column(self) -> Column:
-        """The document's number in the segment, from the _mid it was written with."""
-        pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-        if len(self.offsets) <= 1:
-            return pos
-        return pos + F.get(F.array(*(F.lit(o).cast("long") for o in self.offsets)), F.shiftrightunsigned("_mid", 33).cast("int"))
-
-    def mid(self, doc: int) -> int:
-        """The _mid of a document's number."""
-        k = bisect_right(self.offsets, doc) - 1
-        return (k << 33) + doc - self.offsets[k]
-
     def to_json(self) -> dict:
         return {**vars(self), "fields": {n: vars(s) for n, s in self.fields.items()}}
 
@@ -130,8 +116,8 @@ class SegmentReader:
         """doc, and the columns of stored fields and doc values, of all documents or of some; deleted documents too."""
         df = self._read(self.segment.docs_dir)
         if own is not None:
-            df = df.where(F.col("_mid").isin([self.segment.mid(d) for d in own]))
-        return df.select(self.segment.doc_column().alias("doc"), *(F.col(f"`{c}`") for c in df.columns if c in self.schema))
+            df = df.where(F.col("_doc").isin(own))
+        return df.select(F.col("_doc").alias("doc"), *(F.col(f"`{c}`") for c in df.columns if c in self.schema))
 
     def stored(self, docs: list[int]) -> DataFrame:
         """The rows of some documents; the list reaches the scan as a filter."""
@@ -170,7 +156,7 @@ class SegmentReader:
         df = self._read(self.segment.docs_dir)
         if spec is None or spec.doc_values is None or field_name not in df.columns or not 0 <= doc < self.max_doc:
             return None
-        row = df.where(F.col("_mid") == self.segment.mid(doc)).select(f"`{field_name}`").first()
+        row = df.where(F.col("_doc") == doc).select(f"`{field_name}`").first()
         return row[0] if row else None
 
     def document(self, doc: int) -> Row | None:
@@ -188,12 +174,14 @@ class SegmentReader:
                 raise Corrupt(f"{name} is {'missing' if name not in there else 'damaged'}")
 
     def check_integrity(self) -> None:
-        """Holds every byte against the checksums that were taken when the files were written."""
+        """Holds every byte against the checksums that were taken when the files were written; very long files page by page."""
         self.check_files()
         got = self.storage.checksums(self.segment.folders())
         for name, (_, crc) in sorted(self.segment.files.items()):
             if crc is not None and got.get(name) != crc:
                 raise Corrupt(f"checksum of {name}")
+        for folder in sorted({name.rpartition("/")[0] for name, (_, crc) in self.segment.files.items() if crc is None}):
+            self.storage.read_pages(folder)
 
 
 class IndexReader:

@@ -12,7 +12,7 @@ from lodestone.errors import IllegalArgument
 
 
 #: Columns of the index's own tables.
-RESERVED = frozenset(("doc", "score", "_mid", "_seg", "_old", "_row"))
+RESERVED = frozenset(("doc", "score", "_doc", "_mid", "_seg", "_old", "_row"))
 
 
 class IndexOptions(IntEnum):

@@ -9,6 +9,8 @@ from __future__ import annotations
 import fcntl
 import json
 import re
+import socket
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -19,6 +21,10 @@ from pyspark.sql import functions as F
 from lodestone.errors import Corrupt, LockObtainFailed, StorageError
 
 
+#: Files up to so long are read as one value.
+WHOLE_BYTES = 1 << 30
+
+
 class Storage:
     """A folder; names are relative to it."""
 
@@ -86,25 +92,39 @@ class Storage:
             raise StorageError(f"{name} has been published by another writer")
 
     def checksums(self, folders: list[str]) -> dict[str, int]:
-        """The CRC-32 of every data file below the folders, worked out by the executors."""
+        """The CRC-32 of every data file below the folders up to ``WHOLE_BYTES`` long, worked out by the executors. Longer ones can't be one value of a row; ``read_pages`` is for those."""
         there = [f for f in folders if self.sizes(f)]
         if not there:
             return {}
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([self.at(f) for f in there])
         start = len(urlparse(self.at("")).path)
         try:
-            rows = files.select("path", F.crc32("content").alias("crc")).collect()
+            rows = files.where(F.col("length") <= WHOLE_BYTES).select("path", F.crc32("content").alias("crc")).collect()
         except Exception as e:
             hit = re.search(r"(?:file|hdfs|[a-z0-9]+):/+\S*?([^/\s]+\.parquet)", str(e))
             raise Corrupt(f"{hit[1] if hit else 'a file'} can't be read") from e
         return {urlparse(r["path"]).path[start:]: r["crc"] for r in rows}
 
+    def read_pages(self, folder: str) -> None:
+        """Reads all pages of a folder's files and holds each against the checksum that was written with it."""
+        try:
+            self.spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(self.at(folder)).write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            raise Corrupt(f"{folder} can't be read") from e
+
     def lock(self) -> Lock:
         return Lock(self)
 
+    def break_lock(self) -> None:
+        """Takes the lock from a writer that is known to be dead, where it is a file."""
+        self.delete("write.lock")
+
 
 class Lock:
-    """Keeps other writers away: a lock of the operating system on local disks, a file that may not exist yet elsewhere."""
+    """Keeps other writers away: a lock of the operating system on local disks, a file that may not exist yet elsewhere.
+
+    Such a file says whose it is. It outlives a driver that dies; ``Storage.break_lock`` is for that.
+    """
 
     def __init__(self, storage: Storage):
         self.storage, self.file = storage, None
@@ -119,9 +139,16 @@ class Lock:
                 raise LockObtainFailed(where) from e
         else:
             try:
-                storage._fs.create(storage._path(where), False).close()
+                out = storage._fs.create(storage._path(where), False)
             except Py4JJavaError as e:
-                raise LockObtainFailed(where) from e
+                try:
+                    owner = storage.read_json("write.lock")
+                except Exception:  # it may be gone by now, or not written yet
+                    owner = "somebody"
+                raise LockObtainFailed(f"{where}, held by {owner}") from e
+            sc = storage.spark.sparkContext
+            out.write(bytearray(json.dumps({"host": socket.gethostname(), "application": sc.applicationId, "since": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}).encode()))
+            out.close()
 
     def release(self) -> None:
         if self.file is not None:
