@@ -459,9 +459,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = durable(docs.select(own.alias("doc_id"), sketch(text, spark, width).alias("s")).select("doc_id", "s.*"))
     nodes = marked.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = durable(nodes)
-    dealt = nodes.select(F.explode("keys").alias("k"), "fp", "n", "mark")
-    dealt = durable(dealt.join(dealt.groupBy("k").count().where("count > 1").select("k"), "k"))
     few = lambda df: F.broadcast(df) if df.count() <= FEW else df
+    # Most keys stand alone: they are told by themselves, before anything wider moves.
+    shared = durable(nodes.select(F.explode("keys").alias("k")).groupBy("k").count().where("count > 1").select("k"))
+    dealt = durable(nodes.select(F.explode("keys").alias("k"), "fp", "n", "mark").join(few(shared), "k"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that have the similarity."""

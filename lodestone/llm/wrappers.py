@@ -447,17 +447,34 @@ class Layout:
             self.all[i].menu = True
 
 
-def layouts_of(wrapper: str) -> list[Layout]:
-    return [Layout(*x) for x in json.loads(wrapper)]
-
-
-def layout_for(tree: Skeleton, layouts: list[Layout]) -> int:
-    """The layout most like a tree, of equals the first."""
-    if len(layouts) == 1:
-        return 0
-    own = set(paths(tree))
-    near = [alike(own, x.paths) for x in layouts]
-    return near.index(max(near))
+class Wrapper:
+    """The layouts of a host. What trees of one shape align with is worked out once."""
+
+    def __init__(self, wrapper: str):
+        self.layouts = [Layout(*x) for x in json.loads(wrapper)]
+        self.known: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+
+    def nearest(self, tree: Skeleton) -> int:
+        """The layout most like a tree, of equals the first."""
+        if len(self.layouts) == 1:
+            return 0
+        own = set(paths(tree))
+        near = [alike(own, x.paths) for x in self.layouts]
+        return near.index(max(near))
+
+    def align(self, tree: Skeleton) -> tuple[Layout, int, list[tuple[int, Skeleton]]]:
+        """The layout of a tree, its number, and the tree's nodes with those of the seed that they pair up with, by their places in it."""
+        nodes = preorder(tree)
+        shape = xxhash.xxh128_intdigest("\0".join(f"{s.label}\1{len(s.kids)}" for s in nodes))
+        if shape not in self.known:
+            k = self.nearest(tree)
+            own = self.layouts[k]
+            seed, here = {id(s): i for i, s in enumerate(own.all)}, {id(s): i for i, s in enumerate(nodes)}
+            if len(self.known) >= 1000:
+                self.known.clear()
+            self.known[shape] = k, [(seed[id(x)], here[id(y)]) for x, y in aligned(own.seed, tree)]
+        k, pairs = self.known[shape]
+        return self.layouts[k], k, [(i, nodes[j]) for i, j in pairs]
 
 
 def told(root: Node) -> tuple[list[str], list[int]]:
@@ -471,19 +488,16 @@ def told(root: Node) -> tuple[list[str], list[int]]:
     return [s.label for s in every], parents
 
 
-def left_out(root: Node, layouts: list[Layout] | None) -> tuple[set[int], set[int]]:
+def left_out(root: Node, wrapper: Wrapper | None) -> tuple[set[int], set[int]]:
     """The page's nodes that its host's wrapper holds to be template, and those that it holds to be menus."""
-    if not layouts:
-        return set(), set()
-    tree, _ = skeleton(root)
-    own = layouts[layout_for(tree, layouts)]
-    if not own.usable:
-        return set(), set()
     template, menus = set(), set()
-    for x, y in aligned(own.seed, tree):
-        if x.template:
+    if wrapper is None or not any(x.usable for x in wrapper.layouts):
+        return template, menus
+    own, _, pairs = wrapper.align(skeleton(root)[0])
+    for i, y in pairs if own.usable else ():
+        if own.all[i].template:
             template.update(map(id, y.nodes))
-        if x.menu:
+        if own.all[i].menu:
             menus.update(map(id, y.nodes))
     return template, menus
 
@@ -527,7 +541,7 @@ def blocks(region: Node, skip: set[int], in_article: bool) -> Iterator[str]:
     yield "".join(held)
 
 
-def main_text(page: str | None, wrapper: list[Layout] | None = None) -> str:
+def main_text(page: str | None, wrapper: Wrapper | None = None) -> str:
     """The main text of a page."""
     if not page:
         return ""
@@ -610,7 +624,7 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
 
     @F.arrow_udf("struct<layout:int,article:bigint,nodes:array<struct<i:int,text:bigint,size:int,linked:int,links:int>>>")
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        held: dict[str, list[Layout]] = {}
+        held: dict[str, Wrapper] = {}
         each = pa.list_(pa.struct([("i", pa.int32()), ("text", pa.int64()), ("size", pa.int32()), ("linked", pa.int32()), ("links", pa.int32())]))
         for html, wrapper in batches:
             got = []
@@ -618,18 +632,16 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
                 if w not in held:
                     if len(held) >= 1000:
                         held.clear()
-                    held[w] = layouts_of(w)
+                    held[w] = Wrapper(w)
                 root = parse(page)
-                tree, _ = skeleton(root)
-                k = layout_for(tree, held[w])
-                at = {id(s): i for i, s in enumerate(held[w][k].all)}
+                _, k, pairs = held[w].align(skeleton(root)[0])
                 nodes, known = [], contents(root)
-                for x, y in aligned(held[w][k].seed, tree):
+                for i, y in pairs:
                     own = [known[id(n)] for n in y.nodes]
                     text, size, linked, links = own[0] if len(own) == 1 else (long_hash(repr([o[0] for o in own])), *(sum(o[j] for o in own) for j in (1, 2, 3)))
                     if size:
-                        nodes.append({"i": at[id(x)], "text": text, "size": size, "linked": linked, "links": links})
-                    if x is held[w][k].seed:  # node -1 stands for the page itself
+                        nodes.append({"i": i, "text": text, "size": size, "linked": linked, "links": links})
+                    if i == 0:  # node -1 stands for the page itself
                         nodes.append({"i": -1, "text": 0, "size": size, "linked": 0, "links": 0})
                 got.append({"layout": k, "article": long_hash(title(root)), "nodes": nodes})
             yield pa.array(got, pa.struct([("layout", pa.int32()), ("article", pa.int64()), ("nodes", each)]))
@@ -662,7 +674,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **op
 
     @F.arrow_udf("string")
     def text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        held: dict[str, list[Layout]] = {}
+        held: dict[str, Wrapper] = {}
         for html, wrapper in batches:
             out = []
             for page, w in zip(html, wrapper, strict=True):
@@ -670,7 +682,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", **op
                 if w is not None and w not in held:
                     if len(held) >= 1000:
                         held.clear()
-                    held[w] = layouts_of(w)
+                    held[w] = Wrapper(w)
                 out.append(main_text(page.as_py(), held.get(w)))
             yield pa.array(out, pa.string())
 

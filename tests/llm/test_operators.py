@@ -508,6 +508,32 @@ def test_mixture(spark, docs, odd):
     assert mixture(df.limit(0)).count() == 0 and mix(odd).columns == odd.columns and mixture(odd).count() == odd.count()
 
 
+def test_mixture_by_hand(spark):
+    """Budgets below and above the corpus, repeated rows, null ids: copies as one window over all blocks of a source gives them."""
+    from pyspark.sql import Window
+
+    from lodestone.llm import mixing
+
+    r, rows = random.Random(17), []
+    for i in range(900):
+        rows.append((i if r.random() < 0.95 else None, " ".join("w" for _ in range(r.randrange(0, 15))), r.choice("aaaaaaabbc")))
+    rows += [(5, "same row again", "b")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget, blocks in ((500, 64), (6000, 256), (40_000, 4096), (0, 16)):
+        got = mixing.mixture(df, budget=budget, blocks=blocks, repeats=100.0)
+        each = got.groupBy("source", "block").agg(F.sum("n_tokens").alias("b"), F.min("copies").alias("copies"), F.max("copies").alias("most"))
+        tokens = got.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("weight").alias("weight"))
+        share = F.col("weight") * budget
+        each = each.join(tokens, "source").withColumns({"whole": F.floor(share / F.col("tokens")), "left": share - F.floor(share / F.col("tokens")) * F.col("tokens")})
+        turn = F.xxhash64(F.lit(0), F.col("whole"), mixing.key_of(F.col("source")), F.col("block"))
+        before = F.coalesce(F.sum("b").over(Window.partitionBy("source").orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        want = F.col("whole") + (before + F.col("b") / 2 < F.col("left")).cast("long")
+        found = each.withColumn("want", want).collect()
+        assert all(x.copies == x.most == x.want for x in found), (budget, blocks)
+        drawn = sum(x.copies * x.b for x in found)
+        assert abs(drawn - budget) <= sum(max(x.b for x in found if x.source == k) for k in "abc")
+
+
 PAGE = '<!DOCTYPE html><html><head><title>{t}</title><style>p{{}}</style><script>var a="</p>"</script></head><body class="home">{nav}{body}</body></html>'
 
 

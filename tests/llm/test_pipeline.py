@@ -45,3 +45,29 @@ def test_stages(spark, tmp_path):
                 assert r.ids == library.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) and r.decoded_sha256 == brute.sha(library.decode(r.ids))
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Nulls, repeated ids with equal and with different texts, very long texts, further columns, and no rows at all."""
+    import os
+
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 1000 and 4000").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "x") for r in good]
+    a, b = good[0].text, good[1].text
+    rows += [(None, None, None, None, None, None), (7000, "", "en", "s", 0, "x"), (7001, " \t", None, None, None, "y"), (None, a, "en", None, 1, "z"), (None, good[2].text + " tail", "en", "s", 1, "z")]
+    rows += [(7100, a, "en", "s", 1, "x"), (7100, b + " " + a, "en", "s", 1, "x"), (7101, b, "en", "s", 1, "x"), (7101, b, "en", "s", 1, "x"), (7102, " ".join(g.text for g in good) * 12, "en", "s", 1, "x")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _tokens string"
+    place = tmp_path / "some"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{place}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(place)).collect()
+    assert {r.doc_id for r in got} >= {r.doc_id for r in good[:2]} and 7000 not in {r.doc_id for r in got}
+    assert all(r.n_tokens == len(r.ids) > 0 for r in got)
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    # Only what the last stages have kept is left of the pipelines' tables.
+    from lodestone.llm.common import shared_folder
+
+    left = [d for d in os.listdir(shared_folder(spark)) if d.startswith(("pipeline-", "quality-"))]
+    assert left and all(os.listdir(f"{shared_folder(spark)}/{d}") == ["sentencepiece"] for d in left if d.startswith("pipeline-")) and not any(d.startswith("quality-") for d in left)
