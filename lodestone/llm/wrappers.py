@@ -19,7 +19,7 @@ template, and count as one.
 
 Rows: null and empty pages give an empty text; pages are taken whole, whatever
 their length and number of nodes; pages without a host, and layouts with fewer
-than ``least`` articles, have no wrapper and go by names alone; repeated rows
+than ``least`` pages or articles, have no wrapper and go by names alone; repeated rows
 give repeated results; an empty table gives an empty result; other columns
 don't matter.
 """
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, ship
@@ -50,6 +50,8 @@ HELD = 1 << 22
 #: Elements opened deeper than this have no children; what they hold follows them, as in browsers.
 DEEPEST = 512
 BROADCAST_BYTES = 32 << 20
+#: Sets of paths that are clustered at once, and hosts up to which a row each is broadcast.
+AT_ONCE, FEW_HOSTS = 2000, 200_000
 
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -447,6 +449,22 @@ class Layout:
             self.all[i].menu = True
 
 
+def clusters(table: pa.Table) -> pa.Table:
+    """The layouts among some different sets of paths of one host, common ones first; each with the number of its pages, its first set, and the rank of its richest page."""
+    found: list[list] = []
+    for r in sorted(table.to_pylist(), key=lambda r: (-r["n"], r["sig"])):
+        own = set(r["paths"])
+        near = [alike(own, x[0]) for x in found]
+        if near and max(near) >= ALIKE:
+            held = found[near.index(max(near))][1]
+            held["n"] += r["n"]
+            held["rank"] = max(held["rank"], r["rank"])
+        else:
+            found.append([own, {k: r[k] for k in ("host", "n", "sig", "paths", "rank")}])
+    kinds = [("host", pa.string()), ("n", pa.int64()), ("sig", pa.int64()), ("paths", pa.list_(pa.int64())), ("rank", pa.list_(pa.int64()))]
+    return pa.Table.from_pylist([x[1] for x in found], schema=pa.schema(kinds))
+
+
 class Wrapper:
     """The layouts of a host. What trees of one shape align with is worked out once."""
 
@@ -455,19 +473,19 @@ class Wrapper:
         self.known: dict[int, tuple[int, list[tuple[int, int]]]] = {}
 
     def nearest(self, tree: Skeleton) -> int:
-        """The layout most like a tree, of equals the first."""
-        if len(self.layouts) == 1:
-            return 0
+        """The layout most like a tree, of equals the first; -1 if none is alike."""
         own = set(paths(tree))
         near = [alike(own, x.paths) for x in self.layouts]
-        return near.index(max(near))
+        return near.index(max(near)) if near and max(near) >= ALIKE else -1
 
-    def align(self, tree: Skeleton) -> tuple[Layout, int, list[tuple[int, Skeleton]]]:
-        """The layout of a tree, its number, and the tree's nodes with those of the seed that they pair up with, by their places in it."""
+    def align(self, tree: Skeleton) -> tuple[Layout | None, int, list[tuple[int, Skeleton]]]:
+        """The layout of a tree (if it has one), its number, and the tree's nodes with those of the seed that they pair up with, by their places in it."""
         nodes = preorder(tree)
         shape = xxhash.xxh128_intdigest("\0".join(f"{s.label}\1{len(s.kids)}" for s in nodes))
         if shape not in self.known:
             k = self.nearest(tree)
+            if k < 0:
+                return None, k, []
             own = self.layouts[k]
             seed, here = {id(s): i for i, s in enumerate(own.all)}, {id(s): i for i, s in enumerate(nodes)}
             if len(self.known) >= 1000:
@@ -494,7 +512,7 @@ def left_out(root: Node, wrapper: Wrapper | None) -> tuple[set[int], set[int]]:
     if wrapper is None or not any(x.usable for x in wrapper.layouts):
         return template, menus
     own, _, pairs = wrapper.align(skeleton(root)[0])
-    for i, y in pairs if own.usable else ():
+    for i, y in pairs if own is not None and own.usable else ():
         if own.all[i].template:
             template.update(map(id, y.nodes))
         if own.all[i].menu:
@@ -584,21 +602,15 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
     kinds = seen.groupBy("host", "sig", "h").agg(F.first("size").alias("size"), F.first("paths").alias("paths"))
     kinds = kinds.groupBy("host", "sig").agg(F.count("*").alias("n"), F.max(F.struct("size", "h")).alias("best"), F.first("paths").alias("paths"))
 
-    def cluster(key: tuple, table: pa.Table) -> pa.Table:
-        """The layouts of a host, by its different sets of paths, common ones first."""
-        found: list[tuple[list[int], set[int], list]] = []
-        for r in sorted(table.to_pylist(), key=lambda r: (-r["n"], r["sig"])):
-            own = set(r["paths"])
-            near = [alike(own, x[1]) for x in found]
-            rank = [len(own), r["best"]["size"], r["n"], r["best"]["h"]]
-            if near and max(near) >= ALIKE:
-                held = found[near.index(max(near))]
-                held[2].append(rank)
-            else:
-                found.append((r["paths"], own, [rank]))
-        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "layout": pa.array(range(len(found)), pa.int32()), "paths": pa.array([x[0] for x in found], pa.list_(pa.int64())), "h": pa.array([max(x[2])[-1] for x in found], pa.int64())})
-
-    seeds = durable(kinds.groupBy("host").applyInArrow(cluster, "host string, layout int, paths array<bigint>, h bigint"))
+    kinds = kinds.select("host", "n", "sig", "paths", F.array(F.size("paths").cast("bigint"), F.col("best.size").cast("bigint"), "n", F.col("best.h")).alias("rank"))
+    # A host with very many sets of paths is looked at in parts first, by hash; what each part finds meets then.
+    many = kinds.groupBy("host").count().select("host", F.ceil(F.col("count") / AT_ONCE).cast("bigint").alias("parts"))
+    dealt = kinds.join(F.broadcast(many) if many.count() <= FEW_HOSTS else many, "host").withColumn("part", F.pmod("sig", F.col("parts"))).drop("parts")
+    fields = "host string, n bigint, sig bigint, paths array<bigint>, rank array<bigint>"
+    found = dealt.groupBy("host", "part").applyInArrow(lambda table: clusters(table), fields)
+    found = found.groupBy("host").applyInArrow(lambda table: clusters(table), fields).where(F.col("n") >= least)
+    number = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "sig")) - 1
+    seeds = durable(found.select("host", number.alias("layout"), "paths", F.col("rank")[3].alias("h")))
 
     @F.arrow_udf("struct<labels:array<string>,parents:array<int>>")
     def tell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -610,6 +610,24 @@ def test_html_counts_all_pages_of_a_host(spark):
     assert {x.page_id: x.text for x in extract(df).collect()} == want
 
 
+def test_layouts_that_are_found_in_parts(spark, monkeypatch):
+    from lodestone.llm import wrappers
+
+    r = random.Random(19)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(6))
+    rows, want = [], {}
+    for i in range(60):
+        own = [word() for _ in range(3)]
+        # Every page has elements of its own, and pages of a third kind are alone with theirs.
+        extra = "".join(f"<u id={word()}>{w}</u>" for w in own)
+        parts = (f"<b id=m>Menu</b><b id=n>News</b><b id=o>Other</b><b id=p>People</b><b id=q>Questions</b><b id=r>Rest</b>{extra}", f"<i id={word()}><s>{extra}</s></i>")[i % 10 == 0]
+        rows.append((i, "http://parts.org/", page_of(word(), parts)))
+        want[i] = "".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(wrappers, "AT_ONCE", 7)
+    assert {x.page_id: x.text for x in wrappers.extract(df).collect()} == want
+
+
 def test_html_of_many_nodes(spark):
     from lodestone.llm.wrappers import extract
 
