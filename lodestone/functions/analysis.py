@@ -32,11 +32,14 @@ _LETTER = rf"[\p{{IsAlphabetic}}&&[^{_SOLO}\p{{IsKatakana}}\p{{M}}\p{{Nd}}]]"
 _MID_LETTER = r"['.\u2018\u2019\u2024\u00b7\u0387\u05f4\u2027\ufe13\ufe52\ufe55\uff07\uff0e\uff1a:]"
 _MID_NUMBER = r"['.,;\u2018\u2019\u2024\u037e\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe52\ufe54\uff07\uff0c\uff0e\uff1b]"
 _EXTEND = r"[\p{M}\p{Cf}]"
+_HEBREW = r"[\p{IsHebrew}&&\p{L}]"
 #: Java syntax; every group is possessive, since java.util.regex would recurse on others.
 UNICODE_WORD = (
     rf"(?=\p{{Pc}}*+[[\p{{IsAlphabetic}}&&[^{_SOLO}]]\p{{Nd}}])"
     rf"(?:[{_WORD}]++(?:(?:(?<={_LETTER}{_EXTEND}{{0,8}}){_MID_LETTER}{_EXTEND}*+(?={_LETTER})"
-    rf"|(?<=\p{{Nd}}{_EXTEND}{{0,8}}){_MID_NUMBER}{_EXTEND}*+(?=\p{{Nd}}))[{_WORD}]++)*+"
+    rf"|(?<=\p{{Nd}}{_EXTEND}{{0,8}}){_MID_NUMBER}{_EXTEND}*+(?=\p{{Nd}})"
+    rf"|(?<={_HEBREW}{_EXTEND}{{0,8}})\"{_EXTEND}*+(?={_HEBREW}))[{_WORD}]++)*+"
+    rf"(?:(?<={_HEBREW}{_EXTEND}{{0,8}})'{_EXTEND}*+)?+"
     rf"|[\p{{IsKatakana}}\u30fc\p{{Pc}}\p{{M}}\p{{Cf}}]++)"
     rf"|[{_SOLO}]{_EXTEND}*+|[\p{{No}}\p{{Nl}}]"
 )
@@ -49,7 +52,7 @@ def _python(pattern: str) -> regex.Pattern:
     """A Java pattern for the regex module."""
     p = regex.sub(r"\\u([0-9a-f]{4})", lambda m: regex.escape(chr(int(m[1], 16)), literal_spaces=True), pattern)
     p = p.replace("&&[^", "--[").replace(r"\p{IsAlphabetic}", r"\p{Alphabetic}")
-    p = regex.sub(r"\\p\{Is(Han|Hiragana|Thai|Lao|Khmer|Myanmar|Katakana)\}", r"\\p{Script=\1}", p)
+    p = regex.sub(r"\\p\{Is(Han|Hiragana|Thai|Lao|Khmer|Myanmar|Katakana|Hebrew)\}", r"\\p{Script=\1}", p)
     return regex.compile(p, regex.V1)
 
 

@@ -27,7 +27,7 @@ empty result; other columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -87,6 +87,11 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def once(udf: Callable) -> Callable:
+    """``udf`` so that the optimiser evaluates it once: filters on its result, as joins imply, would otherwise work it out again."""
+    return udf.asNondeterministic()
+
+
 def fingerprint(text: Column, spark, width: int = 3, seed: int = 42) -> Column:
     """The fingerprint of each text, as a signed long."""
     ship(spark)
@@ -106,7 +111,7 @@ def fingerprint(text: Column, spark, width: int = 3, seed: int = 42) -> Column:
             yield pa.array(np.concatenate(found).view(np.int64), pa.int64())
         give_back()
 
-    return mark(text)
+    return once(mark)(text)
 
 
 class Planes:
@@ -340,7 +345,7 @@ def sketch(text: Column, spark, width: int, bands: int = BANDS, rows: int = ROWS
             yield pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array(sizes, pa.int32()), prints, lists], ["mark", "n", "fp", "keys"])
         give_back()
 
-    return look(text)
+    return once(look)(text)
 
 
 def shingle_sets(text: Column, spark, width: int) -> Column:
@@ -355,7 +360,7 @@ def shingle_sets(text: Column, spark, width: int) -> Column:
             yield pa.StructArray.from_arrays([pa.array(marks, pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["mark", "own"])
         give_back()
 
-    return look(text)
+    return once(look)(text)
 
 
 def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every: bool) -> DataFrame:
