@@ -288,3 +288,35 @@ def test_columns_agree_with_python(spark):
     got = spark.range(6000).select("id", encoded_length(F.col("id")).alias("b")).collect()
     assert all(r.b == encode_length(r.id) for r in got)
     assert spark.createDataFrame([((1 << 31) - 1,)], "n long").select(encoded_length(F.col("n"))).first()[0] == 255
+
+
+def plan_of(df):
+    df._jdf.queryExecution().executedPlan()
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_plans_leave_documents_where_they_are(spark):
+    from lodestone import catalog
+    from lodestone.plans.query import BooleanQuery, I64Range, MatchAll, TermQuery, included
+    from lodestone.searcher import SortField
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as at scale: what is broadcast is broadcast for a proven size
+    try:
+        s = catalog.searcher(spark, "/root/testdata/sf0.001")
+        the = TermQuery("text", "the")
+        page = plan_of(s.page_df(MatchAll(), [SortField("n_chars"), SortField("lang")], 5))
+        assert "Exchange" not in page and "Join" not in page and "TakeOrderedAndProject" in page
+        page = plan_of(s.page_df(BooleanQuery().must(the).filter(I64Range("n_chars", included(5), included(5000))), [SortField("n_chars")], 5))
+        assert page.count("BroadcastExchange") >= 1 and "SortMergeJoin" not in page and "hashpartitioning" not in page
+        few = plan_of(s.fetch(s.search_df(the, 10), "doc_id", at_most=10))
+        assert "_doc IN" in few.replace("_doc#", "_doc IN #") or "In(_doc" in few
+        assert "hashpartitioning" not in few and "SortMergeJoin" not in few
+        many = plan_of(s.fetch(s.search_df(the, 5000), "doc_id", at_most=5000))
+        assert "hashpartitioning" not in many and "SortMergeJoin" not in many and "BroadcastHashJoin" in many
+        # The rare term drives: postings of the common one are cut before they are shuffled.
+        rare = s.reader.terms().where("field = 'text' and doc_freq = 2").orderBy("term").first()["term"]
+        both = plan_of(s.plan(BooleanQuery().must(the).must(TermQuery("text", rare))))
+        assert "LeftSemi" in both and "BroadcastHashJoin" in both and "SortMergeJoin" not in both
+        assert s.count(BooleanQuery().must(the).must(TermQuery("text", rare))) == s.plan(the).join(s.plan(TermQuery("text", rare)), "doc").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
