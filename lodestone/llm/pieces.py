@@ -34,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units that are checked in one text.
 GROUP = 256
 #: Distinct units and their characters that a worker remembers; characters encoded at a time.
-CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 300_000, 8_000_000, 1_000_000
+CACHE_UNITS, CACHE_CHARS, CHUNK_CHARS = 300_000, 8_000_000, 500_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -216,16 +216,18 @@ class Pieces:
     def learn(self, units: list[str]) -> None:
         """Works out and remembers new units, numbered as they come."""
         number, ids, begin, many = self.old
-        found = []
+        found, new = [], []
         for u in units:
-            if u in number:
+            if u in number:  # it was held against the library before
                 k = number[u]
                 found.append(ids[begin[k] : begin[k] + many[k]].tolist())
             else:
+                new.append(len(found))
                 found.append(self.unit_ids(u))
         flat = np.fromiter(chain.from_iterable(found), np.int64)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        self.compare(units, flat, size)
+        own = np.fromiter(chain.from_iterable(found[k] for k in new), np.int64)
+        self.compare([units[k] for k in new], own, size[new])
         start = self.flat.size + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])

@@ -44,6 +44,8 @@ HOT_KEY = 4096
 BANDS, ROWS = 14, 4
 #: Words of a wide fingerprint. Those of texts of similarity 0.8 differ in some 39 bits of 256, and in over RADIUS hardly ever.
 LANES, RADIUS = 4, 64
+#: Bytes of shingles that meet in one place.
+SET_BYTES = 64 << 20
 CHUNK = 200_000
 #: Ids up to so many are broadcast (8 bytes each, some MB in all).
 FEW = 500_000
@@ -363,43 +365,60 @@ def shingle_sets(text: Column, spark, width: int) -> Column:
     return once(look)(text)
 
 
-def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every: bool) -> DataFrame:
-    """a, b, k, part: marks of one key and of two labels whose fingerprints are within ``radius`` and whose sizes allow the similarity, and where they have met.
+def shared_keys(dealt: DataFrame, hot: int) -> DataFrame:
+    """k, parts: the keys that several marks have, of keys with the very same marks only the least; and in how many parts they are looked at.
+
+    ``dealt``: k, n, mark. A key of over ``hot`` marks, or of over SET_BYTES of shingles, is cut into parts of about half of that.
+    """
+    sets = [F.bit_xor(F.xxhash64(F.lit(seed), "mark")).alias(f"x{seed}") for seed in (1, 2)]
+    keys = dealt.groupBy("k").agg(F.count("*").alias("c"), F.sum("n").alias("size"), *sets).where("c > 1")
+    parts = F.greatest(F.ceil(F.col("c") * 2 / hot), F.ceil(F.col("size") * 16 / SET_BYTES)).cast("bigint")
+    return durable(keys.groupBy("c", "size", "x1", "x2").agg(F.min("k").alias("k")).select("k", parts.alias("parts")))
 
-    ``dealt``: k, fp, n, mark, label. With ``every`` all such pairs; without, no more than a forest a key.
 
-    A key of over ``hot`` marks is cut by hash into parts of about half as many, so that no task holds all of them.
-    For every pair each two parts meet as a group of their own.
+def alike(dealt: DataFrame, sets: DataFrame, radius: int, similarity: float, across: bool) -> DataFrame:
+    """a, b: edges that join the marks of one key which have the similarity; no more than a forest a key or part.
+
+    ``dealt``: k, parts, fp, n, mark, label; marks of one label are joined already. ``sets``: mark, own (its shingle hashes).
+    Pairs within ``radius`` whose sizes allow it are held against the similarity where they meet, unless they are joined by then.
+    Parts of a key are looked at by themselves, or with ``across`` every two of them together.
     """
-    ship(dealt.sparkSession)
-    sizes = durable(dealt.groupBy("k").agg(F.count("*").alias("c"), F.count_distinct("label").alias("labels")).where("labels > 1").select("k", F.ceil(F.col("c") * 2 / hot).cast("bigint").alias("parts")))
-    held = dealt.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "k")
     part = F.when(F.col("parts") > 2, F.pmod(F.xxhash64("mark", "k"), F.col("parts"))).otherwise(F.lit(0)).cast("bigint")
-    both = held.withColumn("part", part)
-    if every:
-        large = both.where("parts > 2").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).where("part <> other")
-        both = both.where("parts <= 2").unionByName(large.withColumn("part", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("other"))
+    held = dealt.withColumn("part", part)
+    if across:
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+        held = held.withColumn("other", every).where("part <> other").withColumn("part", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
+
+    def joined(t: pa.Table) -> pa.RecordBatch:
+        k, part, n = (t[c].to_numpy() for c in ("k", "part", "n"))
+        marks, own = t["mark"].combine_chunks(), t["own"].combine_chunks()
+        fp = t["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+        flat, ends = own.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(own.value_lengths().to_numpy())]
+        starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1])])
+        forest = Forest(len(k))
+        label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        group = np.repeat(np.arange(starts.size), np.diff(np.r_[starts, len(k)]))
+        first, where = np.unique(np.stack([group, label], axis=1), axis=0, return_index=True, return_inverse=True)[1:]
+        forest.join(first[where.ravel()], np.arange(len(k)))
+
+        def same(i: int, j: int) -> bool:
+            x, y = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]
+            both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), y.size - 1)] == x))
+            return both / (x.size + y.size - both) >= similarity
+
+        found = []
+        for i, j in neighbours(starts, fp, 64 * LANES, radius):
+            top = forest.roots()
+            fit = (top[i] != top[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            hit = [p for p in zip(i[fit].tolist(), j[fit].tolist(), strict=True) if same(*p)]
+            if hit:
+                found += hit
+                forest.join(*np.array(hit).T)
+        i, j = (pa.array([p[c] for p in found], pa.int64()) for c in (0, 1))
+        return pa.record_batch([marks.take(i), marks.take(j)], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            k, part, n = (t[c].to_numpy() for c in ("k", "part", "n"))
-            fp = t["fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
-            marks, labels = t["mark"].combine_chunks(), t["label"].combine_chunks()
-            kind = labels.dictionary_encode().indices.to_numpy()
-            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (part[1:] != part[:-1])])
-            forest, found = Forest(len(k)), []
-            for i, j in neighbours(starts, fp, 64 * LANES, radius):
-                fit = (kind[i] != kind[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-                i, j = i[fit], j[fit]
-                if not every:
-                    top = forest.roots()
-                    new = top[i] != top[j]
-                    i, j = i[new], j[new]
-                    forest.join(i, j)
-                found.append((i, j))
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            return pa.record_batch([marks.take(pa.array(i)), marks.take(pa.array(j)), pa.array(k[i]), pa.array(part[i])], names=["a", "b", "k", "part"])
-
+        no_model()
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -407,82 +426,50 @@ def near_pairs(dealt: DataFrame, radius: int, similarity: float, hot: int, every
             if not t.num_rows:
                 continue
             k, part = t["k"].to_numpy(), t["part"].to_numpy()
-            last = (k == k[-1]) & (part == part[-1])  # the last group may go on
-            cut = int(np.argmax(last))
+            cut = int(np.argmax((k == k[-1]) & (part == part[-1])))  # the last group may go on
             rest = t.slice(cut)
             if cut:
-                yield pairs(t.slice(0, cut))
+                yield joined(t.slice(0, cut))
         if rest is not None and rest.num_rows:
-            yield pairs(rest)
+            yield joined(rest)
         give_back()
 
-    both = both.select("k", "part", "fp", "n", "mark", "label").repartition("k", "part").sortWithinPartitions("k", "part", "mark")
-    found = both.mapInArrow(compare, "a string, b string, k bigint, part bigint")
-    return durable(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("k", "part")).alias("x")).select("a", "b", "x.*"))
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the pairs (a, b, k, part) whose sets of shingles (mark, own) have the similarity.
-
-    Pairs are looked at where they have met, so that a set moves once for each such place rather than for each pair.
-    """
-    place = ["k", "part"]
-    used = pairs.select(*place, F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.withColumnRenamed("mark", "a"), "a")
-    none = F.lit(None)
-    rows = used.select(*place, "a", none.cast("string").alias("b"), "own").unionByName(pairs.select(*place, "a", "b", none.cast("array<bigint>").alias("own")))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, {}
-        for batch in batches:
-            a, b = [], []
-            cols = zip(*(batch.column(c).to_pylist() for c in ("k", "part", "a", "b")), batch.column("own"), strict=True)
-            for k, part, x, y, own in cols:
-                if (k, part) != here:
-                    here, held = (k, part), {}
-                if y is None:
-                    held[x] = own.values.to_numpy()
-                    continue
-                shared = np.intersect1d(held[x], held[y], assume_unique=True).size
-                if shared / (held[x].size + held[y].size - shared) >= similarity:
-                    a.append(x)
-                    b.append(y)
-            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-        give_back()
-
-    return rows.repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("b")).mapInArrow(check, "a string, b string")
+    rows = held.join(sets, "mark").select("k", "part", "fp", "n", "mark", "label", "own")
+    return durable(rows.repartition("k", "part").sortWithinPartitions("k", "part", "mark").mapInArrow(compare, "a string, b string"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = RADIUS, hot: int = HOT_KEY) -> DataFrame:
     """doc_id, mark, comp: one row for each row of ``docs``; texts whose sets of shingles have that Jaccard similarity or more are linked.
 
     Candidates share a key of least hashes and have fingerprints within ``radius``; each is then
-    held against the similarity exactly. First a forest of candidates is looked at, which joins
-    nearly all that is alike; then all candidates that are in different groups still.
+    held against the similarity exactly, unless both are in one group by then.
     """
     spark = docs.sparkSession
     own, text = F.col(id_col).cast("long"), F.col(text_col)
+    few = lambda df: F.broadcast(df) if df.count() <= FEW else df
     marked = durable(docs.select(own.alias("doc_id"), sketch(text, spark, width).alias("s")).select("doc_id", "s.*"))
     nodes = marked.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = durable(nodes)
-    few = lambda df: F.broadcast(df) if df.count() <= FEW else df
     # Most keys stand alone: they are told by themselves, before anything wider moves.
-    shared = durable(nodes.select(F.explode("keys").alias("k")).groupBy("k").count().where("count > 1").select("k"))
-    dealt = durable(nodes.select(F.explode("keys").alias("k"), "fp", "n", "mark").join(few(shared), "k"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that have the similarity."""
-        wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct().join(nodes.select("mark", "id"), "mark"))
-        rows = docs.select(own.alias("id"), text.alias("t")).join(few(wanted.select("id").distinct()), "id", "left_semi")
-        sets = rows.select("id", shingle_sets(F.col("t"), spark, width).alias("s")).select("id", "s.mark", "s.own")
-        sets = sets.join(few(wanted), ["id", "mark"], "left_semi").dropDuplicates(["mark"]).select("mark", "own")
-        return durable(alike(pairs, sets, similarity))
-
-    first = near_pairs(dealt.withColumn("label", F.col("mark")), radius, similarity, hot, every=False)
-    edges = verified(first)
-    joined = connected(edges).select(F.col("node").alias("mark"), F.col("component").alias("label"))
-    labels = dealt.join(few(joined), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
-    rest = near_pairs(labels, radius, similarity, hot, every=True).join(few(first.select("a", "b")), ["a", "b"], "left_anti")
-    groups = connected(edges.unionByName(verified(durable(rest))))
+    keys = shared_keys(nodes.select(F.explode("keys").alias("k"), "n", "mark"), hot)
+    dealt = durable(nodes.select(F.explode("keys").alias("k"), "fp", "n", "mark", "id").join(few(keys), "k"))
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        wanted = durable(rows.select("mark", "id").distinct())
+        texts = docs.select(own.alias("id"), text.alias("t")).join(few(wanted.select("id").distinct()), "id", "left_semi")
+        sets = texts.select("id", shingle_sets(F.col("t"), spark, width).alias("s")).select("id", "s.mark", "s.own")
+        return sets.join(few(wanted), ["id", "mark"], "left_semi").dropDuplicates(["mark"]).select("mark", "own")
+
+    edges = alike(dealt.withColumn("label", F.col("mark")), sets_of(dealt), radius, similarity, across=False)
+    groups = connected(edges)
+    # Of keys in more than two parts every two parts meet, where their marks are in different groups still.
+    large = dealt.where("parts > 2")
+    if large.limit(1).count():
+        labels = groups.select(F.col("node").alias("mark"), F.col("component").alias("label"))
+        large = large.join(few(labels), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
+        apart = large.groupBy("k").agg(F.count_distinct("label").alias("labels")).where("labels > 1").select("k")
+        large = durable(large.join(few(apart), "k", "left_semi"))
+        groups = connected(edges.unionByName(alike(large, sets_of(large), radius, similarity, across=True)))
     named = groups.withColumnRenamed("node", "mark")
     return marked.select("doc_id", "mark").join(few(named), "mark", "left").select("doc_id", "mark", F.coalesce("component", "mark").alias("comp"))
 

@@ -599,10 +599,9 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
             yield pa.array(got, pa.struct([("sig", pa.int64()), ("size", pa.int32()), ("paths", pa.list_(pa.int64()))]))
 
     seen = usable.select("host", "h", look("html").alias("p")).select("host", "h", "p.*")
-    kinds = seen.groupBy("host", "sig", "h").agg(F.first("size").alias("size"), F.first("paths").alias("paths"))
-    kinds = kinds.groupBy("host", "sig").agg(F.count("*").alias("n"), F.max(F.struct("size", "h")).alias("best"), F.first("paths").alias("paths"))
+    kinds = seen.groupBy("host", "sig").agg(F.count("*").alias("n"), F.max(F.struct("size", "h")).alias("best"), F.first("paths").alias("paths"))
 
-    kinds = kinds.select("host", "n", "sig", "paths", F.array(F.size("paths").cast("bigint"), F.col("best.size").cast("bigint"), "n", F.col("best.h")).alias("rank"))
+    kinds = durable(kinds.select("host", "n", "sig", "paths", F.array(F.size("paths").cast("bigint"), F.col("best.size").cast("bigint"), "n", F.col("best.h")).alias("rank")))
     # A host with very many sets of paths is looked at in parts first, by hash; what each part finds meets then.
     many = kinds.groupBy("host").count().select("host", F.ceil(F.col("count") / AT_ONCE).cast("bigint").alias("parts"))
     dealt = kinds.join(F.broadcast(many) if many.count() <= FEW_HOSTS else many, "host").withColumn("part", F.pmod("sig", F.col("parts"))).drop("parts")
