@@ -636,26 +636,32 @@ def host_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) ->
     @F.arrow_udf("struct<layout:int,article:bigint,nodes:array<struct<i:int,text:bigint,size:int,linked:int,links:int>>>")
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held: dict[str, Wrapper] = {}
-        each = pa.list_(pa.struct([("i", pa.int32()), ("text", pa.int64()), ("size", pa.int32()), ("linked", pa.int32()), ("links", pa.int32())]))
+        names = {"i": pa.int32(), "text": pa.int64(), "size": pa.int32(), "linked": pa.int32(), "links": pa.int32()}
         for html, wrapper in batches:
-            got = []
-            for page, w in zip(html.to_pylist(), wrapper.to_pylist(), strict=True):
+            layouts, articles, ends, rows = [], [], [0], []
+            for page, w in zip(html, wrapper, strict=True):
+                w = w.as_py()
                 if w not in held:
                     if len(held) >= 1000:
                         held.clear()
                     held[w] = Wrapper(w)
-                root = parse(page)
+                root = parse(page.as_py())
                 _, k, pairs = held[w].align(skeleton(root)[0])
-                nodes, known = [], contents(root)
+                known = contents(root) if pairs else {}
                 for i, y in pairs:
                     own = [known[id(n)] for n in y.nodes]
                     text, size, linked, links = own[0] if len(own) == 1 else (long_hash(repr([o[0] for o in own])), *(sum(o[j] for o in own) for j in (1, 2, 3)))
                     if size:
-                        nodes.append({"i": i, "text": text, "size": size, "linked": linked, "links": links})
+                        rows.append((i, text, size, linked, links))
                     if i == 0:  # node -1 stands for the page itself
-                        nodes.append({"i": -1, "text": 0, "size": size, "linked": 0, "links": 0})
-                got.append({"layout": k, "article": long_hash(title(root)), "nodes": nodes})
-            yield pa.array(got, pa.struct([("layout", pa.int32()), ("article", pa.int64()), ("nodes", each)]))
+                        rows.append((-1, 0, size, 0, 0))
+                layouts.append(k)
+                articles.append(long_hash(title(root)))
+                ends.append(len(rows))
+            flat = zip(*rows, strict=True) if rows else [()] * len(names)
+            nodes = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, names.values(), strict=True)], list(names))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
+            yield pa.StructArray.from_arrays([pa.array(layouts, pa.int32()), pa.array(articles, pa.int64()), lists], ["layout", "article", "nodes"])
 
     small = plain_seeds.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0] <= BROADCAST_BYTES
     counted = usable.join(F.broadcast(plain_seeds) if small else plain_seeds, "host").select("host", count("html", "wrapper").alias("c")).select("host", "c.*")
