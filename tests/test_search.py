@@ -295,8 +295,8 @@ def plan_of(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-def test_plans_leave_documents_where_they_are(spark):
-    from lodestone import catalog
+def test_plans_leave_documents_where_they_are(spark, monkeypatch):
+    from lodestone import catalog, searcher
     from lodestone.plans.query import BooleanQuery, I64Range, MatchAll, TermQuery, included
     from lodestone.searcher import SortField
 
@@ -308,7 +308,12 @@ def test_plans_leave_documents_where_they_are(spark):
         assert "Exchange" not in page and "Join" not in page and "TakeOrderedAndProject" in page
         page = plan_of(s.page_df(BooleanQuery().must(the).filter(I64Range("n_chars", included(5), included(5000))), [SortField("n_chars")], 5))
         assert page.count("BroadcastExchange") >= 1 and "SortMergeJoin" not in page and "hashpartitioning" not in page
-        few = plan_of(s.fetch(s.search_df(the, 10), "doc_id", at_most=10))
+        small = s.fetch(s.search_df(the, 10), "doc_id", at_most=10)
+        assert "hashpartitioning" not in plan_of(small) and "SortMergeJoin" not in plan_of(small)
+        monkeypatch.setattr(searcher, "MANY_DOCS", 0)  # as in a large index
+        few = s.fetch(s.search_df(the, 10), "doc_id", at_most=10)
+        assert sorted(few.collect()) == sorted(small.collect()) and few.columns == small.columns
+        few = plan_of(few)
         assert "_doc IN" in few.replace("_doc#", "_doc IN #") or "In(_doc" in few
         assert "hashpartitioning" not in few and "SortMergeJoin" not in few
         many = plan_of(s.fetch(s.search_df(the, 5000), "doc_id", at_most=5000))
