@@ -1,73 +1,128 @@
 """Documents to postings and statistics.
 
-Documents are dealt by number once; then all tokens of one are in one task, and
-are exploded and grouped there without another exchange. The postings are laid
-out by term in a second one, with the document in the range key, so that the
-postings of a very common term spread over many partitions.
+The JVM cuts texts into tokens, and an Arrow function groups those of each
+document where the document is, by numbers in place of terms: nothing moves.
+The postings are laid out by term in one exchange, with the document in the
+range key, so that the postings of a very common term spread over many
+partitions; they come to it in sorted runs, which are soon merged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.analysis import Analyzer, field_tokens
-from lodestone.functions.similarity import encoded_length
+from lodestone.functions.analysis import Analyzer, field_tokens, small_batches
+from lodestone.functions.similarity import EXACT
 from lodestone.schema import IndexOptions, IndexSchema
 
 POSTINGS = "field string, term string, doc bigint, tf int, norm smallint, lead boolean, positions array<int>"
 
 
-def field_postings(docs: DataFrame, name: str, schema: IndexSchema, analyzer: Analyzer) -> DataFrame:
-    """The postings of one field of ``docs`` (doc and the field's column).
+#: Tokens that are grouped at once, some 60 bytes each; a document is never cut.
+GROUPED = 1 << 21
 
-    ``docs`` should be dealt by doc, as ``postings`` does, or grouping shuffles tokens.
-    """
+
+def field_values(name: str, docs: DataFrame, schema: IndexSchema, analyzer: Analyzer) -> Column:
+    """The tokens of a field's column: plain strings, whose places are their positions, or (term, pos)."""
     spec, kind = schema.get(name), docs.schema[name].dataType
     analyzer, multi = analyzer.for_field(name), isinstance(kind, T.ArrayType)
     value = F.col(f"`{name}`")
-    if spec.tokenized and not multi and not analyzer.python and not analyzer.stop_words:
-        # The index of a word is its position, so plain strings are exploded.
-        words = docs.select("doc", analyzer.pieces(value).alias("t"))
-        # The outer form, as the other would infer a filter on the array and work it out twice.
-        tokens = words.select("doc", F.size("t").alias("n"), F.lit(0).alias("first"), F.lit(None).cast("string").alias("head"), F.posexplode_outer("t").alias("pos", "term"))
-    else:
-        if spec.tokenized:
-            each = field_tokens(analyzer, value, multi)
-        else:  # whole values are terms, empty ones too
-            values = F.filter(value, lambda v: v.isNotNull()) if multi else F.when(value.isNotNull(), F.array(value))
-            each = F.transform(values, lambda v, i: F.struct(v.alias("term"), i.alias("pos")))
-        t = docs.select("doc", F.coalesce(each, F.array().cast("array<struct<term:string,pos:int>>")).alias("t"))
-        t = t.select("doc", F.size("t").alias("n"), F.get("t", F.lit(0)).alias("h"), F.explode_outer("t").alias("t"))
-        tokens = t.select("doc", "n", F.col("h.pos").alias("first"), F.col("h.term").alias("head"), F.col("t.pos").alias("pos"), F.col("t.term").alias("term"))
-    options = spec.index_options
-    aggs = [F.count("*").alias("tf"), F.min("pos").alias("least")]
-    if options >= IndexOptions.POSITIONS:
-        aggs.append(F.sort_array(F.collect_list("pos")).alias("positions"))
-    terms = tokens.where("term is not null").groupBy("doc", "n", "first", "head", "term").agg(*aggs)
-    return terms.select(
-        F.lit(name).alias("field"),
-        "term",
-        F.col("doc").cast("long").alias("doc"),
-        (F.col("tf") if options >= IndexOptions.FREQS else F.lit(1)).cast("int").alias("tf"),
-        (encoded_length(F.col("n")) if spec.has_norms else F.lit(1)).cast("smallint").alias("norm"),
-        ((F.col("least") == F.col("first")) & F.coalesce(F.col("term") == F.col("head"), F.lit(True))).alias("lead"),
-        (F.col("positions") if options >= IndexOptions.POSITIONS else F.lit(None)).cast("array<int>").alias("positions"),
-    )
+    if not spec.tokenized:  # whole values are terms, empty ones too
+        return F.filter(value, lambda v: v.isNotNull()) if multi else F.when(value.isNotNull(), F.array(value))
+    if not multi and not analyzer.python and not analyzer.stop_words:
+        return analyzer.pieces(value)
+    return field_tokens(analyzer, value, multi)
+
+
+def grouping(fields: list[tuple[str, bool, bool, bool]]) -> Callable:
+    """A function from batches (doc, t0, t1 ... by field) to postings, sorted by term and document in each batch.
+
+    ``fields``: name, and whether frequencies, positions and norms are kept. All it needs travels with it, so that workers import no code of ours.
+    """
+    most, exact = GROUPED, EXACT
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def codes(n):
+            v = n - exact
+            shift = np.maximum(np.frexp(v.astype(float))[1].astype(np.int64) - 4, 0)
+            return np.where(v < 8, n, exact + (v >> shift & 7 | shift + 1 << 3)).astype(np.int16)
+
+        def one(docs, lists, n, name, freqs, places, norms):
+            tokens, of = lists.flatten(), np.repeat(np.arange(len(n)), n)
+            if pa.types.is_struct(tokens.type):
+                words, at = tokens.field(0), tokens.field(1).to_numpy(zero_copy_only=False)
+            else:
+                words, at = tokens, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            if words.null_count:
+                there = words.is_valid().to_numpy(zero_copy_only=False)
+                words, at, of = words.drop_null(), at[there], of[there]
+            if not len(words):
+                return None
+            # Terms are numbered in their order, so that one sort of numbers groups the tokens.
+            told = words.dictionary_encode()
+            order = pc.sort_indices(told.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            group, bits = rank[told.indices.to_numpy()] * len(n) + of, len(of).bit_length()
+            if (len(order) * len(n)).bit_length() + bits < 64:
+                group = group << bits | np.arange(len(of))
+                group.sort()
+                token = group & (1 << bits) - 1
+                group >>= bits
+            else:
+                token = np.argsort(group, kind="stable")
+                group = group[token]
+            start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            term, row = np.divmod(group[start], len(n))
+            ends = np.append(start, len(token)).astype(np.int32)
+            first = np.concatenate(([True], of[1:] != of[:-1]))
+            k = len(start)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.repeat(pa.scalar(name, pa.string()), k),
+                    told.dictionary.take(pa.array(order[term])).cast(pa.string()),
+                    docs.take(pa.array(row)),
+                    pa.array(np.diff(ends) if freqs else np.ones(k, np.int32)),
+                    pa.array(codes(n)[row] if norms else np.ones(k, np.int16)),
+                    pa.array(first[token[start]]),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(at[token].astype(np.int32))) if places else pa.nulls(k, pa.list_(pa.int32())),
+                ],
+                names=["field", "term", "doc", "tf", "norm", "lead", "positions"],
+            )
+
+        for batch in batches:
+            docs = batch.column(0)
+            for k, field in enumerate(fields):
+                lists = batch.column(k + 1)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends, a = np.cumsum(n), 0
+                while a < len(n):
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+                    out = one(docs.slice(a, b - a), lists.slice(a, b - a), n[a:b], *field)
+                    if out is not None:
+                        yield out
+                    a = b
+
+    return run
 
 
 def postings(docs: DataFrame, schema: IndexSchema, analyzer: Analyzer) -> DataFrame:
-    """The postings of all indexed fields. ``lead`` marks one posting of every document in a field."""
-    spark = docs.sparkSession
-    # A fixed number: small shuffles would be made one task's, which is too few for so much work.
-    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
-    out = None
-    for name, spec in schema:
-        if spec.indexed and name in docs.columns:
-            one = field_postings(docs, name, schema, analyzer)
-            out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], POSTINGS) if out is None else out
+    """The postings of all indexed fields of ``docs`` (doc, of another document in each row, and the fields' columns). ``lead`` marks one posting of every document in a field."""
+    own = [(name, spec) for name, spec in schema if spec.indexed and name in docs.columns]
+    if not own:
+        return docs.sparkSession.createDataFrame([], POSTINGS)
+    small_batches()
+    fields = [(name, spec.index_options >= IndexOptions.FREQS, spec.index_options >= IndexOptions.POSITIONS, bool(spec.has_norms)) for name, spec in own]
+    values = [field_values(name, docs, schema, analyzer).alias(f"t{k}") for k, (name, _) in enumerate(own)]
+    return docs.select(F.col("doc").cast("long").alias("doc"), *values).mapInArrow(grouping(fields), POSTINGS)
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
