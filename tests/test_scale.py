@@ -84,3 +84,67 @@ def test_patterns_tell_ascii_first(spark):
     for n in (1, 3, 255):
         cut = df.select("t", WhitespaceAnalyzer(max_token_length=n).pieces(t).alias("p"), StandardAnalyzer(max_token_length=n).pieces(t).alias("q")).collect()
         assert all(x.p == [w for w, _ in WhitespaceAnalyzer(max_token_length=n).tokenize(x.t)] and x.q == [w for w, _ in StandardAnalyzer(max_token_length=n).tokenize(x.t)] for x in cut)
+
+
+def index_of(spark, path, parts, gone=(), merge=True):
+    from lodestone.functions.analysis import PatternAnalyzer
+    from lodestone.writer import IndexWriter, MergePolicy, WriterConfig
+
+    schema = IndexSchema({"key": FieldSpec.string(stored=True), "body": FieldSpec.text()})
+    config = WriterConfig(analyzer=PatternAnalyzer(r"\S++"), merge_policy=MergePolicy(merge_factor=1000), checksums=False)
+    with IndexWriter.open(spark, path, config, schema) as w:
+        for rows in parts:
+            w.add_documents(spark.createDataFrame(rows, "key string, body string").coalesce(1))
+        if gone:
+            w.delete_by(spark.createDataFrame([("key", g) for g in gone] + [("key", None)], "field string, term string"))
+        if merge:
+            w.force_merge(1)
+    return w
+
+
+def test_merge_by_counting(spark, tmp_path, monkeypatch):
+    """A merge numbers postings anew without moving them, and gives the index of the live documents."""
+    from lodestone import writer
+    from lodestone.reader import IndexReader
+
+    r = random.Random(4)
+    parts = [[(f"{k}-{i}", " ".join(r.choice("abcdef") for _ in range(r.randrange(9)))) for i in range(n)] for k, n in enumerate((200, 70, 64))]
+    gone = {f"{k}-{i}" for k, i in [(0, 0), (0, 1), (0, 62), (0, 63), (0, 64), (0, 127), (0, 199), *((1, i) for i in range(60))]}
+    live = [x for p in parts for x in p if x[0] not in gone]
+
+    def seen(path):
+        r = IndexReader.open(spark, path)
+        return sorted(map(tuple, r.postings().select("field", "term", "doc", "tf", "norm", "lead", "positions").collect()), key=repr), sorted(r.docs().select("doc", "key").collect())
+
+    index_of(spark, str(tmp_path / "live"), [live], merge=False)
+    index_of(spark, str(tmp_path / "merged"), parts, gone)
+    assert seen(str(tmp_path / "merged")) == seen(str(tmp_path / "live"))
+    # Segments beyond the bound are joined, to the same end.
+    monkeypatch.setattr(writer, "COUNTED_WORDS", 1)
+    index_of(spark, str(tmp_path / "joined"), parts, gone)
+    assert seen(str(tmp_path / "joined")) == seen(str(tmp_path / "live"))
+    monkeypatch.undo()
+    w = index_of(spark, str(tmp_path / "open"), parts, gone, merge=False)
+    moved = w._moved(IndexReader.open(spark, str(tmp_path / "open")).segments[0], 0)
+    shown = moved._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in shown and "hashpartitioning" not in shown
+
+
+def test_few_deletes_reach_the_scan(spark, tmp_path, monkeypatch):
+    """Up to a thousand terms of a DataFrame are a filter of the postings' scan."""
+    from pyspark.sql import DataFrame
+
+    from lodestone.reader import IndexReader
+    from lodestone.writer import IndexWriter
+
+    plans, write = [], IndexWriter._write
+
+    def kept(self, df: DataFrame, folder: str):
+        if folder.startswith("deletes/"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, df, folder)
+
+    monkeypatch.setattr(IndexWriter, "_write", kept)
+    index_of(spark, str(tmp_path / "i"), [[("x", "a"), ("y", "b"), (None, "c")]], ["x"], merge=False)
+    assert IndexReader.open(spark, str(tmp_path / "i")).num_docs == 2
+    assert plans and all("In(term, [x])" in p or "EqualTo(term,x)" in p for p in plans), plans
