@@ -152,6 +152,8 @@ def tokenized(analyzer: Analyzer) -> Run:
 
 def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), "text")
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few files would keep few cores busy
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     p = postings(docs, IndexSchema({"text": FieldSpec.text()}), ANALYZER)
     return p.select("term", F.col("doc").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.col("norm").cast("long").alias("norm"), F.array_join("positions", " ").alias("positions"))
 
