@@ -8,7 +8,7 @@ many hits sends no more than a few rows a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.similarity import average_length, factor_array, length_factors
@@ -47,36 +47,29 @@ def search_many(reader: IndexReader, queries: DataFrame, n: int = 10, field: str
         posted = posted.where(F.col("term").isin([r["term"] for r in found.select("term").distinct().collect()]))
     if count <= BROADCAST_LEAVES:
         found = F.broadcast(found)
-    columns = ["term", "doc", "tf", "norm", *(["positions"] if phrases else [])]
-    hit = posted.select(*columns).join(found, "term")
     factors = factor_array(length_factors(average_length(stats.sum_total_term_freq, stats.doc_count)))
     factor = F.get(factors, F.col("norm").cast("int"))
     one = F.lit(1).cast("float")
     # A term that a query repeats weighs so many times its rarity.
     weight = F.when(F.col("n") == 1, F.col("idf")).otherwise((F.col("idf").cast("double") * F.col("n")).cast("float"))
     score = weight - (weight / (one + F.col("tf").cast("float") * factor)).cast("float")
-    aggs = [F.first("kind").alias("kind"), F.first("size").alias("size"), F.sum("n").alias("slots"), F.sum(score.cast("double")).cast("float").alias("score")]
+    # Keys and sums of fixed width, which are hashed in place; what a query is goes with its number.
+    plain = posted.select("term", "doc", "tf", "norm").join(found.where("kind <> 'PHRASE'") if phrases else found, "term")
+    plain = plain.groupBy("qid", "kind", "size", "doc").agg(F.sum("n").alias("slots"), F.sum(score.cast("double")).cast("float").alias("score"))
+    rows = plain.where((F.col("kind") == "OR") | (F.col("slots") == F.col("size"))).select("qid", "doc", "score")
     if phrases:
-        starts = F.flatten(F.transform("slots", lambda o: F.transform("positions", lambda p: p - o)))
-        is_phrase = F.col("kind") == "PHRASE"
-        aggs += [
-            F.flatten(F.collect_list(F.when(is_phrase, starts))).alias("starts"),
-            F.sum(F.col("idf").cast("double") * F.col("n")).cast("float").alias("idfs"),
-            F.first(factor).alias("factor"),
-        ]
-    rows = hit.groupBy("qid", "doc").agg(*aggs).where((F.col("kind") == "OR") | (F.col("slots") == F.col("size")))
-    if phrases:
-        # A start that every slot of the phrase shares comes once for each of them: runs of that length, in one pass.
-        none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("found"))
-
-        def step(acc: Column, x: Column) -> Column:
-            run = F.when(acc.at == x, acc.run + 1).otherwise(1)
-            return F.struct(x.alias("at"), run.alias("run"), (acc.found + (run == F.col("size")).cast("int")).alias("found"))
-
-        freq = F.aggregate(F.array_sort("starts"), none, step, lambda acc: acc.found)
-        rows = rows.withColumn("freq", F.when(F.col("kind") == "PHRASE", freq))
+        # Only phrases read positions; they move as the starts that each slot allows.
+        starts = F.transform("slots", lambda o: F.when(o == 0, F.col("positions")).otherwise(F.transform("positions", lambda p: p - o)))
+        placed = posted.select("term", "doc", "norm", "positions").join(found.where("kind = 'PHRASE'"), "term")
+        placed = placed.select("qid", "doc", "size", "n", "idf", factor.alias("factor"), starts.alias("starts"))
+        # Starts that all slots share are counted in the aggregation itself: above it, every use would count them again.
+        each = F.flatten(F.collect_list("starts"))
+        shared = F.aggregate(F.slice(each, 2, 1 << 30), F.element_at(each, 1), F.array_intersect)
+        freq = F.when(F.sum("n") == F.col("size"), F.size(shared)).otherwise(0)
+        aggs = [freq.alias("freq"), F.sum(F.col("idf").cast("double") * F.col("n")).cast("float").alias("idfs"), F.first("factor").alias("factor")]
+        placed = placed.groupBy("qid", "size", "doc").agg(*aggs).where("freq > 0")
         phrase = F.col("idfs") - (F.col("idfs") / (one + F.col("freq").cast("float") * F.col("factor"))).cast("float")
-        rows = rows.where((F.col("kind") != "PHRASE") | (F.col("freq") > 0)).withColumn("score", F.when(F.col("kind") == "PHRASE", phrase).otherwise(F.col("score")))
+        rows = rows.unionByName(placed.select("qid", "doc", phrase.alias("score")))
     rows = reader.live(rows.select("qid", "doc", "score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc"))
     top = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)

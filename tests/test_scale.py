@@ -148,3 +148,69 @@ def test_few_deletes_reach_the_scan(spark, tmp_path, monkeypatch):
     index_of(spark, str(tmp_path / "i"), [[("x", "a"), ("y", "b"), (None, "c")]], ["x"], merge=False)
     assert IndexReader.open(spark, str(tmp_path / "i")).num_docs == 2
     assert plans and all("In(term, [x])" in p or "EqualTo(term,x)" in p for p in plans), plans
+
+
+def test_postings_move_as_blocks(spark, tmp_path, monkeypatch):
+    """A segment's postings are laid out in order through one exchange of blocks, however they are cut, and long words are cut as before."""
+    from lodestone.functions.analysis import PatternAnalyzer
+    from lodestone.reader import IndexReader
+    from lodestone.writer import IndexWriter, WriterConfig
+
+    r = random.Random(6)
+    pool = ["the"] * 20 + ["of", "zé", "𝄞x", "￮b", "b", "𝄞" * 7, "x" * 31, "abcdefgh"]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randrange(60))) or None for _ in range(400)]
+    schema = IndexSchema({"id": FieldSpec.numeric_i64(True), "key": FieldSpec.string(), "text": FieldSpec.text()})
+    analyzer = PatternAnalyzer(r"\S++", max_token_length=5)
+    docs = spark.createDataFrame([(i, f"k{i % 3}", t) for i, t in enumerate(texts)], "id long, key string, text string").repartition(7)
+    plans, write = [], IndexWriter._write
+
+    def kept(self, df, folder):
+        plans.append((folder, df._jdf.queryExecution().executedPlan().toString()))
+        write(self, df, folder)
+
+    monkeypatch.setattr(IndexWriter, "_write", kept)
+    monkeypatch.setattr(indexing, "MARKED", 64)
+    monkeypatch.setattr(indexing, "LAID", 4096)
+    with IndexWriter.open(spark, str(tmp_path / "i"), WriterConfig(analyzer=analyzer), schema) as w:
+        w.add_documents(docs, order_by=["id"])
+    (plan,) = [p for f, p in plans if f.endswith("/postings")]
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1 and "block" in plan and "rangepartitioning" not in plan
+    assert not [f for f, _ in plans if f.endswith("/unsorted")]
+    want = {}
+    for i, t in enumerate(texts):
+        for field, tokens in (("key", [(f"k{i % 3}", 0)]), ("text", analyzer.tokenize(t or ""))):
+            for k, (term, q) in enumerate(tokens):
+                one = want.setdefault((field, term.encode(), i), [len(tokens), False, []])
+                one[1] |= k == 0
+                one[2].append(q)
+    posted = IndexReader.open(spark, str(tmp_path / "i")).postings().withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    whole = {"key": True, "text": False}
+    assert {(x.field, x.term.encode(), x.doc): (x.tf, x.norm, x.lead, x.positions) for x in posted} == {
+        (f, t, d): (len(q), 1 if whole[f] else encode_length(n), lead, None if whole[f] else q) for (f, t, d), (n, lead, q) in want.items()
+    }
+    assert len(posted) == len(want)
+    # Files are sorted and don't overlap, and a common term spreads over several.
+    files = {}
+    for x in posted:
+        files.setdefault(x.file, []).append((x.field, x.term.encode(), x.doc))
+    assert all(own == sorted(own) for own in files.values())
+    bounds = sorted((own[0], own[-1]) for own in files.values())
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:])) and len(bounds) > 10
+    assert len({x.file for x in posted if x.term == "the"}) > 2
+
+
+def test_many_queries_hash(spark, tmp_path):
+    """Queries of many terms are summed by hash, without positions, which only phrases read."""
+    from lodestone.operators.batch import search_many
+    from lodestone.reader import IndexReader
+
+    index_of(spark, str(tmp_path / "i"), [[(f"{i}", "a b a" if i % 2 else "b a c") for i in range(20)]], merge=False)
+    queries = spark.createDataFrame([(0, "OR", ["a", "b"]), (1, "PHRASE", ["a", "b"]), (2, "AND", ["c", "b"]), (3, "PHRASE", ["b", "a"])], "qid long, kind string, terms array<string>")
+    found = search_many(IndexReader.open(spark, str(tmp_path / "i")), queries, 3, "body")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ReadSchema: struct<field:string,term:string,doc:bigint,tf:int,norm:smallint>" in plan
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.qid, []).append((x["rank"], x.doc, x.total))
+    assert {q: (len(v), {t for _, _, t in v}) for q, v in got.items()} == {0: (3, {20}), 1: (3, {10}), 2: (3, {10}), 3: (3, {20})}
+    assert sorted(got[1]) == [(1, 1, 10), (2, 3, 10), (3, 5, 10)]
