@@ -246,7 +246,7 @@ def gathering(names: list[str]) -> Callable:
 def laid_out(docs: DataFrame, schema: IndexSchema, analyzer: Analyzer, count: int, size: int, parts: int) -> DataFrame:
     """The postings of ``docs``, which are ``count`` rows of ``size`` bytes in files, ordered by field, term and document through ``parts`` partitions, or more if they are large.
 
-    ``docs`` is read twice, first for the keys alone but for some documents that tell where to cut.
+    ``docs`` is read twice; the first time only some documents, which tell where to cut, are tokenised.
     """
     read = _read(docs, schema, analyzer)
     if read is None:
