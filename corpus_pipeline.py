@@ -18,7 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import delete, shared_folder, sweep, table
+from lodestone.llm.common import delete, lean, shared_folder, sweep, table
 from lodestone.llm.langid import keep_identified
 from lodestone.llm.mixing import mix
 from lodestone.llm.pieces import encode_with_digests
@@ -26,30 +26,38 @@ from lodestone.llm.quality import keep_good
 from lodestone.llm.queries import ORACLES, QUERIES as OPERATOR_QUERIES
 from lodestone.llm.simhash import keep_one
 
+#: Distinct units that the last stage remembers in a worker, besides as many from before.
+UNITS = 100_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go."""
+    lean(spark)
     return keep_identified(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is low go, and those that fail the base limits."""
+    lean(spark)
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
+    lean(spark)
     return keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are drawn to temperature weights, some documents more than once."""
+    lean(spark)
     return mix(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them."""
-    return encode_with_digests(docs)
+    lean(spark)
+    return encode_with_digests(docs, cache=UNITS)
 
 
 STAGES = [

@@ -81,7 +81,9 @@ class Numbers(dict):
 class Pieces:
     """A merge-type vocabulary: encodes and decodes without the library."""
 
-    def __init__(self, data: bytes, check: bool = True):
+    def __init__(self, data: bytes, check: bool = True, cache: int = CACHE_UNITS):
+        """``cache``: distinct units after which it starts to remember them anew."""
+        self.cache = cache
         self.pieces: list[tuple[str, float, int]] = []
         trainer: dict = {}
         normal: dict = {}
@@ -235,7 +237,7 @@ class Pieces:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.number) > CACHE_UNITS or self.chars > CACHE_CHARS:
+        if len(self.number) > self.cache or self.chars > CACHE_CHARS:
             self.forget()
         self.number.fresh = []
         get = self.number.__getitem__
@@ -296,9 +298,9 @@ class Pieces:
         self.checked.update(plain)
 
 
-def held(data: bytes, check: bool = True) -> Pieces:
+def held(data: bytes, check: bool = True, cache: int = CACHE_UNITS) -> Pieces:
     """A vocabulary with what it has worked out so far."""
-    return only_model(f"pieces {check}", data, lambda: Pieces(data, check))
+    return only_model(f"pieces {check} {cache}", data, lambda: Pieces(data, check, cache))
 
 
 def batches_of(batch: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list[str]]:
@@ -314,7 +316,7 @@ def batches_of(batch: pa.Array, most: int = CHUNK_CHARS) -> Iterator[list[str]]:
         yield texts
 
 
-def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool = True, ids: bool = True, decoded: bool = True) -> Column:
+def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool = True, ids: bool = True, decoded: bool = True, cache: int = CACHE_UNITS) -> Column:
     """A struct for each text: n_tokens, ids_sha256 and decoded_sha256, made where the ids are; and the ids and decoded text where wanted."""
     data = ship(spark).sparkContext.broadcast(tokenizer_bytes("piece_bpe_32k.model", tokenizer_path))
     fields = {"n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
@@ -325,7 +327,7 @@ def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool
 
     @F.arrow_udf(f"struct<{','.join(f'{n}:{t}' for n, (t, _) in fields.items())}>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = held(data.value, check)
+        pieces = held(data.value, check, cache)
         sha = hashlib.sha256
         for batch in batches:
             got: dict[str, list] = {n: [] for n in fields}
@@ -339,7 +341,10 @@ def encoded(text: Column, spark, tokenizer_path: str | None = None, check: bool
                         got["ids"].append(own)
                     if decoded:
                         got["decoded"].append(back)
-            yield pa.StructArray.from_arrays([pa.array(got[n], t) for n, (_, t) in fields.items()], list(fields))
+            out = pa.StructArray.from_arrays([pa.array(got[n], t) for n, (_, t) in fields.items()], list(fields))
+            del got
+            give_back()  # what a batch took would else stay beside the next one's
+            yield out
         give_back()
 
     return encode(text)
@@ -351,9 +356,9 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return e.select("doc_id", "e.ids", "e.decoded")
 
 
-def encode_with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+def encode_with_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, cache: int = CACHE_UNITS) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: one row for each row of ``docs``."""
-    e = docs.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col), docs.sparkSession, tokenizer_path, decoded=False).alias("e"))
+    e = docs.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col), docs.sparkSession, tokenizer_path, decoded=False, cache=cache).alias("e"))
     return e.select("doc_id", "e.n_tokens", "e.ids", "e.ids_sha256", "e.decoded_sha256")
 
 

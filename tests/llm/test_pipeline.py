@@ -71,3 +71,35 @@ def test_awkward_tables(spark, tmp_path):
 
     left = [d for d in os.listdir(shared_folder(spark)) if d.startswith(("pipeline-", "quality-"))]
     assert left and all(os.listdir(f"{shared_folder(spark)}/{d}") == ["sentencepiece"] for d in left if d.startswith("pipeline-")) and not any(d.startswith("quality-") for d in left)
+
+
+def test_few_texts_at_a_time(spark):
+    """Every stage bounds what its readers and workers hold at a time, and leaves bounds that are smaller."""
+    import corpus_pipeline
+    from lodestone.llm.common import LEAN, ship
+
+    docs = ship(spark).read.parquet(f"{SF}/documents.parquet").limit(20)
+    before = {k: spark.conf.get(k) for k in LEAN}
+    try:
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            for k in LEAN:
+                spark.conf.set(k, "100" if n == 1 else "100000000")
+            stage(spark, docs, SF)
+            assert {k: spark.conf.get(k) for k in LEAN} == {k: "100" if n == 1 else str(v) for k, v in LEAN.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_fewer_units_remembered():
+    """A small cache gives the library's ids still, and holds no more than two generations."""
+    from lodestone.llm.pieces import Pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        pieces = Pieces(f.read(), cache=50)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [[" ".join(f"w{a}x{b}" for b in range(40)), f"again a{a} \n é{a}"] for a in range(12)]
+    for part in texts + texts[-2:]:
+        assert [x.tolist() for x in pieces.encode_batch(part)] == library.encode(part)
+        assert len(pieces.number) <= 50 + 60 and len(pieces.old[0]) <= 50 + 60
